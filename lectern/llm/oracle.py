@@ -21,4 +21,30 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1}
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[s:s + 9], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(ws) - 8, 2))) AS u(s) WHERE len(ws) > 0
+), sizes AS (SELECT DISTINCT n FROM bw
+), dw AS (
+  SELECT doc_id, s, n, array_to_string(ws[s:s + n - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, n FROM d, sizes), unnest(range(1, len(ws) - n + 2)) AS u(s)
+), hits AS (
+  SELECT doc_id, s, n, item_id FROM dw JOIN bw USING (n, win)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT s + k) AS n_hit FROM hits, unnest(range(0, n)) AS u(k) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op6_decontamination": OP6}

@@ -21,8 +21,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.decontaminate import contamination
+
+    found, out = contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id",
+        F.col(f"{out}.n_words").alias("n_words"),
+        F.col(f"{out}.n_hit").alias("n_hit"),
+        F.size(f"{out}.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(f"{out}.items"), ","), 256).alias("items_sha256"),
+        (F.col(f"{out}.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.license_scan import license_scan
+
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")}
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined["base_labels"], joined["labels"], "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op8_license_scan": op8_license_scan,
 }
 
 ORACLE_SQL = oracle.ORACLE_SQL

@@ -46,3 +46,11 @@ def scatter(df: DataFrame, *columns: str) -> DataFrame:
     """Spread rows that are few but costly over all shuffle partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *columns)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -100,6 +100,15 @@ def window_hashes(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
+def window_hashes_at(h: np.ndarray, at: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``window_hashes`` of the windows that begin at some places only."""
+    factor, out = _U((0xD6E8FEB86659FD93 + 2 * seed) % 2**64 | 1), np.zeros(len(at), dtype=_U)
+    for j in range(k):
+        out *= factor
+        out += h[at + j]
+    return mix(out)
+
+
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` consecutive values, by doubling."""
     if len(a) < width:

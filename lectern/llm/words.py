@@ -62,32 +62,37 @@ class Words:
 
     def hashes(self, seed: int) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        length = self.end - self.start
-        h = np.full(len(length), (seed * 0x9E3779B97F4A7C15 + 1) % 2**64, dtype=_U)
-        view = np.lib.stride_tricks.as_strided(self.data[:8].view(_U), (max(len(self.data) - 7, 1),), (1,))
-        todo, at, k = None, self.start, 0
-        while k < _LONG:
-            if todo is None:
-                h = mix((h ^ (view[at] & _MASK[np.minimum(length, 8)])) * _U(0x9E3779B97F4A7C15))
-                todo = np.flatnonzero(length > 8)
-            else:
-                left = length[todo] - k
-                h[todo] = mix((h[todo] ^ (view[at[todo] + k] & _MASK[np.minimum(left, 8)])) * _U(0x9E3779B97F4A7C15))
-                todo = todo[left > 8]
-            k += 8
-            if not len(todo):
-                break
-        h = mix(h ^ length.astype(_U))
-        for i in np.flatnonzero(length > _LONG):
-            word = self.data[self.start[i] : self.end[i]].tobytes()
-            h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=bytes([seed])).digest(), "little")
-        return h
+        return span_hashes(self.data, self.start, self.end, seed)
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; ``data`` has 8 bytes more than its text."""
+    length = end - start
+    h = np.full(len(length), (seed * 0x9E3779B97F4A7C15 + 1) % 2**64, dtype=_U)
+    view = np.lib.stride_tricks.as_strided(data[:8].view(_U), (max(len(data) - 7, 1),), (1,))
+    todo, at, k = None, start, 0
+    while k < _LONG:
+        if todo is None:
+            h = mix((h ^ (view[at] & _MASK[np.minimum(length, 8)])) * _U(0x9E3779B97F4A7C15))
+            todo = np.flatnonzero(length > 8)
+        else:
+            left = length[todo] - k
+            h[todo] = mix((h[todo] ^ (view[at[todo] + k] & _MASK[np.minimum(left, 8)])) * _U(0x9E3779B97F4A7C15))
+            todo = todo[left > 8]
+        k += 8
+        if not len(todo):
+            break
+    h = mix(h ^ length.astype(_U))
+    for i in np.flatnonzero(length > _LONG):
+        word = data[start[i] : end[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=bytes([seed])).digest(), "little")
+    return h
+
+
 def window_hashes(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     """A hash of each k consecutive word hashes (also across texts: the caller masks those)."""
     n = len(h) - k + 1

@@ -21,6 +21,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.shards import kd_tree_shards
+
+    dealt = kd_tree_shards(_table(spark, sf_dir, "documents"), n_shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +60,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op6_decontamination": op6_decontamination,
     "op8_license_scan": op8_license_scan,

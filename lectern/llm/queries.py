@@ -36,6 +36,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.labelled import fold_of
+    from lectern.llm.quality import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fit_quality(docs, _table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    scored, score = score_quality(docs, machine)
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.decontaminate import contamination
 
@@ -58,12 +68,24 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined["base_labels"], joined["labels"], "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.labelled import fold_of
+    from lectern.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judge = fit_toxicity(docs, _table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    scored, score = score_toxicity(docs, judge)
+    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op8_license_scan": op8_license_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = oracle.ORACLE_SQL

@@ -21,6 +21,26 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
+OP4 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT a AS vec_id, b AS other FROM links
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+), least_ids AS (SELECT vec_id, min(other) AS m FROM reach GROUP BY vec_id
+)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(least(e.vec_id, coalesce(m, e.vec_id)) AS BIGINT) AS component_id,
+       e.vec_id <= coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN counts USING (vec_id) LEFT JOIN least_ids USING (vec_id)
+"""
+
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
@@ -47,4 +67,4 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op6_decontamination": OP6}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op4_embedding_dedup": OP4, "op6_decontamination": OP6}

@@ -36,6 +36,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.labelled import fold_of
     from lectern.llm.quality import fit_quality, score_quality
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op8_license_scan": op8_license_scan,

@@ -74,6 +74,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined["base_labels"], joined["labels"], "score")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8).drop("k1", "k2")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.labelled import fold_of
     from lectern.llm.toxicity import fit_toxicity, score_toxicity
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op8_license_scan": op8_license_scan,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_toxicity": op10_toxicity,
 }
 

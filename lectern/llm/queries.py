@@ -66,6 +66,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pii import BASE_KINDS, find_pii
+
+    found = find_pii(_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.license_scan import license_scan
 
@@ -97,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op8_license_scan": op8_license_scan,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_toxicity": op10_toxicity,

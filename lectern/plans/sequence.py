@@ -163,13 +163,13 @@ _TOPIC = f"{_E}, {_POOL.format(keys='topic', src='e')}, cen AS (SELECT topic, li
 @query(
     "j17_nearest_topic",
     f"""WITH {_TOPIC}, b AS (SELECT seq, arg_max(cen.topic, list_cosine_similarity(e.embedding, centroid)) AS topic, max(list_cosine_similarity(e.embedding, centroid)) AS s FROM e, cen GROUP BY seq)
-SELECT seq AS id, CASE WHEN s >= 0.3 THEN topic END AS topic, round(CASE WHEN s >= 0.3 THEN s END, 6) AS similarity FROM b""",
+SELECT seq AS id, CASE WHEN s >= 0.3 THEN topic ELSE -1 END AS topic, round(CASE WHEN s >= 0.3 THEN s END, 6) AS similarity FROM b""",
 )
 def _(spark, sf_dir):
     rows = embedded(spark, sf_dir)
     topics = sequence.mean_pool(rows, "topic")
     found = search.best_topic(rows.select(F.col("seq").alias("id"), "embedding"), topics, 0.3)
-    return found.select("id", F.col("topic").cast("int").alias("topic"), F.round("similarity", 6).alias("similarity"))
+    return found.select("id", F.coalesce(F.col("topic").cast("int"), F.lit(-1)).alias("topic"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(

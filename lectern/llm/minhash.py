@@ -7,9 +7,12 @@ with probability equal to their weighted Jaccard similarity. A process stops at
 all slots are likely filled; documents with a slot left go on. Signatures are banded, candidates are
 verified by the exact overlap of the multisets.
 
-Texts that are equal form a class and are signed once. Within a band's bucket, classes are verified
-against one partner each at first, then across the components that remain, so that groups of copies cost
-links in proportion to their size; what is left apart in a bucket is verified pair by pair.
+Texts that are equal form a class and are signed once. Classes are verified against one hub each at
+first (the member of their buckets that shares most buckets), then across the components that
+remain, so that groups of copies cost links in proportion to their size. What is left apart in a
+bucket is settled exactly by a prefix join with a positional bound: two multisets of that similarity
+share one of their rarest shingles early enough in both, so documents that have only common
+passages in common never meet.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
@@ -137,6 +140,36 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             yield pa.record_batch([part.column("a"), part.column("b"), pa.array(ok)], ["a", "b", "linked"])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to rows (cid, token): a token is a shingle and the number of its copy."""
+    for part in chunks(batches, "text", 1 << 20):
+        text, key, count = shingles(part.column("text"))
+        copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        token = mix(np.repeat(key, count) + copy.astype(_U) * _GOLD)
+        yield pa.record_batch([part.column("cid").take(pa.array(np.repeat(text, count))), pa.array(token.astype("<i8"))], ["cid", "token"])
+
+
+def _prefix_pairs(apart: DataFrame, texts: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest tokens; misses no pair of the threshold.
+
+    Tokens are ordered by how many of the documents hold them. A document of n tokens has at least
+    ``threshold * n`` of them in common with a similar one, so its first n - ceil(threshold * n) + 1
+    hold a common one; and where the first common token stands bounds what can follow.
+    """
+    tokens = texts.join(apart, "cid", "left_semi").mapInArrow(_tokens, "cid long, token long")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("held", "token"))
+    first = tokens.join(held, "token").withColumn("place", place).join(sizes, "cid")
+    first = first.where((F.col("held") > 1) & (F.col("place") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1)).select("cid", "token", "size", "place").join(apart, "cid")
+    first = materialize(first, "prefixes")
+    mixed = first.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    first = first.join(mixed, "token")
+    other = first.select("token", F.col("cid").alias("other"), F.col("component").alias("theirs"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    needed = threshold / (1 + threshold) * (F.col("size") + F.col("size_b")) - 1e-9
+    reach = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) + 1
+    return first.join(other, "token").where((F.col("component") < F.col("theirs")) & (reach >= needed)).select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, linked) of distinct pairs of classes."""
     joined = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
@@ -164,30 +197,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     placed = classes.where("size > 0").select("cid", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("cid").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialize(placed.join(shared, "bucket"), "members")
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(placed.join(shared, "bucket"), "shared")
+    score = members.groupBy("cid").agg(F.sum("n").alias("score"))
+    members = materialize(members.select("bucket", "cid").join(score, "cid"), "members")
+    rank = F.struct("score", (-F.col("cid")).alias("order"))
 
     needed = members.select("cid").distinct().join(classes.select("cid", "k1", "k2", "id"), "cid")
     texts = source.join(needed, ["k1", "k2", "id"]).select("cid", "text").dropDuplicates(["cid"])
     texts = materialize(texts, "texts")
 
-    first = members.where("cid <> low").groupBy(F.col("cid").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
+    hubs = members.groupBy("bucket").agg(F.max(rank).alias("hub"))
+    first = members.join(hubs, "bucket").groupBy("cid").agg((-F.max("hub")["order"]).alias("hub")).where("cid <> hub")
+    first = first.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
     tested = _verified(first, texts, threshold)
+    sizes = classes.select("cid", "size")
     for step in ("across", "rest"):
         found = connected_components(tested.where("linked"))
-        state = members.select("bucket", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        state = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         split = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        state = state.join(split.select("bucket", "low"), "bucket")
+        state = state.join(split.select("bucket"), "bucket")
         if step == "across":
-            heads = state.groupBy("bucket", "component", "low").agg(F.min("cid").alias("head"))
-            main = heads.where(F.col("component") == F.col("low")).select("bucket", F.col("head").alias("main"))
-            pairs = heads.where("component <> low")
-            pairs = pairs.join(main, "bucket").select(F.least("main", "head").alias("a"), F.greatest("main", "head").alias("b"))
+            heads = state.groupBy("bucket", "component").agg(F.max(rank).alias("r"))
+            main = heads.groupBy("bucket").agg((-F.max("r")["order"]).alias("main"))
+            pairs = heads.select("bucket", (-F.col("r.order")).alias("head")).join(main, "bucket").where("head <> main").select(F.least("main", "head").alias("a"), F.greatest("main", "head").alias("b"))
         else:
-            state = materialize(state.select("bucket", "cid", "component"), "apart")
-            other = state.select("bucket", F.col("cid").alias("other"), F.col("component").alias("theirs"))
-            pairs = state.join(other, "bucket").where("component < theirs").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
-        sizes = classes.select("cid", "size")
+            apart = materialize(state.select("cid", "component").distinct(), "apart")
+            pairs = _prefix_pairs(apart, texts, sizes, threshold)
         pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = pairs.join(sizes.withColumnsRenamed({"cid": "a", "size": "size_a"}), "a").join(sizes.withColumnsRenamed({"cid": "b", "size": "size_b"}), "b")
         # of different sizes, a similarity of the threshold is out of reach

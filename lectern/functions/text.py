@@ -66,20 +66,23 @@ def keyword_density(text: Column, words: tuple[str, ...] = SYLLABUS_WORDS) -> Co
 
 
 def repeats(words: Column, sizes: tuple[int, ...] = (3, 4, 5), least: int = 3) -> Column:
-    """Whether some n-gram of the words stands at least ``least`` times."""
+    """Whether some n-gram of the words stands at least ``least`` times.
 
-    def grams(n: int) -> Column:
+    ``words`` should be a column, not an expression: it is read once for each n-gram.
+    """
+
+    def longest_run(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        grams = F.array_sort(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+        def step(acc: Column, gram: Column) -> Column:
+            run = F.when(acc["gram"] == gram, acc["run"] + 1).otherwise(1)
+            return F.struct(gram.alias("gram"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    def again(n: int) -> Column:
-        ordered = F.array_sort(grams(n))
-        return F.exists(F.sequence(F.lit(1), F.greatest(F.size(ordered) - least + 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(ordered, i) == F.try_element_at(ordered, i + least - 1), F.lit(False)))
+        begin = F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+        return F.when(F.size(words) >= n, F.aggregate(grams, begin, step, lambda acc: acc["best"])).otherwise(0)
 
-    out = F.lit(False)
-    for n in sizes:
-        out = out | again(n)
-    return out
+    return F.greatest(*(longest_run(n) for n in sizes)) >= least
 
 
 def slug(text: Column) -> Column:

@@ -48,8 +48,8 @@ def information(rows: DataFrame, cluster: str, truth: str) -> DataFrame:
     sums = t.agg(
         F.first("total").alias("total"),
         F.sum(n / total * F.ln(n * total / (na * nb))).alias("mi"),
-        -F.sum(n / total * F.ln(na / total)).alias("ha"),
-        -F.sum(n / total * F.ln(nb / total)).alias("hb"),
+        (-F.sum(n / total * F.ln(na / total))).alias("ha"),
+        (-F.sum(n / total * F.ln(nb / total))).alias("hb"),
         F.sum(pairs(n)).alias("both"),
         F.sum(n / na * pairs(na)).alias("pa"),
         F.sum(n / nb * pairs(nb)).alias("pb"),

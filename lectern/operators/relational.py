@@ -86,8 +86,8 @@ def merge_topics(rows: DataFrame, topic: str, old: int, new: int) -> tuple[DataF
 
 def undo_merge(rows: DataFrame, audit: DataFrame, topic: str) -> DataFrame:
     """The rows as before the merge: exactly those of the audit row go back."""
-    ids = audit.select("old", F.explode(F.from_json("before", "array<bigint>")).alias("id"))
-    joined = rows.join(ids, rows[rows.columns[0]] == ids["id"], "left")
+    ids = audit.select("old", F.explode(F.from_json("before", "array<bigint>")).alias("moved_id"))
+    joined = rows.join(ids, F.col(rows.columns[0]) == F.col("moved_id"), "left")
     return joined.select(*(F.coalesce("old", topic).alias(topic) if c == topic else F.col(c) for c in rows.columns))
 
 

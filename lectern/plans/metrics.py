@@ -53,9 +53,9 @@ def _(spark, sf_dir):
 @query(
     "a28_v_measure_ari",
     """WITH n AS (SELECT vec_id // 50 AS a, label AS b, count(*) AS n FROM embeddings GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb FROM n),
-s AS (SELECT any_value(total) AS total, sum(n / total * ln(n * total / (na * nb))) AS mi, -sum(n / total * ln(na / total)) AS ha, -sum(n / total * ln(nb / total)) AS hb, sum(n * (n - 1) / 2) AS both, sum(n / na * (na * (na - 1) / 2)) AS pa, sum(n / nb * (nb * (nb - 1) / 2)) AS pb FROM t)
+s AS (SELECT any_value(total) AS total, sum(n / total * ln(n * total / (na * nb))) AS mi, -sum(n / total * ln(na / total)) AS ha, -sum(n / total * ln(nb / total)) AS hb, sum(n * (n - 1) / 2) AS pairs, sum(n / na * (na * (na - 1) / 2)) AS pa, sum(n / nb * (nb * (nb - 1) / 2)) AS pb FROM t)
 SELECT round(mi / hb, 6) AS homogeneity, round(mi / ha, 6) AS completeness, round(2 * (mi / hb) * (mi / ha) / (mi / hb + mi / ha), 6) AS v_measure, round(2 * mi / (ha + hb), 6) AS nmi,
-round((both - pa * pb / (total * (total - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (total * (total - 1) / 2)), 6) AS ari FROM s""",
+round((pairs - pa * pb / (total * (total - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (total * (total - 1) / 2)), 6) AS ari FROM s""",
 )
 def _(spark, sf_dir):
     found = M.information(embedded(spark, sf_dir), "session", "topic")

@@ -1 +1,74 @@
-"""Queries."""
+"""Batch forms of the streaming operators, over the event table."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lectern.plans.registry import query
+from lectern.sources.tables import embedded, table
+from lectern.streaming.ingest import complete_sessions
+from lectern.streaming.quality import alerts
+
+
+@query("r1_dedup", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("r6_complete_sessions", "WITH c AS (SELECT conv_id AS session, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations), g AS (SELECT session, count(DISTINCT turn) AS n, max(CASE WHEN final THEN turn END) AS last FROM c GROUP BY session) SELECT session, n, n = last + 1 AS ready FROM g")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("sequence"))
+    return complete_sessions(rows.withColumn("final", F.col("sequence") == F.max("sequence").over(Window.partitionBy("session"))))
+
+
+@query("r8_quality_alerts")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("event"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), "value")
+    return alerts(rows.withColumn("at", F.col("at") / 1e6), 25.0).withColumns({c: F.round(c, 6) for c in ("at", "score")})
+
+
+@query("r9_stale_sessions", "SELECT user_id, max(ts) AS last_ts, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR AS stale FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return e.groupBy("user_id").agg(F.max("ts").alias("last_ts")).join(F.broadcast(now)).select("user_id", "last_ts", (F.col("last_ts") < F.col("now") - F.expr("INTERVAL 12 HOURS")).alias("stale"))
+
+
+@query("ext_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour")["start"].alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "ext_sessions",
+    "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY user_id, k",
+)
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("first_ts"), "n")
+
+
+@query("w18_incremental_centroids")
+def _(spark, sf_dir):
+    """Topics grown in arrival order, a session each: a row joins the nearest topic of at least 0.5, else founds one."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        centroids, sizes, out = [], [], []
+        for seq, vector in pdf.sort_values("seq")[["seq", "embedding"]].itertuples(index=False):
+            x = np.asarray(vector, dtype=float)
+            s = [float(c @ x / max(np.linalg.norm(c) * np.linalg.norm(x), 1e-300)) for c in centroids]
+            k = int(np.argmax(s)) if s else -1
+            if s and s[k] >= 0.5:
+                centroids[k] = (centroids[k] * sizes[k] + x) / (sizes[k] + 1)
+                sizes[k] += 1
+            else:
+                k = len(centroids)
+                centroids.append(x)
+                sizes.append(1)
+            out.append((key[0], seq, k))
+        return pd.DataFrame(out, columns=["session", "seq", "grown_topic"])
+
+    return embedded(spark, sf_dir).groupBy("session").applyInPandas(run, "session long, seq long, grown_topic long")

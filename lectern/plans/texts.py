@@ -81,7 +81,7 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalar.speaker_tag(F.col("user_id") % 7).alias("tag"))
 
 
-@query("w19_backoff", "SELECT event_id, CAST(epoch(ts) AS BIGINT) + CAST(60 * pow(2, user_id % 4) AS BIGINT) AS eligible_at FROM events")
+@query("w19_backoff", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) + CAST(60 * pow(2, user_id % 4) AS BIGINT) AS eligible_at FROM events")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.unix_timestamp("ts") + scalar.backoff_seconds(F.col("user_id") % 4).cast("long")).alias("eligible_at"))
 
@@ -94,7 +94,8 @@ def _(spark, sf_dir):
 
 @query("w9_repetition", f"WITH w AS (SELECT conv_id AS session, turn AS seq, {_TOK} AS ws FROM conversations), g AS (SELECT session, seq, n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM w, unnest([3, 4, 5]) AS a(n), unnest(range(1, len(ws) - n + 2)) AS b(i)), c AS (SELECT session, seq, n, gram, count(*) AS k FROM g GROUP BY ALL) SELECT w.session, w.seq, coalesce(max(c.k), 0) >= 3 AS repeated FROM w LEFT JOIN c ON w.session = c.session AND w.seq = c.seq GROUP BY 1, 2")
 def _(spark, sf_dir):
-    return utterances(spark, sf_dir).select("session", "seq", text.repeats(text.tokens(F.col("text"))).alias("repeated"))
+    rows = utterances(spark, sf_dir).withColumn("words", text.tokens(F.col("text")))
+    return rows.select("session", "seq", text.repeats(F.col("words")).alias("repeated"))
 
 
 @query("a34_reward", "WITH t AS (SELECT user_id, avg(CASE WHEN value > 25 THEN 1.0 ELSE 0.0 END) AS c, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS n, count(DISTINCT event_type) / count(*) AS d FROM events GROUP BY user_id) SELECT user_id, round(CASE WHEN least(c, n, d) <= 0 THEN 0 ELSE exp((0.30 * ln(c) + 0.20 * ln(n) + 0.15 * ln(d)) / 0.65) END, 6) AS reward FROM t")

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lectern.plans import metrics, relational, sequence, streams, texts  # noqa: F401
+    from lectern.plans import metrics, relational, sequence, streams, study, texts  # noqa: F401
 
 
 _load()

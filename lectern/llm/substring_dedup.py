@@ -32,7 +32,7 @@ _WINDOW = [("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("at",
 def _pack(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Documents to rows (bucket, packed): all super-k-mers of a chunk that go to one bucket, compressed together."""
     press = zstandard.ZstdCompressor(level=3)
-    for part in chunks(batches, "text", 12 << 20):
+    for part in chunks(batches, "text", 6 << 20):
         data, offsets = text_buffers(part.column("text"))
         words = Words(data, offsets, BLANK_WORDS)
         if len(words) < window:

@@ -72,17 +72,19 @@ def assemble(rows: np.ndarray, doc: np.ndarray, bucket: np.ndarray, count: np.nd
     norm = np.sqrt(np.bincount(doc, x * x, n))
     x = x / np.maximum(norm[doc], 1e-9)
     bins = np.stack([np.searchsorted(edges[k], rows[:, k], side="right") for k in range(d)], axis=1)
-    j = np.concatenate([bucket, ((1 << WORD_BITS) + np.arange(d) * BINS + bins).reshape(-1)])
-    x = np.concatenate([x, np.ones(n * d)])
-    owner = np.concatenate([doc, np.repeat(np.arange(n), d)])
-    order = np.argsort(owner, kind="stable")
-    return Features(j[order], x[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]))
+    many = np.bincount(doc, minlength=n)
+    first = np.concatenate([[0], np.cumsum(many + d)])
+    j, values = np.empty(first[-1], np.int32), np.ones(first[-1])
+    word = np.arange(len(doc)) + d * doc  # texts are in order
+    j[word], values[word] = bucket, x
+    j[(first[1:, None] - d + np.arange(d)).reshape(-1)] = ((1 << WORD_BITS) + np.arange(d) * BINS + bins).reshape(-1)
+    return Features(j, values, first)
 
 
 def fit_machine(rows: np.ndarray, doc: np.ndarray, bucket: np.ndarray, count: np.ndarray, label: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.08, decay: float = 1e-4, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss, classes weighted alike within a factor of 3."""
     edges = np.quantile(rows, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(rows) else np.zeros((rows.shape[1], BINS - 1))
-    f = assemble(rows, doc, bucket, count, edges)
+    upto = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(rows)))])
     rng, width = np.random.default_rng(seed), (1 << WORD_BITS) + rows.shape[1] * BINS
     rate_one = label.mean() if len(label) else 0.5
     machine = Machine(edges, float(np.log((rate_one + 1e-3) / (1 - rate_one + 1e-3))), np.zeros(width), rng.normal(0, 0.01, (width, FACTORS)))
@@ -94,12 +96,12 @@ def fit_machine(rows: np.ndarray, doc: np.ndarray, bucket: np.ndarray, count: np
         order = rng.permutation(len(label))
         for a in range(0, len(order), batch):
             own = order[a : a + batch]
-            size = f.first[own + 1] - f.first[own]
-            at = np.repeat(f.first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            j, x, owner = f.j[at], f.x[at], np.repeat(np.arange(len(own)), size)
+            size = upto[own + 1] - upto[own]
+            at = np.repeat(upto[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            part = assemble(rows[own], np.repeat(np.arange(len(own)), size), bucket[at], count[at], edges)  # a batch at a time: the sample stays as counts
+            j, x, owner = part.j, part.x, np.repeat(np.arange(len(own)), np.diff(part.first))
             v = machine.factors[j]
             sums = np.stack([np.bincount(owner, v[:, k] * x, len(own)) for k in range(FACTORS)], axis=1)
-            part = Features(j, x, np.concatenate([[0], np.cumsum(size)]))
             error = (machine.scores(part) - label[own]) * weight[own]
             step = error[owner] * x
             columns, where = np.unique(j, return_inverse=True)
@@ -141,7 +143,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
     flat = {c: table[c].combine_chunks() for c in ("stats", "bucket", "count")}
     size = np.asarray(flat["bucket"].value_lengths())
     rows = np.asarray(flat["stats"].flatten()).reshape(n, len(NAMES))
-    return fit_machine(rows, np.repeat(np.arange(n), size), np.asarray(flat["bucket"].flatten()).astype(np.int64), np.asarray(flat["count"].flatten()), np.asarray(table["label"]))
+    return fit_machine(rows, np.repeat(np.arange(n, dtype=np.int32), size), np.asarray(flat["bucket"].flatten()), np.asarray(flat["count"].flatten()), np.asarray(table["label"]))
 
 
 def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text") -> tuple[DataFrame, str]:

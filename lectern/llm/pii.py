@@ -44,11 +44,16 @@ CANDIDATES = {
 }
 EXTRA_KINDS = tuple(CANDIDATES)
 
+# Ends of host names that are no English words; an address in plain words must end in one.
+ENDS = "com|org|net|edu|gov|mil|int|info|biz|dev|xyz|de|fr|uk|nl|es|pl|ch|se|dk|fi|cz|ru|jp|cn|kr|br|ca|au|nz|eu|io|ai"
+
 #: Characters of context on each side of a candidate.
 CONTEXT = 24
 #: Candidates that the trees are fitted on, at most, and the share of false ones at which the threshold is set.
 FIT_ROWS, FALSE_SHARE = 20_000, 0.02
 TREES, DEPTH = 8, 3
+#: Threshold of a kind whose scores leave none: its validator alone accepts.
+NEVER = 2.0
 
 # Words near a span that speak for each kind.
 CUES = {
@@ -140,8 +145,11 @@ def _candidates(text: Column) -> Column:
     able = {"email": r"@|\bat\b", "secret": "(?i)key|secret|token|passw|pwd"}
 
     def of(kind: str) -> Column:
+        found = matches(text, CANDIDATES[kind] if kind != "secret" else "(?i)" + CANDIDATES[kind])
+        if kind in ("card", "phone"):  # a separator at the end is no part of the number
+            found = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["match"], r"[ .\-/]+$", "").alias("match")))
         shape = F.transform(
-            matches(text, CANDIDATES[kind] if kind != "secret" else "(?i)" + CANDIDATES[kind]),
+            found,
             lambda m: F.struct(
                 F.lit(kind).alias("kind"),
                 m["start"].cast("long").alias("start"),
@@ -182,20 +190,49 @@ def _features(c: DataFrame) -> DataFrame:
     return c.select("*", *(F.coalesce(values[name].cast("double"), F.lit(0.0)).alias(name) for name in FEATURES))
 
 
+def _address(match: Column) -> Column:
+    """Whether a match has the shape of an address once its at and dot are signs; in plain words both must be spelled and the end known."""
+    signs = F.regexp_replace(F.regexp_replace(F.lower(match), r" ?(?:\(at\)|\[at\]|@) ?", "@"), r" ?(?:\(dot\)|\[dot\]) ?", ".")
+    worded = F.regexp_replace(F.regexp_replace(signs, " at ", "@"), " dot ", ".")
+    shape = r"^\w[\w.%+-]*@[a-z0-9][a-z0-9-]*\."
+    return F.when(signs.contains("@"), F.regexp_replace(signs, " dot ", ".").rlike(shape + r"[a-z]{2,24}$")).otherwise(signs.contains(" dot ") & worded.rlike(shape + f"(?:{ENDS})$"))
+
+
+def _number_of_phone(match: Column, n: Column) -> Column:
+    """Whether a match of n digits is a phone number: by its prefix, brackets, the shape 3-3-4 or a word near it; dates and decimals are none."""
+    shape = match.rlike(r"^(?:\+|00[1-9]|0[1-9]|\([0-9]{2,4}\))") | match.rlike(r"^(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}$") | (F.col("cue") == 1)
+    other = match.rlike(r"^[0-9]+\.[0-9]+$|^[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|^(?:19|20)[0-9]{2}[./-][01][0-9](?![0-9])")
+    joined = F.col("before").rlike(r"(?:[A-Za-z0-9_$]|[0-9][.,])$") | F.col("after").rlike("^[A-Za-z0-9_]")
+    return (n >= 9) & (n <= 15) & shape & ~other & ~joined
+
+
 def _strong(kind: Column) -> Column:
-    """Weak labels for fitting: a candidate is personal data if a validated base span or its kind's own rule says so."""
-    secret = F.col("match").rlike(r"[0-9]") & F.col("match").rlike(r"[a-fA-F]") & (F.char_length("match") >= 20)
-    own = F.when(kind == "secret", secret).when(kind == "iban", F.col("luhn").isNotNull() & F.col("match").rlike("^[A-Z]{2}[0-9]{2}")).when(kind == "ssn", ~F.col("match").rlike("^(000|666|9)|-00-|-0000$"))
-    return F.coalesce(own, F.col("on_base"))
+    """Weak labels: a candidate is personal data if its kind's validator accepts its own match, whatever the base patterns find there."""
+    match = F.col("match")
+    digits = digits_of(match)
+    n = F.char_length(digits)
+    between = F.regexp_replace(match, "[0-9]", "")
+    secret = match.rlike(r"[0-9]") & match.rlike(r"[a-fA-F]") & (F.char_length("match") >= 20)
+    own = {
+        "email": _address(match),
+        "ip": _octets(match) & ((between == "...") | (between.isin(",,,", ":::") & (F.col("cue") == 1))),
+        "card": (n >= 13) & (n <= 19) & (F.col("luhn") == 1) & ~digits.rlike("^0+$"),
+        "phone": _number_of_phone(match, n),
+        "secret": secret,
+        "iban": F.col("luhn").isNotNull() & match.rlike("^[A-Z]{2}[0-9]{2}"),
+        "ssn": ~match.rlike("^(000|666|9)|-00-|-0000$"),
+    }
+    return functools.reduce(lambda a, k: F.when(kind == k, own[k]).otherwise(a), own, F.lit(False))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, false_share: float = FALSE_SHARE) -> DataFrame:
     """(doc_id, text_key, base, spans) for each input row: arrays of (kind, start, stop), code points, stop exclusive.
 
     ``base`` holds the base spans in the order of ``BASE_KINDS``; ``spans`` adds the accepted candidates that
-    overlap no base span or better candidate. The trees learn from up to ``fit_rows`` candidates, by a hash,
-    whether a validator accepts one, from format and context; the threshold of acceptance is the
-    smallest score above which at most ``false_share`` of the sample's candidates fail.
+    overlap no base span or better candidate. Accepted are those that their kind's validator accepts, and those that
+    the trees score like them: the trees learn from up to ``fit_rows`` candidates, by a hash, whether a validator
+    accepts one, from format and context; the threshold of a kind is the smallest score above which at most
+    ``false_share`` of the sample's candidates of that kind fail, of those that overlap no base span.
 
     A null text is empty and has no spans; rows that repeat or share an id are each searched; a null
     id stays null; an empty table gives an empty result; other columns are ignored.
@@ -206,21 +243,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     found = rows.select("doc_id", F.xxhash64("text").alias("text_key"), base.alias("base"), _candidates(F.col("text")).alias("candidates"), F.monotonically_increasing_id().alias("uid"))
     found = materialize(found, "pii")
     some = found.where(F.size("candidates") > 0).select("uid", "base", F.explode("candidates").alias("c")).select("uid", "base", "c.*")
-    some = some.withColumn("on_base", F.exists("base", lambda s: (s["kind"] == F.col("kind")) & (s["start"] < F.col("stop")) & (s["stop"] > F.col("start"))))
     some = some.withColumn("on_any", F.exists("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))).drop("base")
     some = materialize(_features(some).withColumn("label", _strong(F.col("kind")).cast("double")), "pii-candidates")
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    sample = vector.transform(some.orderBy(F.xxhash64("uid", "start", "kind"), "uid", "start", "kind").limit(fit_rows)).select("label", "features", F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(4)).alias("part"))
-    sample = materialize(sample.select("label", vector_to_array("features").alias("row"), "part"), "pii-sample")
-    model, threshold = _fit(sample, false_share)
+    sample = vector.transform(some.orderBy(F.xxhash64("uid", "start", "kind"), "uid", "start", "kind").limit(fit_rows)).select("kind", "on_any", "label", "features", F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(4)).alias("part"))
+    sample = materialize(sample.select("kind", "on_any", "label", vector_to_array("features").alias("row"), "part"), "pii-sample")
+    model, least = _fit(sample, false_share)
     if model is None:
-        chosen = some.where("label = 1")
+        chosen = some.where("label = 1").withColumn("chance", F.lit(1.0))
     else:
-        chosen = model.transform(vector.transform(some)).withColumn("chance", vector_to_array("probability")[1]).where(F.col("chance") >= threshold)
-    if "chance" not in chosen.columns:
-        chosen = chosen.withColumn("chance", F.lit(1.0))
+        bound = functools.reduce(lambda a, k: F.when(F.col("kind") == k, least[k]).otherwise(a), least, F.lit(NEVER))
+        chosen = model.transform(vector.transform(some)).withColumn("chance", vector_to_array("probability")[1]).where((F.col("label") == 1) | (F.col("chance") >= bound))
     # of the candidates of one text, the better ones first; the fold keeps those clear of all before
-    chosen = chosen.where("NOT on_any").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("chance")).alias("rank"), "start", "stop", "kind"))).alias("added"))
+    chosen = chosen.where("NOT on_any").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("chance") - F.col("label")).alias("rank"), "start", "stop", "kind"))).alias("added"))
     none = F.array().cast("array<struct<rank:double,start:bigint,stop:bigint,kind:string>>")
     clear = F.aggregate("added", none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["stop"]) & (y["stop"] > x["start"])), acc).otherwise(F.concat(acc, F.array(x))))
     added = chosen.select("uid", F.array_sort(F.transform(clear, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))).alias("added"))
@@ -231,24 +266,30 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     return joined.select("doc_id", "text_key", "base", F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
 
-def _fit(sample: DataFrame, false_share: float) -> tuple[GBTClassificationModel | None, float]:
-    """The trees, and the threshold calibrated on the quarter of the sample that they have not seen."""
+def _fit(sample: DataFrame, false_share: float) -> tuple[GBTClassificationModel | None, dict[str, float]]:
+    """The trees, and each kind's threshold calibrated on the quarter of the sample that they have not seen, where no base span is."""
     from pyspark.ml.functions import array_to_vector
 
-    vectors = sample.select("label", array_to_vector("row").alias("features"), "part")
+    vectors = sample.select("kind", "on_any", "label", array_to_vector("row").alias("features"), "part")
     counts = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2 or min(counts.values()) < 8:
-        return None, 1.0
+        return None, {}
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.5, seed=3).fit(vectors.where("part > 0"))
-    judged = model.transform(vectors.where("part = 0")).select("label", vector_to_array("probability")[1].alias("chance"))
-    bins = judged.groupBy(F.floor(F.col("chance") * 200).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("label")).alias("bad")).collect()
-    n = bad = 0.0
-    threshold = 1.0
+    judged = model.transform(vectors.where("part = 0 AND NOT on_any")).select("kind", "label", vector_to_array("probability")[1].alias("chance"))
+    return model, _thresholds(judged, false_share)
+
+
+def _thresholds(judged: DataFrame, false_share: float) -> dict[str, float]:
+    """Each kind's smallest score, of 0.5 at least, above which at most ``false_share`` of its judged candidates fail."""
+    bins = judged.groupBy("kind", F.floor(F.col("chance") * 200).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("label")).alias("bad")).collect()
+    least: dict[str, float] = {}
+    n, bad = dict.fromkeys(EXTRA_KINDS, 0.0), dict.fromkeys(EXTRA_KINDS, 0.0)
     for r in sorted(bins, key=lambda r: -r["bin"]):
-        n, bad = n + r["n"], bad + r["bad"]
-        if bad <= false_share * n:
-            threshold = r["bin"] / 200
-    return model, max(threshold, 0.5)
+        k = r["kind"]
+        n[k], bad[k] = n[k] + r["n"], bad[k] + r["bad"]
+        if bad[k] <= false_share * n[k]:
+            least[k] = max(r["bin"] / 200, 0.5)
+    return least
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

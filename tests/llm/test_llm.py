@@ -302,6 +302,26 @@ def test_pii_of_odd_rows_and_nothing(odd_docs, no_docs):
     assert redact(odd_docs).columns == odd_docs.columns and redact(odd_docs).count() == len(texts())
 
 
+def planted_pii(i):
+    """Of each row a text, its one span that no base pattern finds, and a look-alike that must stay."""
+    rng = np.random.default_rng(i)
+    a, b, c = (int(x) for x in rng.integers(200, 999, 3))
+    good = [f"({a}) {b}-{1000 + c}", f"030 {1000 + a} {b}", f"0049 {a} {1000 + b}", f"jo{i} (at) host{i} (dot) org", f"jo{i} at host{i} dot com", f"{a}-{10 + b % 80}-{1000 + c}".replace("666-", "665-").replace("9", "8"), "4111.1111.1111.1111"][i % 7]
+    bad = [f"{a}.{1000 + b}{c}", f"12.03.2019 {a}", f"arrived at work{i}. The", f"1.{a}.{b}.{c}", f"4111.1111.1111.{1112 + i % 7}", f"{a} {b}", "2019-11-05"][i // 7 % 7]
+    return f"row {i} has {good} for you, and {bad} by then", good, bad
+
+
+@pytest.mark.parametrize("n", [7, 210])
+def test_pii_that_no_base_pattern_finds(spark, n):
+    rows = [(i, *planted_pii(i)) for i in range(n)]
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in find_pii(df).collect()}
+    for i, t, good, bad in rows:
+        spans = [t[s["start"] : s["stop"]] for s in found[i]["spans"]]
+        assert not found[i]["base"] and good in spans, (good, spans)
+        assert not any(bad.startswith(s) or s in bad for s in spans), (bad, spans)
+
+
 # ---- 8: licences
 
 

@@ -49,7 +49,7 @@ ENDS = "com|org|net|edu|gov|mil|int|info|biz|dev|xyz|de|fr|uk|nl|es|pl|ch|se|dk|
 
 #: Characters of context on each side of a candidate.
 CONTEXT = 24
-#: Candidates that the trees are fitted on, at most, and the share of false ones at which the threshold is set.
+#: Distinct candidates that the trees are fitted on (about that many, see ``quotas``), and the share of false ones at which a kind's threshold is set.
 FIT_ROWS, FALSE_SHARE = 20_000, 0.02
 TREES, DEPTH = 8, 3
 #: Threshold of a kind whose scores leave none: its validator alone accepts.
@@ -107,6 +107,13 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def mod97(match: Column) -> Column:
+    """An IBAN's remainder: its first four characters go last, letters count from 10; 1 is valid."""
+    body = F.regexp_replace(match, "[^A-Z0-9]", "")
+    each = F.filter(F.split(F.concat(F.substring(body, 5, 2**31 - 1), F.substring(body, 1, 4)), ""), lambda c: c != "")
+    return F.aggregate(each, F.lit(0), lambda a, c: F.when(c >= "A", a * 100 + F.ascii(c) - 55).otherwise(a * 10 + F.ascii(c) - 48) % 97)
+
+
 def _octets(match: Column, separators: str = r"[.,:]") -> Column:
     """Whether all parts of a dotted number are at most 255."""
     return F.forall(F.split(match, separators), lambda p: p.rlike(r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
@@ -219,7 +226,7 @@ def _strong(kind: Column) -> Column:
         "card": (n >= 13) & (n <= 19) & (F.col("luhn") == 1) & ~digits.rlike("^0+$"),
         "phone": _number_of_phone(match, n),
         "secret": secret,
-        "iban": F.col("luhn").isNotNull() & match.rlike("^[A-Z]{2}[0-9]{2}"),
+        "iban": mod97(match) == 1,
         "ssn": ~match.rlike("^(000|666|9)|-00-|-0000$"),
     }
     return functools.reduce(lambda a, k: F.when(kind == k, own[k]).otherwise(a), own, F.lit(False))
@@ -232,7 +239,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     overlap no base span or better candidate. Accepted are those that their kind's validator accepts, and those that
     the trees score like them: the trees learn from up to ``fit_rows`` candidates, by a hash, whether a validator
     accepts one, from format and context; the threshold of a kind is the smallest score above which at most
-    ``false_share`` of the sample's candidates of that kind fail, of those that overlap no base span.
+    ``false_share`` of all candidates of that kind fail, of those that overlap no base span. The sample is of distinct
+    candidates by a hash of text, start and kind, so it is the same under any partitioning.
 
     A null text is empty and has no spans; rows that repeat or share an id are each searched; a null
     id stays null; an empty table gives an empty result; other columns are ignored.
@@ -242,18 +250,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     base = F.concat(*(_of_kind(k, base_spans(F.col("text"), k)) for k in BASE_KINDS))
     found = rows.select("doc_id", F.xxhash64("text").alias("text_key"), base.alias("base"), _candidates(F.col("text")).alias("candidates"), F.monotonically_increasing_id().alias("uid"))
     found = materialize(found, "pii")
-    some = found.where(F.size("candidates") > 0).select("uid", "base", F.explode("candidates").alias("c")).select("uid", "base", "c.*")
+    some = found.where(F.size("candidates") > 0).select("uid", "text_key", "base", F.explode("candidates").alias("c")).select("uid", "text_key", "base", "c.*")
     some = some.withColumn("on_any", F.exists("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))).drop("base")
     some = materialize(_features(some).withColumn("label", _strong(F.col("kind")).cast("double")), "pii-candidates")
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    sample = vector.transform(some.orderBy(F.xxhash64("uid", "start", "kind"), "uid", "start", "kind").limit(fit_rows)).select("kind", "on_any", "label", "features", F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(4)).alias("part"))
-    sample = materialize(sample.select("kind", "on_any", "label", vector_to_array("features").alias("row"), "part"), "pii-sample")
-    model, least = _fit(sample, false_share)
+    model = _fit(_sample(some, fit_rows), vector)
     if model is None:
         chosen = some.where("label = 1").withColumn("chance", F.lit(1.0))
     else:
+        scored = model.transform(vector.transform(some)).withColumn("chance", vector_to_array("probability")[1])
+        least = _thresholds(scored.where("NOT on_any"), false_share)
         bound = functools.reduce(lambda a, k: F.when(F.col("kind") == k, least[k]).otherwise(a), least, F.lit(NEVER))
-        chosen = model.transform(vector.transform(some)).withColumn("chance", vector_to_array("probability")[1]).where((F.col("label") == 1) | (F.col("chance") >= bound))
+        chosen = scored.where((F.col("label") == 1) | (F.col("chance") >= bound))
     # of the candidates of one text, the better ones first; the fold keeps those clear of all before
     chosen = chosen.where("NOT on_any").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("chance") - F.col("label")).alias("rank"), "start", "stop", "kind"))).alias("added"))
     none = F.array().cast("array<struct<rank:double,start:bigint,stop:bigint,kind:string>>")
@@ -266,17 +274,31 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     return joined.select("doc_id", "text_key", "base", F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
 
-def _fit(sample: DataFrame, false_share: float) -> tuple[GBTClassificationModel | None, dict[str, float]]:
-    """The trees, and each kind's threshold calibrated on the quarter of the sample that they have not seen, where no base span is."""
-    from pyspark.ml.functions import array_to_vector
+def quotas(counts: dict[str, int], total: int) -> dict[str, int]:
+    """How many of each kind the sample takes: equal shares of ``total``; what small kinds leave goes to the others."""
+    out, left = {}, total
+    for k, kind in enumerate(sorted(counts, key=lambda c: (counts[c], c))):
+        out[kind] = min(counts[kind], left // (len(counts) - k))
+        left -= out[kind]
+    return out
+
+
+def _sample(some: DataFrame, fit_rows: int) -> DataFrame:
+    """Distinct candidates, by a hash of what they are, about ``quotas`` of each kind; one ordered partition."""
+    key = ["text_key", "start", "kind"]
+    distinct = materialize(some.select(*key, "label", *FEATURES).dropDuplicates(key), "pii-distinct")
+    counts = {r["kind"]: r["n"] for r in distinct.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each kind
+    span = 1 << 40
+    upto = functools.reduce(lambda a, k: F.when(F.col("kind") == k[0], k[1] * span // counts[k[0]]).otherwise(a), quotas(counts, fit_rows).items(), F.lit(0).cast("long"))
+    taken = distinct.where(F.pmod(F.xxhash64(*key), F.lit(span)) < upto)
+    return materialize(taken.coalesce(1).sortWithinPartitions(*key), "pii-sample").coalesce(1)
+
 
-    vectors = sample.select("kind", "on_any", "label", array_to_vector("row").alias("features"), "part")
-    counts = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2 or min(counts.values()) < 8:
-        return None, {}
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.5, seed=3).fit(vectors.where("part > 0"))
-    judged = model.transform(vectors.where("part = 0 AND NOT on_any")).select("kind", "label", vector_to_array("probability")[1].alias("chance"))
-    return model, _thresholds(judged, false_share)
+def _fit(sample: DataFrame, vector: VectorAssembler) -> GBTClassificationModel | None:
+    """The trees; none where the sample has one class only, as there is nothing to tell apart."""
+    if sample.select("label").distinct().count() < 2:
+        return None
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.5, seed=3).fit(vector.transform(sample).select("label", "features"))
 
 
 def _thresholds(judged: DataFrame, false_share: float) -> dict[str, float]:

@@ -22,7 +22,7 @@ from lectern.llm.labelled import fold_of  # noqa: E402
 from lectern.llm.license_scan import Automaton, license_scan  # noqa: E402
 from lectern.llm.minhash import minhash_dedup, near_duplicates, shingles, signatures  # noqa: E402
 from lectern.llm.packing import pack, pack_lengths  # noqa: E402
-from lectern.llm.pii import find_pii, redact  # noqa: E402
+from lectern.llm.pii import find_pii, quotas, redact  # noqa: E402
 from lectern.llm.quality import fit_quality, quality_filter, score_quality  # noqa: E402
 from lectern.llm.shards import kd_tree_shards  # noqa: E402
 from lectern.llm.substring_dedup import substring_dedup  # noqa: E402
@@ -322,6 +322,15 @@ def test_pii_that_no_base_pattern_finds(spark, n):
         assert not any(bad.startswith(s) or s in bad for s in spans), (bad, spans)
 
 
+def test_ibans_are_checked_and_partitioning_changes_nothing(spark):
+    rows = [(i, planted_pii(i)[0]) for i in range(120)] + [(900, "pay to DE89 3704 0044 0532 0130 00 now"), (901, "part AB12 CDEF 3456 GHIJ 7890 here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [{r["doc_id"]: [tuple(s) for s in r["spans"]] for r in find_pii(x, fit_rows=60).collect()} for x in (df.repartition(1), df.repartition(7, "text"))]
+    assert runs[0] == runs[1]
+    assert runs[0][900] == [("iban", 7, 34)] and runs[0][901] == []
+    assert quotas({"phone": 900, "ssn": 5, "card": 300}, 305) == {"ssn": 5, "card": 150, "phone": 150}
+
+
 # ---- 8: licences
 
 

@@ -64,13 +64,21 @@ def information(rows: DataFrame, cluster: str, truth: str) -> DataFrame:
 def matched_purity(rows: DataFrame, cluster: str, truth: str) -> float:
     """Share of rows under the best one-to-one assignment of clusters to truths; cluster -1 is noise and left out.
 
-    The assignment is solved on the contingency table, whose size is the number of label pairs.
+    With k labels on the smaller side, only the k heaviest partners of each can matter: of those, at most k - 1
+    go to other labels, so one at least as heavy as any lighter partner is free. The driver solves these k * k
+    cells at most; the rest stays in Spark.
     """
-    table = contingency(rows.where(F.col(cluster) != -1), cluster, truth).toPandas()
-    if not len(table):
+    table = contingency(rows.where(F.col(cluster) != -1), cluster, truth)
+    sizes = table.agg(F.count_distinct(F.struct("a")).alias("a"), F.count_distinct(F.struct("b")).alias("b"), F.sum("n").alias("total")).first()
+    if not sizes["total"]:
         return 0.0
-    grid = table.pivot(index="a", columns="b", values="n").fillna(0).to_numpy()
-    return float(best_assignment(grid) / grid.sum())
+    few, many = ("a", "b") if sizes["a"] <= sizes["b"] else ("b", "a")
+    heavy = Window.partitionBy(few).orderBy(F.desc("n"), many)
+    cells = table.withColumn("rank", F.row_number().over(heavy)).where(F.col("rank") <= sizes[few]).toPandas()
+    i, j = (pd.factorize(cells[c], use_na_sentinel=False)[0] for c in (few, many))
+    grid = np.zeros((i.max() + 1, j.max() + 1))
+    grid[i, j] = cells["n"]
+    return float(best_assignment(grid) / sizes["total"])
 
 
 def best_assignment(grid: np.ndarray) -> float:

@@ -135,3 +135,21 @@ def test_append_is_idempotent(spark, tmp_path):
     for epoch in (0, 1):
         write(spark.range(5), epoch)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_matched_purity_brings_a_bounded_grid_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(c), int(t)) for c, t in zip(rng.integers(-1, 60, 900), rng.integers(0, 4, 900) ** 2 // 2)]
+    grid = np.zeros((60, 5))
+    for c, t in rows:
+        if c >= 0:
+            grid[c, t] += 1
+    df = spark.createDataFrame(rows, "cluster long, truth long")
+    kind, fetched = type(df), []
+    whole = kind.toPandas
+    monkeypatch.setattr(kind, "toPandas", lambda self: fetched.append(whole(self)) or fetched[-1])
+    for a, b in (("cluster", "truth"), ("truth", "cluster")):
+        used = df.where("cluster >= 0")
+        assert metrics.matched_purity(used, a, b) == pytest.approx(metrics.best_assignment(grid) / grid.sum())
+    assert metrics.matched_purity(df, "cluster", "truth") == pytest.approx(metrics.best_assignment(grid) / grid.sum())
+    assert max(map(len, fetched)) <= 16 and metrics.matched_purity(df.where("false"), "cluster", "truth") == 0.0

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW, LEAST, COOLDOWN_S = 5, 3, 30.0
@@ -32,14 +33,32 @@ def fold(rows: list[tuple[int, float, float]], recent: list[float], seen: int, f
 
 
 def alerts(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S) -> DataFrame:
-    """Batch form over (session, event, at in seconds, value): one fold for each session."""
+    """Batch form over (session, event, at in seconds, value).
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event"])
-        out, *_ = fold(list(zip(pdf.event, pdf["at"], pdf.value, strict=True)), [], 0, None, threshold, cooldown)
-        return pd.DataFrame([(key[0], *x) for x in out], columns=["session", "event", "at", "score"])
+    Score and number of a chunk are window functions; only rows that could fire are folded, in order, batch by
+    batch with one state for the session at hand, so no session is held whole.
+    """
+    order = [F.asc_nulls_last("at"), F.asc_nulls_last("event")]
+    own = Window.partitionBy("session").orderBy(*order)
+    last = F.collect_list(F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))).over(own.rowsBetween(1 - WINDOW, 0))
+    weighted = F.aggregate(F.transform("last", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    n = F.size("last")
+    scored = rows.select("session", "event", "at", last.alias("last"), F.row_number().over(own).alias("seen"))
+    low = scored.select("session", "event", "at", (weighted / (n * (n + 1) / 2)).alias("score"), "seen").where((F.col("score") < threshold) & (F.col("seen") >= LEAST)).drop("seen")
 
-    return rows.groupBy("session").applyInPandas(run, ALERT)
+    def cooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_hand, fired = object(), None
+        for pdf in batches:
+            kept = []
+            sessions = pdf["session"].astype(object).where(pdf["session"].notna(), None)
+            for session, at in zip(sessions, pdf["at"], strict=True):
+                if session != at_hand:
+                    at_hand, fired = session, None
+                kept.append(fired is None or at - fired >= cooldown)
+                fired = at if kept[-1] else fired
+            yield pdf[kept]
+
+    return low.repartition("session").sortWithinPartitions("session", *order).mapInPandas(cooled, ALERT)
 
 
 def alert_stream(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S) -> DataFrame:

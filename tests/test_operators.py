@@ -153,3 +153,23 @@ def test_matched_purity_brings_a_bounded_grid_to_the_driver(spark, monkeypatch):
         assert metrics.matched_purity(used, a, b) == pytest.approx(metrics.best_assignment(grid) / grid.sum())
     assert metrics.matched_purity(df, "cluster", "truth") == pytest.approx(metrics.best_assignment(grid) / grid.sum())
     assert max(map(len, fetched)) <= 16 and metrics.matched_purity(df.where("false"), "cluster", "truth") == 0.0
+
+
+def test_batch_alerts_equal_the_fold_and_hold_no_session_whole(spark):
+    from lectern.streaming.quality import alerts
+
+    rng = np.random.default_rng(6)
+    rows = [(s, i, float(rng.integers(0, 900)), None if rng.random() < 0.02 else float(rng.integers(0, 11))) for s, n in ((1, 700), (2, 2), (None, 40), (4, 90)) for i in range(n)]
+    want = []
+    for s in (1, 2, None, 4):
+        own = sorted((x[1:] for x in rows if x[0] == s), key=lambda x: (x[1], x[0]))
+        want += [(s, *x) for x in fold([(e, a, float("nan") if v is None else v) for e, a, v in own], [], 0, None, 5.0, 30.0)[0]]
+    df = spark.createDataFrame(rows, "session long, event long, at double, value double")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = alerts(df, 5.0)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)

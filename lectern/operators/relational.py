@@ -78,15 +78,15 @@ def label_precedence(sources: list[tuple[DataFrame, int]], key: str) -> DataFram
 
 
 def merge_topics(rows: DataFrame, topic: str, old: int, new: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with topic ``old`` moved to ``new``, and the audit row that undoes it: the ids of all rows moved."""
-    moved = rows.where(F.col(topic) == old).agg(F.collect_list(rows.columns[0]).alias("ids"))
-    audit = moved.select(F.lit("merge").alias("operation"), F.lit(old).alias("old"), F.lit(new).alias("new"), F.to_json("ids").alias("before"))
+    """Rows with topic ``old`` moved to ``new``, and the audit rows that undo it: one for each row moved."""
+    moved = rows.where(F.col(topic) == old)
+    audit = moved.select(F.lit("merge").alias("operation"), F.lit(old).alias("old"), F.lit(new).alias("new"), F.col(rows.columns[0]).alias("moved_id"))
     return rows.withColumn(topic, F.when(F.col(topic) == old, F.lit(new)).otherwise(F.col(topic))), audit
 
 
 def undo_merge(rows: DataFrame, audit: DataFrame, topic: str) -> DataFrame:
-    """The rows as before the merge: exactly those of the audit row go back."""
-    ids = audit.select("old", F.explode(F.from_json("before", "array<bigint>")).alias("moved_id"))
+    """The rows as before the merge: exactly those of the audit rows go back."""
+    ids = audit.select("old", "moved_id").dropDuplicates(["moved_id"])
     joined = rows.join(ids, F.col(rows.columns[0]) == F.col("moved_id"), "left")
     return joined.select(*(F.coalesce("old", topic).alias(topic) if c == topic else F.col(c) for c in rows.columns))
 

@@ -173,3 +173,10 @@ def test_batch_alerts_equal_the_fold_and_hold_no_session_whole(spark):
         assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_a_merge_writes_one_audit_row_for_each_row_moved(spark):
+    df = spark.range(50).select("id", (F.col("id") % 5).alias("topic"))
+    merged, audit = relational.merge_topics(df, "topic", 3, 4)
+    assert sorted(map(tuple, audit.collect())) == [("merge", 3, 4, i) for i in range(3, 50, 5)]
+    assert sorted(relational.undo_merge(merged, audit, "topic").collect()) == sorted(df.collect())

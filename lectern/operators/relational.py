@@ -112,16 +112,21 @@ def quarantine(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def similar_hashes(rows: DataFrame, id_col: str, hash_col: str, most: int = 8, bands: int = 9) -> DataFrame:
     """Each row with the other row of the nearest 64-bit hash within ``most`` differing bits: (id, other, distance).
 
-    With more bands than differing bits, some band is equal, so rows meet by equality of a band's bits; equal hashes
-    are collapsed first, so copies cost one row.
+    With more bands than differing bits, some band is equal, so rows meet by equality of a band's bits; the bands are
+    disjoint and cover all bits. Equal hashes are collapsed first to their two smallest ids, so copies cost one row.
     """
-    width = -(-64 // bands)
-    single = rows.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.sort_array(F.collect_set(id_col)).alias("ids"))
-    parts = single.select("h", "id", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("h", b * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits")) for b in range(bands)))).alias("k")).select("h", "id", "k.*")
+    if not most < bands <= 64:
+        raise ValueError("more bands than differing bits are needed, 64 at most")
+    cuts = [b * 64 // bands for b in range(bands + 1)]
+    bits = lambda a, b: F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long"))
+    copies = rows.select(F.col(hash_col).alias("h"), F.col(id_col).alias("id"))
+    first_two = copies.withColumn("rank", F.dense_rank().over(Window.partitionBy("h").orderBy("id"))).where("rank <= 2")  # cut to two before the shuffle
+    single = first_two.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("next"))
+    parts = single.select("h", "id", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), bits(a, b).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))).alias("k")).select("h", "id", "k.*")
     other = parts.select("band", "bits", F.col("h").alias("h2"), F.col("id").alias("other"))
     met = parts.join(other, ["band", "bits"]).where("h <> h2").select("h", "h2", "other").distinct().withColumn("distance", F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))).where(F.col("distance") <= most)
     best = met.groupBy("h").agg(F.min(F.struct("distance", "other")).alias("best"))
-    pairs = rows.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).join(single.select("h", F.col("id").alias("first"), F.try_element_at("ids", F.lit(2)).alias("second")), "h").join(best, "h", "left")
+    pairs = rows.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).join(single.select("h", F.col("id").alias("first"), F.when(F.col("next") > F.col("id"), F.col("next")).alias("second")), "h").join(best, "h", "left")
     twin = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))
     found = pairs.select("id", F.when(twin.isNotNull(), F.struct(F.lit(0).alias("distance"), twin.alias("other"))).otherwise(F.col("best")).alias("b"))
     return found.where("b IS NOT NULL").select("id", "b.other", "b.distance")

@@ -180,3 +180,18 @@ def test_a_merge_writes_one_audit_row_for_each_row_moved(spark):
     merged, audit = relational.merge_topics(df, "topic", 3, 4)
     assert sorted(map(tuple, audit.collect())) == [("merge", 3, 4, i) for i in range(3, 50, 5)]
     assert sorted(relational.undo_merge(merged, audit, "topic").collect()) == sorted(df.collect())
+
+
+def test_similar_hashes_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    far = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 6)]
+    one_bit_a_byte = sum(1 << (8 * k + k) for k in range(8)) - (1 << 64)  # 8 bits, one in each byte; as a signed number
+    hashes = [x for h in far[:3] for x in (h, h ^ one_bit_a_byte, h)] + far[3:] + [far[4] ^ 0b1011, far[5]]
+    rows = [(i * 3, h) for i, h in enumerate(hashes)]
+    want = set()
+    for i, h in rows:
+        near = sorted((bin((h ^ g) & (2**64 - 1)).count("1"), j) for j, g in rows if j != i)
+        want |= {(i, j, d) for d, j in near[:1] if d <= 8}
+    df = spark.createDataFrame(rows, "id long, h long")
+    assert set(map(tuple, relational.similar_hashes(df, "id", "h").collect())) == want
+    assert {d for _, _, d in want} == {0, 3, 8}

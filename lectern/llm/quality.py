@@ -8,6 +8,7 @@ the text's length, each one-hot in quantile bins. Source, language, id and label
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ from lectern.llm.words import chunks
 WORD_BITS = 13
 BINS = 10
 FACTORS = 8
-#: Labelled rows that the machine is fitted on, at most.
-FIT_ROWS = 20_000
+#: Labelled rows that the machine is fitted on, at most, and their counted words in all (12 bytes each in the one task that fits).
+FIT_ROWS, FIT_COUNTS = 20_000, 16_000_000
 
 
 @dataclass
@@ -121,36 +122,52 @@ def fit_machine(rows: np.ndarray, doc: np.ndarray, bucket: np.ndarray, count: np
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, "text"):
         rows, doc, bucket, count = word_counts(part.column("text"))
-        cut = np.searchsorted(doc, np.arange(1, part.num_rows))
-        yield pa.record_batch(
-            [part.column("doc_id"), part.column("label"), pa.array(rows.tolist(), pa.list_(pa.float64())), pa.array(np.split(bucket.astype(np.int32), cut), pa.list_(pa.int32())), pa.array(np.split(count.astype(np.int32), cut), pa.list_(pa.int32()))],
-            ["doc_id", "label", "stats", "bucket", "count"],
-        )
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = FIT_ROWS, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+        upto = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+        listed = lambda x: pa.ListArray.from_arrays(pa.array(upto), pa.array(x.astype(np.int32)))
+        stats = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), rows.shape[1]).cast(pa.list_(pa.float64()))
+        yield pa.record_batch([part.column("doc_id"), part.column("label"), stats, listed(bucket), listed(count)], ["doc_id", "label", "stats", "bucket", "count"])
+
+
+def _fit_in_task(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """All feature rows, in order, to one row: the pickled machine. Rows beyond ``most`` counted words are not learned from."""
+    seen, kept = 0, []
+    for batch in batches:
+        size = np.asarray(batch.column("bucket").value_lengths()).astype(np.int64)
+        if not len(size):
+            continue
+        n = int(np.searchsorted(seen + np.cumsum(size), most, side="right"))
+        flat = lambda c, n=n, batch=batch: np.asarray(batch.column(c).slice(0, n).flatten())
+        kept.append((flat("stats").reshape(n, len(NAMES)), size[:n], flat("bucket"), flat("count"), np.asarray(batch.column("label").slice(0, n))))
+        seen += int(size.sum())
+        if n < len(size):
+            break
+    none = (np.zeros((0, len(NAMES))), *(np.zeros(0, np.int32) for _ in range(3)), np.zeros(0))
+    rows, size, bucket, count, label = (np.concatenate(x) for x in zip(*(kept or [none]), strict=True))
+    kept.clear()
+    machine = fit_machine(rows, np.repeat(np.arange(len(rows), dtype=np.int32), size), bucket, count, label)
+    yield pa.record_batch([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = FIT_ROWS, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", most_counts: int = FIT_COUNTS) -> Machine:
     """Fit on up to ``most`` labelled rows outside the held-out fold (``crc32(id) mod folds == held_out``).
 
-    Tasks compute the features; the sample's word counts, bounded by ``most``, are fitted in the driver. Without labels,
-    or with one class only, the score is the (smoothed) share of that class.
+    Tasks compute the features, and one task fits the machine on the sample's word counts, in the order of the ids; the
+    driver gets the machine alone. Texts are counted whole; of a sample of more than ``most_counts`` distinct words by
+    text, the rows after that many are not learned from. Null texts count as empty, an id of several rows is left out.
+    Without labels, or with one class only, the score is the (smoothed) share of that class, 0.5 of none at all.
     """
     sample = labelled_sample(docs, labels, label, most, folds, held_out, id_col, text_col)
-    table = sample.mapInArrow(_sample_features, "doc_id long, label double, stats array<double>, bucket array<int>, count array<int>").toArrow()
-    table = table.sort_by("doc_id").combine_chunks()
-    n = table.num_rows
-    if not n:
-        return fit_machine(np.zeros((0, len(NAMES))), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0))
-    flat = {c: table[c].combine_chunks() for c in ("stats", "bucket", "count")}
-    size = np.asarray(flat["bucket"].value_lengths())
-    rows = np.asarray(flat["stats"].flatten()).reshape(n, len(NAMES))
-    return fit_machine(rows, np.repeat(np.arange(n, dtype=np.int32), size), np.asarray(flat["bucket"].flatten()), np.asarray(flat["count"].flatten()), np.asarray(table["label"]))
+    counted = sample.mapInArrow(_sample_features, "doc_id long, label double, stats array<double>, bucket array<int>, count array<int>")
+    fitted = counted.repartition(1).sortWithinPartitions("doc_id").mapInArrow(lambda it: _fit_in_task(it, most_counts), "machine binary").collect()  # one row of fixed size
+    return pickle.loads(fitted[0]["machine"]) if fitted else pickle.loads(next(_fit_in_task(iter(()), most_counts)).column("machine")[0].as_py())
 
 
 def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text") -> tuple[DataFrame, str]:
     """All columns of ``docs`` and a score from 0 to 1, and the score's name.
 
-    Null and empty texts are scored by their (empty) statistics. Rows that repeat get the same
-    score. Extra columns pass through; the score's name avoids theirs.
+    Null and empty texts are scored by their (empty) statistics, texts of any length whole. Rows that
+    repeat get the same score, so ties stay ties. An empty table gives an empty result. Extra columns
+    pass through; the score's name avoids theirs.
     """
     out = free_name(docs, "score")
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
@@ -165,7 +182,12 @@ def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text") ->
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **options) -> DataFrame:
-    """The documents that score at least ``threshold``, with their columns."""
+    """The documents that score at least ``threshold``, with their columns.
+
+    A score of exactly ``threshold`` stays. Null and empty texts are scored as ``score_quality`` says and
+    may go; rows that repeat stay or go together; an empty table, or one without labels, gives what its
+    (constant) score gives.
+    """
     scored, out = score_quality(docs, fit_quality(docs, labels, text_col=text_col, **options), text_col)
     return scored.where(F.col(f"`{out}`") >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -13,10 +13,12 @@ NULL_ID = 2**63 - 1
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The shared folder for cut lineage: ``spark.checkpoint.dir``; one of our own where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
@@ -42,12 +44,6 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     ]
 
 
-def scatter(df: DataFrame, *columns: str) -> DataFrame:
-    """Spread rows that are few but costly over all shuffle partitions."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *columns)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

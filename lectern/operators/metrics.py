@@ -7,6 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.vector import unit
+from lectern.operators.search import BLOCK, Side, compared
+from lectern.operators.sequence import fixed_boundaries, mean_pool, random_boundaries
+
+
+#: Labels of the smaller side that an assignment is solved for, at most.
+SOLVED = 1000
+
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -22,13 +30,13 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return total.join(chance).select(F.col("total").alias("n"), po.alias("agreement"), F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))  # one row each
 
 
-def confusion(rows: DataFrame, truth: Column, guess: Column, empty: float) -> DataFrame:
-    """Counts, precision and recall; ``empty`` is their value where nothing was guessed or true."""
+def confusion(rows: DataFrame, truth: Column, guess: Column, empty: float, *keys: str) -> DataFrame:
+    """Counts, precision and recall, of each group where ``keys`` are named; ``empty`` is their value where nothing was guessed or true."""
     t, g = F.coalesce(truth, F.lit(False)), F.coalesce(guess, F.lit(False))
-    c = rows.agg(F.count_if(t & g).alias("tp"), F.count_if(~t & g).alias("fp"), F.count_if(t & ~g).alias("fn"), F.count_if(~t & ~g).alias("tn"))
+    c = rows.groupBy(*keys).agg(F.count_if(t & g).alias("tp"), F.count_if(~t & g).alias("fp"), F.count_if(t & ~g).alias("fn"), F.count_if(~t & ~g).alias("tn"))
     share = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(F.lit(empty))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select("tp", "fp", "fn", "tn", share(tp, fp).alias("precision"), share(tp, fn).alias("recall"))
+    return c.select(*keys, "tp", "fp", "fn", "tn", share(tp, fp).alias("precision"), share(tp, fn).alias("recall"))
 
 
 def purity(rows: DataFrame, cluster: str, truth: str) -> DataFrame:
@@ -41,8 +49,9 @@ def purity(rows: DataFrame, cluster: str, truth: str) -> DataFrame:
 def information(rows: DataFrame, cluster: str, truth: str) -> DataFrame:
     """Homogeneity, completeness, V-measure, NMI (arithmetic) and adjusted Rand index from the contingency table."""
     t = contingency(rows, cluster, truth)
-    all_ = Window.partitionBy()  # of the contingency table, whose size is the number of label pairs
-    t = t.withColumn("total", F.sum("n").over(all_)).withColumn("na", F.sum("n").over(Window.partitionBy("a"))).withColumn("nb", F.sum("n").over(Window.partitionBy("b")))
+    side = lambda c: t.groupBy(c).agg(F.sum("n").alias("n" + c))
+    total = F.broadcast(t.agg(F.sum("n").alias("total")))  # one row
+    t = t.join(side("a"), "a").join(side("b"), "b").join(total)
     n, total, na, nb = F.col("n"), F.col("total"), F.col("na"), F.col("nb")
     pairs = lambda x: x * (x - 1) / 2
     sums = t.agg(
@@ -66,13 +75,15 @@ def matched_purity(rows: DataFrame, cluster: str, truth: str) -> float:
 
     With k labels on the smaller side, only the k heaviest partners of each can matter: of those, at most k - 1
     go to other labels, so one at least as heavy as any lighter partner is free. The driver solves these k * k
-    cells at most; the rest stays in Spark.
+    cells at most; the rest stays in Spark. More than ``SOLVED`` labels on both sides are refused.
     """
     table = contingency(rows.where(F.col(cluster) != -1), cluster, truth)
     sizes = table.agg(F.count_distinct(F.struct("a")).alias("a"), F.count_distinct(F.struct("b")).alias("b"), F.sum("n").alias("total")).first()
     if not sizes["total"]:
         return 0.0
     few, many = ("a", "b") if sizes["a"] <= sizes["b"] else ("b", "a")
+    if sizes[few] > SOLVED:
+        raise ValueError(f"an assignment of {sizes[few]} labels is too large to solve")
     heavy = Window.partitionBy(few).orderBy(F.desc("n"), many)
     cells = table.withColumn("rank", F.row_number().over(heavy)).where(F.col("rank") <= sizes[few]).toPandas()
     i, j = (pd.factorize(cells[c], use_na_sentinel=False)[0] for c in (few, many))
@@ -133,6 +144,28 @@ def error_rates(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     return rows.withColumns({"word_edits": words(a, b), "n_words": F.size(F.filter(F.split(a, r"\s+"), lambda w: w != "")).cast("long"), "char_edits": F.levenshtein(a, b).cast("long"), "n_chars": F.char_length(a).cast("long")})
 
 
+def rate(edits: Column, length: Column) -> Column:
+    """Edits for each unit of the reference; of an empty reference 0 where nothing was guessed either, else 1."""
+    return F.when(length > 0, edits / length).when(edits > 0, 1.0).otherwise(0.0)
+
+
+def segmentation_gate(rows: DataFrame, window: int, fixed: int, many: int, most: float = 0.30, margin: float = 0.05) -> DataFrame:
+    """One row that says whether guessed boundaries are good: (p_k, fixed_p_k, random_p_k, passed, beats).
+
+    ``rows`` has (session, seq, truth, guess). ``passed`` is a mean P_k below ``most``; ``beats`` is one lower by more than
+    ``margin`` than both baselines, a boundary every ``fixed`` rows and ``many`` random ones.
+    """
+    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1)
+    sizes = rows.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    marked = numbered
+    for name, cuts in (("fixed", fixed_boundaries(sizes, fixed)), ("random", random_boundaries(sizes, many))):
+        marked = marked.join(cuts.select("session", "at", F.lit(1).alias(name)), ["session", "at"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    score = lambda name: boundary_errors(marked.select("session", "seq", "truth", F.col(name).alias("guess")), window).agg(F.avg("p_k").alias(name))
+    one = score("guess").join(score("fixed")).join(score("random"))  # one row each
+    best = F.least("fixed", "random")
+    return one.select(F.col("guess").alias("p_k"), F.col("fixed").alias("fixed_p_k"), F.col("random").alias("random_p_k"), (F.col("guess") < most).alias("passed"), (F.col("guess") < best - margin).alias("beats"))
+
+
 def boundary_errors(rows: DataFrame, window: int) -> DataFrame:
     """P_k and WindowDiff of guessed against true boundaries: rows (session, seq, truth, guess as 0/1).
 
@@ -145,20 +178,64 @@ def boundary_errors(rows: DataFrame, window: int) -> DataFrame:
     return seen.groupBy("session").agg(F.avg(((F.col("t") > 0) != (F.col("g") > 0)).cast("double")).alias("p_k"), F.avg((F.col("t") != F.col("g")).cast("double")).alias("window_diff"))
 
 
-def silhouette(units: DataFrame, cluster: str) -> DataFrame:
+def silhouette(rows: DataFrame, cluster: str, block: int = BLOCK) -> DataFrame:
     """Mean cosine silhouette, noise (-1) left out: (n, silhouette); 0 with one cluster.
 
-    The mean cosine distance of a row to a cluster is 1 minus its product with the cluster's mean
-    unit vector, so rows meet cluster means, never each other. ``units`` has (id, cluster, unit).
+    The mean cosine distance of a row to a cluster is 1 minus its product with the cluster's mean unit vector, so rows
+    meet cluster means, never each other. ``rows`` has (id, cluster as a whole number, embedding).
     """
-    rows = units.where(F.col(cluster) != -1).select("id", F.col(cluster).alias("c"), "unit")
-    parts = rows.select("c", F.posexplode("unit").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    sums = parts.groupBy("c").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
-    known = F.broadcast(sums.agg(F.collect_list(F.struct("c", "n", F.transform("p", lambda p: p["x"]).alias("s"))).alias("clusters")))  # one row: the clusters' sums
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = rows.join(known).select("id", "c", "unit", F.explode("clusters").alias("k"))
-    own = F.col("k.c") == F.col("c")
-    d = F.when(own & (F.col("k.n") > 1), 1 - (dot(F.col("unit"), F.col("k.s")) - 1) / (F.col("k.n") - 1)).when(own, F.lit(None)).otherwise(1 - dot(F.col("unit"), F.col("k.s")) / F.col("k.n"))
-    best = met.select("id", own.alias("own"), d.alias("d")).groupBy("id").agg(F.max(F.when(F.col("own"), F.col("d"))).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
-    return best.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette"))
+    rows = rows.where(F.col(cluster) != -1).select("id", F.col(cluster).cast("long").alias("c"), unit(F.col("embedding").cast("array<double>")).alias("embedding"))
+    means = mean_pool(rows, "c").select(F.col("c").alias("id"), F.col("n").alias("c"), F.col("centroid").alias("embedding"))
+
+    def seen(a: Side, b: Side) -> dict[str, np.ndarray]:
+        s = a.units @ (b.units * b.lengths[:, None]).T
+        own = a.tags[:, None] == b.ids[None, :]
+        best = lambda mask: np.where(mask, s, -np.inf).max(axis=1, initial=-np.inf)
+        return {"id": a.ids, "own": best(own), "other": best(~own), "n": np.where(own, b.tags[None, :], 0).max(axis=1, initial=0)}
+
+    met = compared(rows, means, seen, "id long, own double, other double, n long", tag="c", block=block)
+    met = met.groupBy("id").agg(F.max("own").alias("own"), F.max("other").alias("other"), F.max("n").alias("n"))
+    n = F.col("n")
+    met = met.withColumn("a", 1 - (F.col("own") * n - 1) / F.when(n > 1, n - 1)).withColumn("b", 1 - F.col("other"))
+    alone = F.col("a").isNull() | (F.col("other") == float("-inf"))
+    s = F.when(alone, 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return met.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(s), F.lit(0.0)).alias("silhouette"))
+
+
+def diversity(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, diversity): 1 minus the mean pairwise cosine of a group's vectors, in [0, 1]; 0 for a single one.
+
+    The sum of all products is the squared length of the sum of unit vectors, so no pair is formed.
+    """
+    units = rows.select(key, F.posexplode(unit(F.col("embedding"))).alias("i", "x"))
+    sums = units.groupBy(key, "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    n = F.max("n")
+    mean = (F.sum(F.col("x") * F.col("x")) - n) / (n * (n - 1))
+    value = F.when(n > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean))).otherwise(F.lit(0.0))
+    return sums.groupBy(key).agg(n.alias("n"), value.alias("diversity"))
+
+
+def snr_db(samples: np.ndarray, share: float = 0.05, offset: float = 15.0) -> float:
+    """Signal to noise from the spectrum: mean power of its strongest bins over the median of the rest, less a fixed bias; 0 for fewer than 8 samples or silence."""
+    if len(samples) < 8:
+        return 0.0
+    power = np.sort(np.abs(np.fft.rfft(samples)) ** 2)[::-1]
+    if power.sum() <= 0:
+        return 0.0
+    n = max(1, int(len(power) * share))
+    signal = power[:n].mean()
+    noise = np.median(power[n:]) if len(power) > n else signal
+    return float(10 * np.log10(max(signal, 1e-12) / max(noise, 1e-12)) - offset)
+
+
+def by_condition(rows: DataFrame) -> DataFrame:
+    """(condition, n, baseline, adapted, improved): mean rates over the texts of each condition, before and after."""
+    found = rows.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.avg("baseline").alias("baseline"), F.avg("adapted").alias("adapted"))
+    return found.withColumn("improved", F.col("adapted") < F.col("baseline"))
+
+
+def purity_gate(rows: DataFrame, run: str, cluster: str, truth: str, least: float = 0.6) -> DataFrame:
+    """One row (best, passed): the best purity of several runs, against a gate."""
+    counts = rows.groupBy(run, cluster, truth).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(run, cluster).agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    return best.groupBy(run).agg((F.sum("best") / F.sum("n")).alias("purity")).agg(F.max("purity").alias("best"), (F.max("purity") > least).alias("passed"))

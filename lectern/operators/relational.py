@@ -39,14 +39,15 @@ def latest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 def allocate(weights: DataFrame, key: str, weight: Column, slots: int) -> DataFrame:
     """Largest-remainder allocation: (key, slots) sums to ``slots``; ties of remainders go to the smaller key.
 
-    ``weights`` is one row per topic: a small table.
+    The sum is an aggregate, and the largest remainders are a sort with a limit (fewer than ``slots`` and than keys),
+    so no task holds all keys.
     """
     w = weights.select(key, weight.alias("w"))
     total = w.agg(F.sum("w").alias("total"))
-    quota = w.join(F.broadcast(total)).withColumn("quota", F.col("w") / F.col("total") * slots).withColumn("base", F.floor("quota"))  # one row
-    left = F.lit(slots) - F.sum("base").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("quota") - F.col("base"), 9)), key))
-    return quota.select(key, (F.col("base") + F.when(rank <= left, 1).otherwise(0)).cast("long").alias("slots"))
+    quota = w.join(F.broadcast(total)).withColumn("quota", F.col("w") / F.col("total") * slots).withColumn("base", F.floor("quota").cast("long"))  # one row
+    left = slots - (quota.agg(F.sum("base").alias("n")).first()["n"] or 0)
+    extra = quota.orderBy(F.desc(F.round(F.col("quota") - F.col("base"), 9)), key).limit(max(left, 0)).select(key, F.lit(1).cast("long").alias("extra"))
+    return quota.join(extra, key, "left").select(key, (F.col("base") + F.coalesce("extra", F.lit(0))).alias("slots"))
 
 
 def merge(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,3 +131,23 @@ def similar_hashes(rows: DataFrame, id_col: str, hash_col: str, most: int = 8, b
     twin = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))
     found = pairs.select("id", F.when(twin.isNotNull(), F.struct(F.lit(0).alias("distance"), twin.alias("other"))).otherwise(F.col("best")).alias("b"))
     return found.where("b IS NOT NULL").select("id", "b.other", "b.distance")
+
+
+def exported(owners: DataFrame, chain: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """All rows of some owners (k), table by table down ``chain`` (kind, table, its key, its parent key): (kind, record as JSON)."""
+    out, keys = None, owners
+    for kind, table, own, parent in chain:
+        held = table.join(keys, F.col(parent) == F.col("k"), "left_semi")
+        part = held.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*table.columns)).alias("record"))
+        out = part if out is None else out.unionByName(part)
+        keys = held.select(F.col(own).alias("k"))
+    return out
+
+
+def costs(runs: DataFrame, prices: DataFrame, key: str) -> DataFrame:
+    """(session, cost) of runs (session, key, units) by a price list (key, price); what has no price costs nothing.
+
+    Units are summed by session and key before they meet the prices.
+    """
+    used = runs.groupBy("session", key).agg(F.sum("units").alias("units"))
+    return used.join(prices, key, "left").groupBy("session").agg(F.sum(F.col("units") * F.coalesce("price", F.lit(0.0))).alias("cost"))

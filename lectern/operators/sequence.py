@@ -33,11 +33,12 @@ def segments(rows: DataFrame, percentile: float = 0.25) -> DataFrame:
 
     A boundary lies after each row whose similarity to the next is below the session's percentile.
     ``boundary_score`` is 1 minus that similarity, ``confidence`` its distance from the threshold in
-    standard deviations (0.5 without spread), both 1 for the last segment of a session.
+    standard deviations (0.5 without spread), both 1 for the last segment of a session. All steps share one
+    shuffle by session; threshold and spread are an aggregate joined back, not a frame over the whole session.
     """
-    session = Window.partitionBy("session")
     scored = adjacent_similarity(rows.select("session", "seq", "embedding")).drop("embedding")
-    scored = scored.withColumn("threshold", F.percentile("similarity", F.lit(percentile)).over(session)).withColumn("spread", F.stddev_pop("similarity").over(session))
+    limits = scored.groupBy("session").agg(F.percentile("similarity", F.lit(percentile)).alias("threshold"), F.stddev_pop("similarity").alias("spread"))
+    scored = scored.join(limits, "session")
     cut = F.coalesce(F.col("similarity") < F.col("threshold"), F.lit(False))
     scored = scored.withColumn("cut", cut.cast("int")).withColumn("segment", F.sum("cut").over(ordered("session").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cut"))
     sure = F.when(F.col("spread") > 0, F.least(F.lit(1.0), F.abs(F.col("threshold") - F.col("at_cut")) / F.col("spread"))).otherwise(F.lit(0.5))
@@ -49,9 +50,16 @@ def segments(rows: DataFrame, percentile: float = 0.25) -> DataFrame:
 
 
 def members(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows joined to the segment whose range holds their seq: an equi-join on the session, bounded by its segments."""
-    s = spans.select("session", "segment", "start_seq", "end_seq")
-    return rows.join(s, "session").where(F.col("seq").between(F.col("start_seq"), F.col("end_seq"))).drop("start_seq", "end_seq")
+    """Rows with the segment whose range holds their seq.
+
+    Segments don't overlap, so their starts are carried on over the rows in order: one pass of each session, no pairs.
+    """
+    names = rows.columns
+    marks = spans.select("session", F.col("start_seq").alias("seq"), F.lit(0).alias("kind"), F.struct("segment", "end_seq").alias("span"))
+    both = rows.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    carried = F.last("span", ignorenulls=True).over(Window.partitionBy("session").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    held = both.withColumn("span", carried).where((F.col("kind") == 1) & (F.col("seq") <= F.col("span.end_seq")))
+    return held.select(*names, F.col("span.segment").alias("segment"))
 
 
 def mean_pool(rows: DataFrame, *keys: str) -> DataFrame:
@@ -71,9 +79,14 @@ def cue_matches(rows: DataFrame, cues: dict[str, tuple[str, float]]) -> DataFram
 
 
 def nearest_segment(cues: DataFrame, spans: DataFrame, most: int = 3) -> DataFrame:
-    """Each cue with the segment that starts nearest to it, at most ``most`` away; ties take the earlier start."""
-    s = spans.select("session", "segment", "start_seq")
-    near = cues.join(s, "session").where(F.abs(F.col("seq") - F.col("start_seq")) <= most)
+    """Each cue with the segment that starts nearest to it, at most ``most`` away; ties take the earlier start.
+
+    Cues meet starts in buckets of ``most + 1`` positions (their own and the two beside it), not all starts of a session.
+    """
+    place = F.floor(F.col("start_seq") / (most + 1))
+    s = spans.select("session", "segment", "start_seq", place.alias("bucket"))
+    own = F.floor(F.col("seq") / (most + 1))
+    near = cues.withColumn("bucket", F.explode(F.array(own - 1, own, own + 1))).join(s, ["session", "bucket"]).drop("bucket").where(F.abs(F.col("seq") - F.col("start_seq")) <= most)
     rank = Window.partitionBy("session", "seq", "cue").orderBy(F.abs(F.col("seq") - F.col("start_seq")), "start_seq")
     return near.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank")
 
@@ -107,3 +120,29 @@ def clamp_words(words: Column) -> Column:
 
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint>>").alias("out"))
     return F.aggregate(words, begin, step, lambda acc: acc["out"])
+
+
+def renumbered(rows: DataFrame, session: str, *order: str) -> DataFrame:
+    """Rows of a session numbered anew from 0 in order: what chunks of a session numbered each for itself."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(session).orderBy(*order)) - 1)
+
+
+def rising(rows: DataFrame, group: str, at: str, ordinal: str) -> DataFrame:
+    """(group, n, valid): whether the ordinals of a group rise strictly in the order of ``at``."""
+    before = F.lag(ordinal).over(Window.partitionBy(group).orderBy(at))
+    marked = rows.select(group, F.coalesce(F.col(ordinal) > before, F.lit(True)).alias("ok"))
+    return marked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("valid"))
+
+
+def fixed_boundaries(sizes: DataFrame, window: int) -> DataFrame:
+    """Baseline: of (session, n) a boundary every ``window`` positions: (session, at)."""
+    starts = F.when(F.col("n") > window, F.sequence(F.lit(window).cast("long"), F.col("n") - 1, F.lit(window).cast("long")))
+    return sizes.select("session", F.explode(starts).alias("at"))
+
+
+def random_boundaries(sizes: DataFrame, many: int, seed: str = "42") -> DataFrame:
+    """Baseline: of (session, n) ``many`` boundaries at positions 1 to n - 1, drawn by a hash of session, position and seed: (session, at)."""
+    spots = sizes.where("n > 1").select("session", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 1)).alias("at"))
+    drawn = F.md5(F.concat_ws("-", "session", "at", F.lit(seed)))
+    rank = F.row_number().over(Window.partitionBy("session").orderBy(drawn))
+    return spots.withColumn("rank", rank).where(F.col("rank") <= many).drop("rank")

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.functions.vector import unit
 from lectern.operators import metrics as M
-from lectern.operators import sequence
 from lectern.plans.registry import query
-from lectern.sources.tables import embedded, table, utterances
+from lectern.sources.tables import embedded, table
 
 _L = "l AS (SELECT quality AS a, 1 - toxic AS b FROM labels)"
 
@@ -69,18 +67,10 @@ s AS (SELECT id, max(CASE WHEN c = k THEN d END) AS a, min(CASE WHEN c <> k THEN
 SELECT count(*) AS n, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""",
 )
 def _(spark, sf_dir):
-    rows = embedded(spark, sf_dir).select(F.col("seq").alias("id"), F.col("topic").alias("c"), unit(F.col("embedding")).alias("unit"))
+    rows = embedded(spark, sf_dir).select(F.col("seq").alias("id"), F.col("topic").alias("c"), "embedding")
     return M.silhouette(rows, "c").withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query("a30_error_rates")
-def _(spark, sf_dir):
-    """Each utterance against the next one of its session: edits of words and characters."""
-    rows = utterances(spark, sf_dir).withColumn("next", F.lead("text").over(sequence.ordered("session"))).where("next IS NOT NULL")
-    found = M.error_rates(rows.select("session", "text", "next"), "text", "next")
-    return found.groupBy("session").agg(F.sum("word_edits").alias("word_edits"), F.sum("n_words").alias("n_words"), F.round(F.sum("char_edits") / F.sum("n_chars"), 6).alias("cer"))
-
-
 @query(
     "a32_boundary_errors",
     """WITH e AS (SELECT vec_id // 50 AS session, vec_id AS seq, label FROM embeddings), b AS (SELECT session, seq, CASE WHEN label <> lag(label) OVER w THEN 1 ELSE 0 END AS truth, CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END AS guess FROM e WINDOW w AS (PARTITION BY session ORDER BY seq)),

@@ -44,11 +44,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(F.col("text").ilike("%tion%")).select("conv_id", "turn")
 
 
-@query("p9_retry_eligible", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 150000 AND o_orderdate < DATE '1997-01-01'")
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 150000) & (F.col("o_orderdate") < F.lit("1997-01-01").cast("date"))).select("o_orderkey")
-
-
 @query("p12_ambiguity_band", "SELECT event_id, coalesce(value BETWEEN 40 AND 60, false) AS ambiguous FROM events")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalar.in_band(F.col("value"), 40, 60).alias("ambiguous"))
@@ -73,12 +68,6 @@ def _(spark, sf_dir):
     return R.quarantine(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source"), rules).select("doc_id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("p22_latest_version", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
-def _(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "o_orderdate")
-    return R.latest(done, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
-
-
 @query("j1_foreign_join", "SELECT p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
 def _(spark, sf_dir):
     joined = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
@@ -105,16 +94,6 @@ def _(spark, sf_dir):
     return s.unionByName(c).join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), "k", "left").drop("k")
 
 
-@query("j13_asof_nearest", "WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), p AS (SELECT event_id AS other, user_id, ts AS t2 FROM events WHERE event_type = 'purchase'), m AS (SELECT v.event_id, other, row_number() OVER (PARTITION BY v.event_id ORDER BY t2 DESC, other DESC) AS rank FROM v JOIN p ON v.user_id = p.user_id AND t2 <= ts) SELECT v.event_id, coalesce(other, -1) AS other FROM v LEFT JOIN m ON v.event_id = m.event_id AND rank = 1")
-def _(spark, sf_dir):
-    """As-of join: both sides in one ordered pass of each user, the last purchase carried on; no pairs are formed."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "purchase"))
-    bought = F.col("event_type") == "purchase"
-    carried = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(bought, F.struct("ts", "event_id"))).over(carried)["event_id"]
-    return e.withColumn("other", F.coalesce(last, F.lit(-1))).where(~bought).select("event_id", "other")
-
-
 @query("j16_similar_hashes", "WITH h AS (SELECT doc_id AS id, ('0x' || md5(coalesce(lang, '') || coalesce(source, '') || (n_chars % 7))[1:15])::BIGINT AS h FROM documents), m AS (SELECT a.id, b.id AS other, bit_count(xor(a.h, b.h)) AS distance FROM h a JOIN h b ON a.id <> b.id WHERE bit_count(xor(a.h, b.h)) <= 8) SELECT id, other, CAST(distance AS INT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM m) WHERE rank = 1")
 def _(spark, sf_dir):
     text = F.concat(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), (F.col("n_chars") % 7).cast("string"))
@@ -148,13 +127,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
 
 
-_PRICES = {"view": 0.1, "click": 0.2, "signup": 0.5, "purchase": 1.0}
-
-
-@query("a11_cost_per_session", "SELECT user_id, round(sum(value * CASE event_type WHEN 'view' THEN 0.1 WHEN 'click' THEN 0.2 WHEN 'signup' THEN 0.5 WHEN 'purchase' THEN 1.0 ELSE 0 END), 4) AS cost FROM events GROUP BY user_id")
+@query("a11_cost_per_session", "WITH p AS (SELECT 'Brand#' || k AS agent, k / 100.0 AS price FROM range(1, 15) AS t(k)) SELECT l_orderkey AS session, round(sum(l_quantity * coalesce(price, 0)), 4) AS cost FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN p ON p_brand = agent GROUP BY 1")
 def _(spark, sf_dir):
-    prices = F.create_map(*(x for k, v in _PRICES.items() for x in (F.lit(k), F.lit(v))))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sum(F.col("value") * F.coalesce(F.try_element_at(prices, F.col("event_type")), F.lit(0.0))), 4).alias("cost"))
+    """Runs priced by a table of prices that lacks some brands: these cost nothing."""
+    prices = spark.range(1, 15).select(F.concat(F.lit("Brand#"), F.col("id").cast("string")).alias("p_brand"), (F.col("id") / 100.0).alias("price"))
+    runs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    return R.costs(runs.select(F.col("l_orderkey").alias("session"), "p_brand", F.col("l_quantity").alias("units")), prices, "p_brand").withColumn("cost", F.round("cost", 4))
 
 
 @query("a12_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 4) AS discount FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -266,14 +244,6 @@ def _(spark, sf_dir):
     return joined.select("o_orderkey", F.when(F.col("gone"), F.lit(-1)).otherwise(F.col("o_custkey")).alias("o_custkey"))
 
 
-@query("d7_merge_undo", "SELECT vec_id, label FROM embeddings")
-def _(spark, sf_dir):
-    """A merge of two topics and its undo from the audit row give the table back."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    merged, audit = R.merge_topics(rows, "label", 3, 4)
-    return R.undo_merge(merged, audit, "label").withColumn("label", F.col("label").cast("int"))
-
-
 @query("r12_legal_transitions", "WITH s AS (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), n AS (SELECT event_id, CASE before WHEN 'view' THEN 'created' WHEN 'click' THEN 'recording' WHEN 'signup' THEN 'transcribed' ELSE 'processing' END AS a, CASE event_type WHEN 'view' THEN 'recording' WHEN 'click' THEN 'transcribed' WHEN 'signup' THEN 'processing' ELSE 'failed' END AS b FROM s WHERE before IS NOT NULL) SELECT event_id, (a, b) IN (('created', 'recording'), ('recording', 'transcribed'), ('transcribed', 'processing'), ('processing', 'complete'), ('processing', 'failed'), ('failed', 'processing'), ('failed', 'transcribed'), ('created', 'failed'), ('recording', 'failed')) AS legal FROM n")
 def _(spark, sf_dir):
     before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))

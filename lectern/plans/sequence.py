@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lectern.functions.scalar import midpoint
 from lectern.functions.text import CUES, GREETINGS
-from lectern.functions.vector import cosine, unit
 from lectern.operators import search, sequence
+from lectern.operators.metrics import diversity
 from lectern.plans.registry import query
 from lectern.sources.tables import embedded, utterances
 
@@ -146,15 +146,9 @@ def _(spark, sf_dir):
 
 @query("j18_hard_negatives", f"WITH {_KNN} SELECT query, id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) AS rank FROM m WHERE t0 <> t1) WHERE rank <= 3")
 def _(spark, sf_dir):
-    """Nearest rows of other topics: kNN within each other topic, ranked; topics are labels, few."""
+    """Nearest rows of other topics, in one search: rows of the query's own topic are masked."""
     rows = embedded(spark, sf_dir).select(F.col("seq").alias("id"), "embedding", "topic")
-    asked, topics = rows.where("id % 100 = 0"), [r["topic"] for r in rows.select("topic").distinct().collect()]  # a label set
-    found = None
-    for t in topics:
-        part = search.knn(rows.where(F.col("topic") == t).select("id", "embedding"), asked.where(F.col("topic") != t).select("id", "embedding"), 3)
-        found = part if found is None else found.unionByName(part)
-    rank = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id")
-    return found.withColumn("rank", F.row_number().over(rank)).where("rank <= 3").withColumn("similarity", F.round("similarity", 6))
+    return search.knn(rows, rows.where("id % 100 = 0"), 3, other="topic").withColumn("similarity", F.round("similarity", 6))
 
 
 _TOPIC = f"{_E}, {_POOL.format(keys='topic', src='e')}, cen AS (SELECT topic, list(x ORDER BY i) AS centroid FROM p GROUP BY topic)"
@@ -181,12 +175,9 @@ SELECT item, round(max(s), 6) AS best, CASE WHEN max(s) >= 0.8 THEN 'covered' WH
 def _(spark, sf_dir):
     """Items (topic centroids) against sessions (pooled): the item list is one row for each label."""
     rows = embedded(spark, sf_dir)
-    items = sequence.mean_pool(rows, "topic").select(F.col("topic").alias("item"), F.col("centroid").alias("a"))
-    sessions = sequence.mean_pool(rows, "session").select("session", F.col("centroid").alias("b"))
-    known = F.broadcast(items.agg(F.collect_list(F.struct("item", "a")).alias("items")))  # one row of all labels
-    best = sessions.join(known).select("b", F.explode("items").alias("x")).select("x.item", cosine(F.col("x.a"), F.col("b")).alias("s")).groupBy("item").agg(F.max("s").alias("best"), F.count_if(F.col("s") >= 0.6).alias("n_near"))
-    status = F.when(F.col("best") >= 0.8, "covered").when(F.col("best") >= 0.6, "partial").otherwise("uncovered")
-    return best.select("item", F.round("best", 6).alias("best"), status.alias("status"), "n_near")
+    items = sequence.mean_pool(rows, "topic").select(F.col("topic").alias("id"), F.col("centroid").alias("embedding"))
+    sessions = sequence.mean_pool(rows, "session").select(F.col("session").alias("id"), F.col("centroid").alias("embedding"))
+    return search.coverage(items, sessions).withColumn("best", F.round("best", 6))
 
 
 @query(
@@ -206,12 +197,7 @@ def _(spark, sf_dir):
 @query("a36_diversity", f"WITH {_E}, n AS (SELECT topic, i, sum(embedding[i] / sqrt(list_dot_product(embedding, embedding))) AS x, count(*) AS n FROM e, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY topic, i) SELECT topic, any_value(n) AS n, round(CASE WHEN any_value(n) > 1 THEN greatest(0.0, least(1.0, 1 - (sum(x * x) - any_value(n)) / (any_value(n) * (any_value(n) - 1)))) ELSE 0.0 END, 6) AS diversity FROM n GROUP BY topic")
 def _(spark, sf_dir):
     """1 minus the mean pairwise cosine, from the length of the sum of unit vectors: no pair is formed."""
-    units = embedded(spark, sf_dir).select("topic", F.posexplode(unit(F.col("embedding"))).alias("i", "x"))
-    sums = units.groupBy("topic", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    n = F.max("n")
-    mean = (F.sum(F.col("x") * F.col("x")) - n) / (n * (n - 1))
-    value = F.when(n > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean))).otherwise(F.lit(0.0))
-    return sums.groupBy("topic").agg(n.alias("n"), F.round(value, 6).alias("diversity"))
+    return diversity(embedded(spark, sf_dir), "topic").withColumn("diversity", F.round("diversity", 6))
 
 
 @query(
@@ -235,47 +221,17 @@ SELECT m.session, m.seq, coalesce(j.speaker, 'UNKNOWN') AS speaker FROM m LEFT J
 )
 def _(spark, sf_dir):
     rows = utterances(spark, sf_dir)
-    mid = rows.select("session", "seq", F.floor((F.col("start_ms") + F.col("end_ms")) / 2).alias("mid"))
-    turns = rows.select("session", "speaker", F.col("start_ms").alias("begin"))
-    met = mid.join(turns, "session").where((F.col("mid") >= F.col("begin")) & (F.col("mid") < F.col("begin") + 4000))
-    found = met.groupBy("session", "seq").agg(F.min_by("speaker", "begin").alias("speaker"))
-    return mid.join(found, ["session", "seq"], "left").select("session", "seq", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"))
+    mid = rows.select("session", "seq", midpoint(F.col("start_ms"), F.col("end_ms")).alias("mid"))
+    turns = rows.select("session", "speaker", "start_ms", (F.col("start_ms") + 4000).alias("end_ms"))
+    return search.at_point(mid, turns, "speaker").select("session", "seq", F.coalesce("speaker", F.lit("UNKNOWN")).alias("speaker"))
 
 
 @query(
     "j12_silence_overlap",
     f"""WITH {_U}, r AS (SELECT session, end_ms AS s2, start_ms + 4000 AS e2 FROM u WHERE end_ms < start_ms + 4000)
-SELECT u.session, u.seq, CAST(sum(coalesce(greatest(least(u.end_ms + 200, e2) - greatest(u.start_ms - 200, s2), 0), 0)) AS BIGINT) AS covered_ms FROM u LEFT JOIN r ON u.session = r.session GROUP BY 1, 2""",
+SELECT u.session, u.seq, CAST(sum(CASE WHEN s2 IS NULL THEN 0 ELSE greatest(least(u.end_ms + 200, e2) - greatest(u.start_ms - 200, s2), 0) END) AS BIGINT) AS covered_ms FROM u LEFT JOIN r ON u.session = r.session GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
     rows = utterances(spark, sf_dir)
     gaps = rows.where("end_ms < start_ms + 4000").select("session", F.col("end_ms").alias("start_ms"), (F.col("start_ms") + 4000).alias("end_ms"))
     return search.covered_ms(rows.select("session", "seq", "start_ms", "end_ms"), gaps, 200)
-
-
-_LEX = f"""{_U}, w AS (SELECT session * 1000 + seq AS id, list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\w\\s]', '', 'g')), '\\s+'), lambda x: x <> '') AS ws FROM u),
-lx AS (SELECT id, len(list_filter(ws, lambda x: x IN ('the', 'of'))) / (1 + ln(len(ws))) AS score FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'of'))"""
-
-
-@query("k3_lexical_topk", f"WITH {_LEX} SELECT id, round(score, 6) AS score FROM lx ORDER BY score DESC, id LIMIT 50")
-def _(spark, sf_dir):
-    rows = utterances(spark, sf_dir).select((F.col("session") * 1000 + F.col("seq")).alias("id"), "text")
-    return search.lexical_scores(rows, ["the", "of"]).orderBy(F.desc("score"), "id").limit(50).withColumn("score", F.round("score", 6))
-
-
-@query(
-    "v9_hybrid_search",
-    f"""WITH {_LEX}, l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM lx QUALIFY rank <= 50),
-q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1),
-vx AS (SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 9) AS score FROM embeddings, q),
-v AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vx QUALIFY rank <= 50)
-SELECT coalesce(l.id, v.id) AS id, round(coalesce(1 / (60 + l.rank), 0) + coalesce(1 / (60 + v.rank), 0), 9) AS fused FROM l FULL JOIN v ON l.id = v.id ORDER BY fused DESC, id LIMIT 20""",
-)
-def _(spark, sf_dir):
-    """Lexical and vector candidates fused by reciprocal rank; the query vector is the first row's."""
-    rows = utterances(spark, sf_dir).select((F.col("session") * 1000 + F.col("seq")).alias("id"), "text")
-    lexical = search.ranked(search.lexical_scores(rows, ["the", "of"]), 50)
-    vectors = embedded(spark, sf_dir).select(F.col("seq").alias("id"), "embedding")
-    asked = F.broadcast(vectors.orderBy("id").limit(1).select(F.col("embedding").alias("asked")))  # one row
-    scored = vectors.join(asked).select("id", F.round(cosine(F.col("embedding"), F.col("asked")), 9).alias("score"))
-    return search.fuse(lexical, search.ranked(scored, 50), 20).withColumn("fused", F.round("fused", 9))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.plans.registry import query
-from lectern.sources.tables import embedded, table
+from lectern.sources.tables import table
 from lectern.streaming.ingest import complete_sessions
 from lectern.streaming.quality import alerts
 
@@ -47,28 +46,3 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("first_ts"), "n")
-
-
-@query("w18_incremental_centroids")
-def _(spark, sf_dir):
-    """Topics grown in arrival order, a session each: a row joins the nearest topic of at least 0.5, else founds one."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        centroids, sizes, out = [], [], []
-        for seq, vector in pdf.sort_values("seq")[["seq", "embedding"]].itertuples(index=False):
-            x = np.asarray(vector, dtype=float)
-            s = [float(c @ x / max(np.linalg.norm(c) * np.linalg.norm(x), 1e-300)) for c in centroids]
-            k = int(np.argmax(s)) if s else -1
-            if s and s[k] >= 0.5:
-                centroids[k] = (centroids[k] * sizes[k] + x) / (sizes[k] + 1)
-                sizes[k] += 1
-            else:
-                k = len(centroids)
-                centroids.append(x)
-                sizes.append(1)
-            out.append((key[0], seq, k))
-        return pd.DataFrame(out, columns=["session", "seq", "grown_topic"])
-
-    return embedded(spark, sf_dir).groupBy("session").applyInPandas(run, "session long, seq long, grown_topic long")

@@ -102,9 +102,3 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.col("n_regionkey").alias("parent"))
     return merge(rows.withColumn("v", F.lit("old")), rows.where("parent = 1").withColumn("v", F.lit("new")), ["title", "parent"])
-
-
-@query("d9_alignment_edit", "SELECT user_id, array_to_string(list_sort(list_distinct(list_filter(list(event_type), lambda x: x <> 'error') || ['linked'])), ',') AS covered_by FROM events GROUP BY user_id")
-def _(spark, sf_dir):
-    linked = F.array_union(F.array_remove(F.collect_set("event_type"), "error"), F.array(F.lit("linked")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(linked), ",").alias("covered_by"))

@@ -35,9 +35,7 @@ _KW = " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for
 
 @query("f6_keyword_density", f"WITH x AS (SELECT page_id, lower(html) AS t FROM pages) SELECT page_id, round(({_KW}) / greatest(len(regexp_extract_all(t, '[a-z0-9_]+')), 1), 6) AS density FROM x")
 def _(spark, sf_dir):
-    low = F.lower("html")
-    hits = sum((text.occurrences(low, w) for w in text.SYLLABUS_WORDS), F.lit(0))
-    return table(spark, sf_dir, "pages").select("page_id", F.round(hits / F.greatest(F.size(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))), F.lit(1)), 6).alias("density"))
+    return table(spark, sf_dir, "pages").select("page_id", F.round(text.keyword_density(F.col("html")), 6).alias("density"))
 
 
 @query("f11_concepts", "WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in text.CONCEPTS.items()) + " ELSE 'unknown' END AS concept FROM x")

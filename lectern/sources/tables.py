@@ -28,6 +28,20 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as recorded sessions: (session, subject, status, notes_ready, retry_count, last_retry_at, created_at)."""
+    key, at = F.col("o_orderkey"), F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("session"),
+        F.col("o_custkey").alias("subject"),
+        F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "transcribed").otherwise("recording").alias("status"),
+        F.col("o_orderpriority").startswith("1").alias("notes_ready"),
+        (key % 5).alias("retry_count"),
+        F.when(key % 3 == 0, at + F.make_dt_interval((key % 7).cast("int"))).alias("last_retry_at"),
+        at.alias("created_at"),
+    )
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header; the schema is stated, never inferred."""
     return spark.read.schema(schema).option("header", True).csv(path)
@@ -53,3 +67,16 @@ def write_versioned(df: DataFrame, path: str, version: str) -> str:
     target = f"{path}/{version}"
     df.write.mode("errorifexists").json(target)
     return target
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; an existing path is an error."""
+    df.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def markdown_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A small table as one Markdown text in column ``report``, rows in order of the columns; nulls are empty cells."""
+    row = F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), " | "), F.lit(" |"))
+    head = f"| {' | '.join(columns)} |\n|{'-|' * len(columns)}\n"
+    listed = df.select(F.struct(*columns).alias("at"), row.alias("row")).agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("rows"))
+    return listed.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("report"))

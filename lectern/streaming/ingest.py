@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lectern.functions.scalar import speech_ratio
 
 
 def deduplicated(chunks: DataFrame, at: str, keys: list[str], horizon: str = "24 hours") -> DataFrame:
@@ -34,3 +40,47 @@ def complete_sessions(chunks: DataFrame) -> DataFrame:
     last = F.max(F.when(F.col("final"), F.col("sequence")))
     grouped = chunks.groupBy("session").agg(F.countDistinct("sequence").alias("n"), last.alias("last"))
     return grouped.select("session", "n", F.coalesce(F.col("n") == F.col("last") + 1, F.lit(False)).alias("ready"))
+
+
+def preprocessed(chunks: DataFrame, least: float = 0.1) -> DataFrame:
+    """(session, sequence, speech_ratio, has_speech, final) of chunks with their speech regions; stateless, batch or stream."""
+    ratio = speech_ratio(F.col("regions"), F.col("duration_ms"))
+    return chunks.select("session", "sequence", ratio.alias("speech_ratio"), (ratio > least).alias("has_speech"), "final")
+
+
+def first_chunk_status(sessions: DataFrame, chunks: DataFrame, before: str = "created", after: str = "recording") -> DataFrame:
+    """Sessions of status ``before`` that have a chunk take status ``after``; idempotent."""
+    begun = chunks.select("session").distinct().withColumn("begun", F.lit(True))
+    joined = sessions.join(begun, "session", "left")
+    status = F.when((F.col("status") == before) & F.coalesce("begun", F.lit(False)), F.lit(after)).otherwise(F.col("status"))
+    return joined.select(*(status.alias("status") if c == "status" else F.col(c) for c in sessions.columns))
+
+
+FINAL = "session long, n long"
+_SEEN = "sequences array<long>, last long, done boolean"
+
+
+def finalised(chunks: DataFrame, idle: str = "24 hours") -> DataFrame:
+    """Stream of sessions (session, n) that are whole: the final chunk is there and none before it is missing; each comes once.
+
+    The state of a session is the set of its sequence numbers and the final one; it ends ``idle`` after its last chunk.
+    """
+    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        sequences, last, done = state.get if state.exists else ([], None, False)
+        seen = set(sequences)
+        for pdf in parts:
+            seen.update(int(x) for x in pdf["sequence"])
+            final = pdf.loc[pdf["final"], "sequence"]
+            last = int(final.max()) if len(final) else last
+        whole = last is not None and not done and seen >= set(range(int(last) + 1))
+        if whole:
+            yield pd.DataFrame({"session": [key[0]], "n": [int(last) + 1]})
+        state.update(([] if done or whole else sorted(seen), last, bool(done or whole)))
+        state.setTimeoutDuration(wait_ms)
+
+    return chunks.groupBy("session").applyInPandasWithState(run, FINAL, _SEEN, "append", GroupStateTimeout.ProcessingTimeTimeout)

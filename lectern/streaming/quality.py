@@ -61,15 +61,20 @@ def alerts(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S) -> D
     return low.repartition("session").sortWithinPartitions("session", *order).mapInPandas(cooled, ALERT)
 
 
-def alert_stream(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S) -> DataFrame:
-    """Streaming form: the state of a session is its last values, their count, and its last alert."""
+def alert_stream(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S, idle: str = "24 hours") -> DataFrame:
+    """Streaming form: the state of a session is its last values, their count, and its last alert; it ends ``idle`` after the last row."""
+    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent, seen, fired = state.get if state.exists else ([], 0, None)
         pdf = pd.concat(list(parts)).sort_values(["at", "event"])
         fired = None if fired is None or fired != fired else fired
         out, recent, seen, fired = fold(list(zip(pdf.event, pdf["at"], pdf.value, strict=True)), list(recent), seen, fired, threshold, cooldown)
         state.update((recent, seen, fired))
+        state.setTimeoutDuration(wait_ms)
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["session", "event", "at", "score"])
 
-    return rows.groupBy("session").applyInPandasWithState(run, ALERT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session").applyInPandasWithState(run, ALERT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

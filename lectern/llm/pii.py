@@ -3,8 +3,8 @@
 High-recall generators (patterns) propose overlapping candidate spans; boosted trees over format and
 context features score them; a calibrated threshold selects what is added to the base spans, which
 always stay. Positions come from ``split``: the pieces between a pattern's matches and the matches
-themselves give each match's code-point offsets. Patterns are written without nested repetition, so
-that a match takes linear time and constant stack on texts of any length.
+themselves give each match's code-point offsets, by sums over blocks of matches. Patterns are written
+without nested repetition, so that a match takes linear time and constant stack on texts of any length.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import functools
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.spark import NULL_ID, materialize
@@ -23,6 +23,8 @@ from lectern.llm.spark import NULL_ID, materialize
 _JOINT, _DOT = "\ue000", "\ue001"
 
 BASE_KINDS = ("email", "ip", "card", "phone")
+#: Characters of context on each side of a candidate.
+CONTEXT = 24
 
 # The base patterns, as equivalents that a backtracking matcher runs in linear time on the prepared text.
 BASE = {
@@ -32,13 +34,13 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-# Candidate patterns by kind. They are wide on purpose; the trees decide.
+# Candidate patterns by kind. They are wide on purpose; the trees decide. Runs have no longest length; counts stand only where a number's own form has them.
 CANDIDATES = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+ ?(?:@|\(at\)|\[at\]| at ) ?[\w-]{1,63}+ ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,24}+",
+    "email": r"(?<![\w.%+-])[\w.%+-]++ ?(?:@|\(at\)|\[at\]| at ) ?[\w-]++ ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,}+",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,4}+[.,:]){3}[0-9]{1,4}+(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}[ .\-/]?[0-9]{4,6}+[ .\-/]?[0-9]{4,5}+[ .\-/]?[0-9]{0,4}+(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+|00)?[(]?[0-9]{1,4}+[)]?[ .\-/][(]?[0-9]{2,4}+[)]?[ .\-/]?[0-9]{3,4}+[ .\-/]?[0-9]{0,4}+(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_])(?:api[_-]?key|apikey|secret|token|password|passwd|pwd)(?![A-Za-z0-9])\W{1,5}+[A-Za-z0-9_+/=-]{8,128}+",
+    "secret": r"(?<![A-Za-z0-9_])(?:api[_-]?key|apikey|secret|token|password|passwd|pwd)(?![A-Za-z0-9])\W{1,5}+[A-Za-z0-9_+/=-]{8,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
@@ -47,8 +49,6 @@ EXTRA_KINDS = tuple(CANDIDATES)
 # Ends of host names that are no English words; an address in plain words must end in one.
 ENDS = "com|org|net|edu|gov|mil|int|info|biz|dev|xyz|de|fr|uk|nl|es|pl|ch|se|dk|fi|cz|ru|jp|cn|kr|br|ca|au|nz|eu|io|ai"
 
-#: Characters of context on each side of a candidate.
-CONTEXT = 24
 #: Distinct candidates that the trees are fitted on (about that many, see ``quotas``), and the share of false ones at which a kind's threshold is set.
 FIT_ROWS, FALSE_SHARE = 20_000, 0.02
 TREES, DEPTH = 8, 3
@@ -79,21 +79,56 @@ def jointed(text: Column) -> Column:
     return F.regexp_replace(free, r"(?<=[0-9])[\x20-](?=[0-9])", _JOINT)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as array<struct<start, match>>: leftmost, not overlapping, code points from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("piece"), found.alias("match"))
-    empty = F.array().cast("array<struct<start:int,match:string>>")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda over an array that holds it alone."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["piece"])
-        return F.struct(
-            (start + F.char_length(x["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["match"].alias("match")))).alias("out"),
-        )
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def _prefixed(values: Column, total, none: Column):
+    """A struct (v, k, before) from which ``_before`` gives ``total`` over the values ahead of a place.
+
+    ``before`` holds the totals ahead of each block of k values, k the root of their number, so that all places together
+    take n * sqrt(n) steps and nothing grows by appending.
+    """
+    blocks = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b["v"]) - 1) / b["k"]).cast("int")), lambda j: total(F.slice(b["v"], j * b["k"] + 1, b["k"])))
+    ahead = lambda t: F.transform(t, lambda _, j: F.when(j > 0, total(F.slice(t, 1, j))).otherwise(none))
+    sized = F.struct(values.alias("v"), F.ceil(F.sqrt(F.greatest(F.size(values), F.lit(1)))).cast("int").alias("k"))
+    return _let(sized, lambda b: F.struct(b["v"].alias("v"), b["k"].alias("k"), _let(blocks(b), ahead).alias("before")))
+
+
+def _before(p: Column, i: Column, total, join) -> Column:
+    """The total over the first i values of ``_prefixed``."""
+    j = F.floor(i / p["k"]).cast("int")
+    rest = i - j * p["k"]
+    return F.when(rest > 0, join(F.element_at(p["before"], j + 1), total(F.slice(p["v"], j * p["k"] + 1, rest)))).otherwise(F.element_at(p["before"], j + 1))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+_MATCHES = "array<struct<start:int,match:string,before:string,after:string>>"
+
+
+def matches(text: Column, pattern: str, context: int = CONTEXT) -> Column:
+    """All matches of a pattern as array<struct<start, match, before, after>>: leftmost, not overlapping, code points from 0.
+
+    ``before`` and ``after`` are up to ``context`` code points beside a match, no further than the match beside it reaches.
+    """
+
+    def placed(b: Column) -> Column:
+        gaps = F.transform(F.slice(b["p"], 1, F.size(b["m"])), lambda x: F.char_length(x))
+        widths = F.zip_with(gaps, F.transform(b["m"], lambda x: F.char_length(x)), lambda g, w: g + w)
+        known = F.struct(b["m"].alias("m"), b["p"].alias("p"), gaps.alias("g"), _prefixed(widths, _sum, F.lit(0)).alias("w"))
+        start = lambda q, i: _before(q["w"], i, _sum, lambda x, y: x + y) + F.element_at(q["g"], i + 1)
+        beside = lambda q, i: F.coalesce(F.get(q["m"], i), F.lit(""))
+        left = lambda q, i: F.right(F.concat(F.when(i > 0, beside(q, i - 1)).otherwise(""), F.get(q["p"], i)), F.lit(context))
+        right = lambda q, i: F.left(F.concat(F.get(q["p"], i + 1), beside(q, i + 1)), F.lit(context))
+        return _let(known, lambda q: F.transform(q["m"], lambda x, i: F.struct(start(q, i).alias("start"), x.alias("match"), left(q, i).alias("before"), right(q, i).alias("after"))))
+
+    empty = F.array().cast(_MATCHES)
+    whole = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    return _let(whole, lambda b: F.when(F.size(b["m"]) > 0, placed(b)).otherwise(empty))
 
 
 def digits_of(match: Column) -> Column:
@@ -154,7 +189,7 @@ def _candidates(text: Column) -> Column:
     def of(kind: str) -> Column:
         found = matches(text, CANDIDATES[kind] if kind != "secret" else "(?i)" + CANDIDATES[kind])
         if kind in ("card", "phone"):  # a separator at the end is no part of the number
-            found = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["match"], r"[ .\-/]+$", "").alias("match")))
+            found = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["match"], r"[ .\-/]+$", "").alias("match"), m["before"].alias("before"), F.left(F.concat(F.regexp_extract(m["match"], r"[ .\-/]*$", 0), m["after"]), F.lit(CONTEXT)).alias("after")))
         shape = F.transform(
             found,
             lambda m: F.struct(
@@ -162,11 +197,11 @@ def _candidates(text: Column) -> Column:
                 m["start"].cast("long").alias("start"),
                 (m["start"] + F.char_length(m["match"])).cast("long").alias("stop"),
                 m["match"].alias("match"),
-                F.substring(text, F.greatest(m["start"] + 1 - CONTEXT, F.lit(1)), F.least(m["start"], F.lit(CONTEXT))).alias("before"),
-                F.substring(text, m["start"] + F.char_length(m["match"]) + 1, F.lit(CONTEXT)).alias("after"),
+                m["before"].alias("before"),
+                m["after"].alias("after"),
             ),
         )
-        return F.when(text.rlike(able.get(kind, "[0-9]{2}")), shape).otherwise(F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,match:string,before:string,after:string>>"))
+        return F.when(text.rlike(able.get(kind, "[0-9]" if kind == "ip" else "[0-9]{2}")), shape).otherwise(F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,match:string,before:string,after:string>>"))
 
     return F.concat(*(of(kind) for kind in EXTRA_KINDS))
 
@@ -219,7 +254,8 @@ def _strong(kind: Column) -> Column:
     digits = digits_of(match)
     n = F.char_length(digits)
     between = F.regexp_replace(match, "[0-9]", "")
-    secret = match.rlike(r"[0-9]") & match.rlike(r"[a-fA-F]") & (F.char_length("match") >= 20)
+    value = F.regexp_extract(match, r"\W([A-Za-z0-9_+/=-]+)$", 1)
+    secret = (F.char_length(value) >= 8) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     own = {
         "email": _address(match),
         "ip": _octets(match) & ((between == "...") | (between.isin(",,,", ":::") & (F.col("cue") == 1))),
@@ -242,16 +278,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     ``false_share`` of all candidates of that kind fail, of those that overlap no base span. The sample is of distinct
     candidates by a hash of text, start and kind, so it is the same under any partitioning.
 
-    A null text is empty and has no spans; rows that repeat or share an id are each searched; a null
-    id stays null; an empty table gives an empty result; other columns are ignored.
+    Candidates of equal chance are taken by their start. A null text is empty and has no spans; texts of any length are
+    searched whole, in time near linear in them; rows that repeat or share an id are each searched; a null id stays null;
+    an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     base = F.concat(*(_of_kind(k, base_spans(F.col("text"), k)) for k in BASE_KINDS))
     found = rows.select("doc_id", F.xxhash64("text").alias("text_key"), base.alias("base"), _candidates(F.col("text")).alias("candidates"), F.monotonically_increasing_id().alias("uid"))
     found = materialize(found, "pii")
-    some = found.where(F.size("candidates") > 0).select("uid", "text_key", "base", F.explode("candidates").alias("c")).select("uid", "text_key", "base", "c.*")
-    some = some.withColumn("on_any", F.exists("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))).drop("base")
+    some = found.where(F.size("candidates") > 0)
+    some = _beside_base(some.select("uid", "text_key", F.explode("candidates").alias("c")).select("uid", "text_key", "c.*"), some.select("uid", F.explode("base").alias("s")).select("uid", "s.start", "s.stop"))
     some = materialize(_features(some).withColumn("label", _strong(F.col("kind")).cast("double")), "pii-candidates")
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     model = _fit(_sample(some, fit_rows), vector)
@@ -262,11 +299,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
         least = _thresholds(scored.where("NOT on_any"), false_share)
         bound = functools.reduce(lambda a, k: F.when(F.col("kind") == k, least[k]).otherwise(a), least, F.lit(NEVER))
         chosen = scored.where((F.col("label") == 1) | (F.col("chance") >= bound))
-    # of the candidates of one text, the better ones first; the fold keeps those clear of all before
-    chosen = chosen.where("NOT on_any").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("chance") - F.col("label")).alias("rank"), "start", "stop", "kind"))).alias("added"))
-    none = F.array().cast("array<struct<rank:double,start:bigint,stop:bigint,kind:string>>")
-    clear = F.aggregate("added", none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["stop"]) & (y["stop"] > x["start"])), acc).otherwise(F.concat(acc, F.array(x))))
-    added = chosen.select("uid", F.array_sort(F.transform(clear, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))).alias("added"))
+    kept = _apart(chosen.where("NOT on_any").withColumn("rank", -F.col("chance") - F.col("label")).select("uid", "rank", "start", "stop", "kind"))
+    added = kept.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("added"))
     joined = found.select("doc_id", "text_key", "base", "uid").join(added, "uid", "left")
     everything = F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>")))
     kinds = F.array(*(F.lit(k) for k in dict.fromkeys((*BASE_KINDS, *EXTRA_KINDS))))
@@ -274,6 +308,33 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     return joined.select("doc_id", "text_key", "base", F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
 
+def _beside_base(candidates: DataFrame, base: DataFrame) -> DataFrame:
+    """Candidates with ``on_any``: whether a base span of their text overlaps them.
+
+    One ordered pass of each text: of the spans that begin before a candidate's end, the furthest end is carried on.
+    """
+    marks = base.select("uid", F.col("start").alias("at"), F.lit(1).alias("is_base"), F.col("stop").alias("reach"))
+    both = candidates.withColumns({"at": F.col("stop"), "is_base": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    carried = F.max("reach").over(Window.partitionBy("uid").orderBy("at", "is_base").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("on_any", F.coalesce(carried > F.col("start"), F.lit(False))).where("is_base = 0").drop("at", "is_base", "reach")
+
+
+def _apart(chosen: DataFrame) -> DataFrame:
+    """Of overlapping candidates of one text the better ones (smaller rank, then earlier start): (uid, kind, start, stop).
+
+    Candidates are first parted into runs that touch, so the choice, which looks at all better ones, stays within a run.
+    """
+    own = Window.partitionBy("uid").orderBy("start", "stop", "kind")
+    reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = chosen.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    runs = marked.withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = F.size("some") == 1
+    runs = runs.groupBy("uid", "run").agg(F.array_sort(F.collect_list(F.struct("rank", "start", "stop", "kind"))).alias("some"))
+    none = F.array().cast("array<struct<rank:double,start:bigint,stop:bigint,kind:string>>")
+    clear = F.aggregate("some", none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["stop"]) & (y["stop"] > x["start"])), acc).otherwise(F.concat(acc, F.array(x))))
+    return runs.select("uid", F.explode(F.when(alone, F.col("some")).otherwise(clear)).alias("s")).select("uid", "s.kind", "s.start", "s.stop")
+
+
 def quotas(counts: dict[str, int], total: int) -> dict[str, int]:
     """How many of each kind the sample takes: equal shares of ``total``; what small kinds leave goes to the others."""
     out, left = {}, total
@@ -317,7 +378,8 @@ def _thresholds(judged: DataFrame, false_share: float) -> dict[str, float]:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns of ``docs``, with each span of personal data in the text replaced by ``<KIND>``.
 
-    Rows are matched to their spans by id and a hash of the text; a null text stays null.
+    Rows are matched to their spans by id and a hash of the text; a null text stays null, an empty one empty, a text of
+    any length is cut in time near linear in it; rows that repeat are each cut; an empty table gives an empty result.
     """
     from lectern.llm.spark import free_name
 
@@ -327,15 +389,40 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias(key_id), F.xxhash64(text).alias(key_text))
     joined = keyed.join(found, [key_id, key_text], "left")
+    clean = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(spans)))
+    return joined.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
+#: Code points of a block of text that spans are cut out of by themselves.
+_BLOCK = 2048
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text with ``<KIND>`` for each span; of spans that overlap, what is left of the later one.
+
+    Spans are cut block by block, so a span costs its block and not the text before it.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    most = lambda values: F.array_max(values)
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], acc["at"])
-        piece = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))
-        mark = F.when(s["stop"] > acc["at"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(s["stop"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(piece, mark)).alias("out"))
+    def disjoint(o: Column) -> Column:
+        stops = _prefixed(F.transform(o, lambda s: s["stop"]), most, F.lit(0).cast("long"))
+        reach = lambda p, i: F.greatest(_before(p, i, most, lambda x, y: F.greatest(x, y)), F.lit(0))
+        cuts = _let(stops, lambda p: F.transform(o, lambda s, i: F.struct(F.greatest(s["start"], reach(p, i)).alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+        return F.filter(cuts, lambda c: c["stop"] > c["start"])
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.aggregate(ordered, start, step, rest))
-    return joined.select(*(clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    def block(cuts: Column, piece: Column, j: Column) -> Column:
+        low, size = j.cast("long") * _BLOCK, F.char_length(piece)
+        own = F.filter(cuts, lambda c: (c["start"] < low + size) & (c["stop"] > low))
+
+        def step(acc: Column, c: Column) -> Column:
+            begin, end = F.greatest(c["start"] - low, F.lit(0)).cast("int"), F.least(c["stop"] - low, size).cast("int")
+            mark = F.when(c["start"] >= low, F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise("")
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(piece, acc["at"] + 1, begin - acc["at"]), mark).alias("out"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(own, begin, step, lambda acc: F.concat(acc["out"], F.substring(piece, acc["at"] + 1, F.lit(_BLOCK))))
+
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0))
+    cut = _let(ordered, disjoint)
+    return _let(cut, lambda c: F.array_join(F.transform(pieces, lambda piece, j: block(c, piece, j)), ""))

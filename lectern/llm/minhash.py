@@ -178,17 +178,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Classes of near-duplicates: (doc_id, class_id, n_links, kept, k1, k2), a row for each input row.
+    """Classes of near-duplicates: (doc_id, class_id, n_verified_links, kept, k1, k2), a row for each input row.
 
     Documents link where the multisets of their 5-word shingles (words of letters and digits, A-Z
     lower-cased) have a Jaccard similarity of at least ``threshold``; ``class_id`` is the smallest id
-    reachable by links, ``kept`` marks one row of each class: that id's. ``n_links`` counts the
-    verified links of the row's text to other texts; k1 and k2 are hashes of the text.
+    reachable by links, ``kept`` marks one row of each class: that id's. ``n_verified_links`` counts
+    those links of the row's text that were verified on the way to its class; links inside a class that
+    no verification needed are not among them. k1 and k2 are hashes of the text.
 
     Null and empty texts, and texts without words, link with nothing. A text of fewer than five
     words is one shingle. Null ids sort last; a null id's class is named by the smallest id of the
     class, or null. Rows that repeat id and text are one document: all are kept or none. Empty
-    tables give empty results; other columns are ignored. With 40 bands of 5 rows a pair at the
+    tables give empty results; other columns are ignored. Texts of any length are shingled whole; rows
+    that tie for the smallest id of a class are told apart by their text's hash. With 40 bands of 5 rows a pair at the
     threshold is missed with a probability of 1e-7.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select(
         real(F.col("id")).alias("doc_id"),
         real(F.when(empty, F.col("id")).otherwise(F.col("class_id"))).alias("class_id"),
-        F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_verified_links"),
         (empty | (F.col("leads") & (F.col("id") == F.col("class_id")))).alias("kept"),
         "k1",
         "k2",
@@ -250,7 +252,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are kept, one of each class, with their columns; of rows that repeat id and text, one."""
+    """The documents that are kept, one of each class, with their columns; of rows that repeat id and text, one.
+
+    Null, empty and wordless texts are classes of their own and stay, one row for each id; null ids sort last; an empty
+    table gives an empty result.
+    """
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select("doc_id", "k1", "k2").distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(text), F.xxhash64(F.lit(1), text)]

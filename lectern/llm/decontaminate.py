@@ -20,8 +20,8 @@ from lectern.llm.spark import free_name, materialize
 from lectern.llm.words import ALNUM_WORDS, Words, chunks, sliding_min, text_buffers, window_hashes, window_hashes_at
 
 GRAM = 5
-#: UTF-8 bytes of benchmark text up to which its fingerprints go to every task; beyond it they are shuffled.
-BROADCAST_BYTES = 64 << 20
+#: Windows of the benchmark up to which they go to every task (36 bytes each, and an item's name once); beyond it they are shuffled.
+BROADCAST_WINDOWS = 1_000_000
 _REPORT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -195,12 +195,13 @@ def _shuffled(docs: DataFrame, items: DataFrame, text_col: str, out: str, window
     return joined.mapInArrow(lambda it: _fill(it, text_col, hits_name, out), T.StructType([*docs.schema.fields, T.StructField(out, _REPORT)]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, str]:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, str]:
     """All columns of ``docs`` and a struct (n_words, n_hit, items), and that struct's name.
 
     A word is hit if it lies in an occurrence of a window of some item. A benchmark of up to
-    ``broadcast_bytes`` of text (measured, not assumed) goes to every task and the documents are
-    not shuffled; a larger one is joined by shuffles on fingerprints and windows.
+    ``broadcast_windows`` distinct windows (counted, not assumed) goes to every task and the documents
+    are not shuffled; a larger one is joined by shuffles on fingerprints and windows. Texts of any length
+    are searched whole.
 
     Null texts have no words, on either side; an item without words has no window; a null item id
     is named ``null``. Items that repeat an id count as one; rows that repeat are reported each. An
@@ -208,18 +209,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     out = free_name(docs, "contamination")
     bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
-    items = bench.mapInArrow(lambda it: _item_windows(it, window), _ITEM)
-    if size > broadcast_bytes:
-        return _shuffled(docs, materialize(items, "item-windows"), text_col, out, window), out
-    table = items.distinct().toArrow()
-    names, codes = np.unique(np.array(table["item"].to_pylist(), dtype=object), return_inverse=True) if table.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    items = materialize(bench.mapInArrow(lambda it: _item_windows(it, window), _ITEM).distinct(), "item-windows")
+    if items.count() > broadcast_windows:
+        return _shuffled(docs, items, text_col, out, window), out
+    table = items.toArrow()
+    coded = table["item"].combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+    order = sorted(range(len(coded.dictionary)), key=lambda k: coded.dictionary[k].as_py())
+    names, codes = [coded.dictionary[k].as_py() for k in order], np.argsort(order)[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
     columns = [table[c].to_numpy().view(t) for c, t in (("n", "<i8"), ("print", "<u8"), ("h1", "<u8"), ("h2", "<u8"))]
-    index = docs.sparkSession.sparkContext.broadcast(_Index(list(names), codes, *columns))
+    index = docs.sparkSession.sparkContext.broadcast(_Index(names, codes, *columns))
     return docs.mapInArrow(lambda it: _scan(it, index.value, text_col, out), T.StructType([*docs.schema.fields, T.StructField(out, _REPORT)])), out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with their columns; options as in ``contamination``."""
+    """The documents in which no window of the benchmark occurs, with their columns; options as in ``contamination``.
+
+    Null and empty texts stay, rows that repeat stay or go together, an empty table or benchmark changes nothing.
+    """
     scanned, out = contamination(docs, benchmark, **options)
     return scanned.where(F.col(f"`{out}`.n_hit") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -26,6 +26,8 @@ GRAM = 3
 LONGEST = 128
 #: Windows of one bucket that a task holds at once.
 HELD = 3_000_000
+#: Bytes of text for each bucket, and buckets that one task takes, at least.
+BUCKET_BYTES, BUCKETS = 6 << 20, 4
 _WINDOW = [("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("hash", "<i8"), ("at", "<i4")]
 
 
@@ -194,14 +196,18 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, window: int = 20, buckets: int | None = None, held: int = HELD) -> DataFrame:
     """The word spans covered by windows that also start earlier: rows (key_id, key_hash, spans), several per document.
 
-    ``docs`` has doc_id, text, key_id and key_hash. ``buckets`` defaults to four for each shuffle
-    partition; ``held`` bounds the windows of one bucket in a task's memory, beyond it they are
+    ``docs`` has doc_id, text, key_id and key_hash. ``buckets`` defaults to one for each ``BUCKET_BYTES``
+    of the measured text, and at least four for each shuffle partition; ``held`` bounds the windows of one bucket in a task's memory, beyond it they are
     settled by a shuffle on the window hash.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not buckets:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()["size"]
+        buckets = max(BUCKETS * least, size // BUCKET_BYTES)
+    parts = max(least, buckets // BUCKETS)
     packed = docs.select("key_id", "key_hash", "text").mapInArrow(lambda it: _pack(it, window, buckets), "bucket long, packed binary")
-    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _count(it, window, held), _FOUND)
+    found = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _count(it, window, held), _FOUND)
     found = materialize(found, "repeated-spans")
     settled = found.where("h1 IS NULL").select("key_id", "key_hash", "spans")
     rest = found.where("h1 IS NOT NULL")
@@ -219,8 +225,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null text has no words. A null id sorts last. Rows that repeat id and text are one document:
     each comes back with the same result. Rows that share an id with different texts are ordered by
-    a hash of the text. An empty table gives an empty result; other columns are ignored.
-    Equality of windows is equality of two independent 64-bit hashes of their words.
+    a hash of the text. Texts of any length are cut into windows whole. An empty table gives an empty
+    result; other columns are ignored. Equality of windows is equality of two independent 64-bit hashes of their words.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     spans = repeated_spans(rows, window, buckets, held)

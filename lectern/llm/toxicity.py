@@ -133,6 +133,11 @@ def features(column: pa.Array, lexicons: list[Lexicon], half: np.ndarray) -> np.
     )
 
 
+def _listed(rows: np.ndarray) -> pa.Array:
+    """A list of doubles for each row, without Python objects."""
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), rows.shape[1]).cast(pa.list_(pa.float64()))
+
+
 def _second_hashes() -> np.ndarray:
     data, offsets = text_buffers(pa.array([" ".join(SECOND_PERSON)]))
     return Words(data, offsets, ALNUM_WORDS).hashes(31)
@@ -175,7 +180,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             rows = features(part.column("text"), crossed.value, np.asarray(part.column("half")))
-            yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "row"])
+            yield pa.record_batch([part.column("doc_id"), part.column("label"), _listed(rows)], ["doc_id", "label", "row"])
 
     seen = materialize(sample.mapInArrow(run, "doc_id long, label double, row array<double>"), "toxicity-features")
     seen = seen.select("label", array_to_vector("row").alias("features"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)).alias("part"))
@@ -192,8 +197,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
 def score_toxicity(docs: DataFrame, judge: Judge, text_col: str = "text") -> tuple[DataFrame, str]:
     """All columns of ``docs`` and a score from 0 to 1, and the score's name.
 
-    Null and empty texts are scored by their (empty) features. Rows that repeat get the same score.
-    Extra columns pass through; the names of added columns avoid theirs.
+    Null and empty texts are scored by their (empty) features, texts of any length whole. Rows that repeat get
+    the same score, so ties stay ties. An empty table gives an empty result. Extra columns pass through; the
+    names of added columns avoid theirs.
     """
     out = free_name(docs, "score")
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -205,7 +211,7 @@ def score_toxicity(docs: DataFrame, judge: Judge, text_col: str = "text") -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text_col):
             rows = features(part.column(text_col), [sent.value], np.zeros(part.num_rows, np.int64))
-            yield pa.record_batch([*part.columns, pa.array(rows.tolist(), pa.list_(pa.float64()))], [*part.schema.names, row])
+            yield pa.record_batch([*part.columns, _listed(rows)], [*part.schema.names, row])
 
     seen = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(row, T.ArrayType(T.DoubleType()))]))
     vector, raw, odds, said, calibrated = (free_name(seen, c) for c in ("features", "raw_margin", "probability", "said", "calibrated"))

@@ -138,7 +138,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - lo
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``most`` bytes of text each; a longer text comes alone and whole."""
     for batch in batches:
         if not batch.num_rows:

@@ -67,4 +67,22 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op4_embedding_dedup": OP4, "op6_decontamination": OP6}
+OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS gram, count(*) AS c FROM d, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0 GROUP BY 1, 2
+), n AS (SELECT doc_id, sum(c) AS n FROM g GROUP BY 1
+), m AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+), p AS (
+  SELECT a, b FROM m JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9
+), links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least_ids AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(least(doc_id, coalesce(m, doc_id)) AS BIGINT) AS class_id, doc_id <= coalesce(m, doc_id) AS kept FROM documents LEFT JOIN least_ids USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_minhash_dedup": OP9, "op1_substring_dedup": OP1, "op4_embedding_dedup": OP4, "op6_decontamination": OP6}

@@ -87,7 +87,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8).drop("k1", "k2")
+    return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "kept")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

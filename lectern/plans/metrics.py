@@ -41,7 +41,14 @@ def _(spark, sf_dir):
     return M.purity(embedded(spark, sf_dir), "session", "topic").withColumn("purity", F.round("purity", 6))
 
 
-@query("a27_matched_purity")
+_ASSIGN = """WITH RECURSIVE n AS (SELECT vec_id // 50 AS c, label AS t, count(*) AS n FROM embeddings GROUP BY 1, 2), s AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k FROM (SELECT DISTINCT c FROM n)),
+g AS (SELECT k, list(coalesce(n.n, 0) ORDER BY l) AS ns FROM s CROSS JOIN range(0, 10) AS r(l) LEFT JOIN n ON n.c = s.c AND n.t = l GROUP BY k),
+f AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range(0, 1024), lambda m: CASE WHEN m = 0 THEN CAST(0 AS BIGINT) ELSE CAST(-1000000 AS BIGINT) END) AS best
+UNION ALL SELECT f.k + 1, list_transform(range(0, 1024), lambda m: greatest(best[m + 1], list_max(list_transform(range(0, 10), lambda l: CASE WHEN (m >> l) & 1 = 1 THEN best[m - (1 << l) + 1] + ns[l + 1] ELSE -1000000 END)))) FROM f JOIN g ON g.k = f.k)
+SELECT (SELECT count(*) FROM embeddings) AS n, round(list_max(best) / (SELECT count(*) FROM embeddings), 6) AS matched_purity FROM f WHERE k = (SELECT count(*) FROM s)"""
+
+
+@query("a27_matched_purity", _ASSIGN)
 def _(spark, sf_dir):
     rows = embedded(spark, sf_dir)
     value = M.matched_purity(rows, "session", "topic")

@@ -22,7 +22,15 @@ def _(spark, sf_dir):
     return complete_sessions(rows.withColumn("final", F.col("sequence") == F.max("sequence").over(Window.partitionBy("session"))))
 
 
-@query("r8_quality_alerts")
+_ALERTS = """WITH RECURSIVE e AS (SELECT user_id AS session, event_id AS event, epoch_us(ts) / 1e6 AS pos, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+s AS (SELECT a.session, a.event, a.pos, a.k, sum(b.value * (b.k - greatest(a.k - 5, 0))) / sum(b.k - greatest(a.k - 5, 0)) AS score FROM e a JOIN e b ON a.session = b.session AND b.k BETWEEN a.k - 4 AND a.k GROUP BY ALL),
+low AS (SELECT session, event, pos, score, row_number() OVER (PARTITION BY session ORDER BY k) AS i FROM s WHERE score < 25 AND k >= 3),
+f AS (SELECT session, event, pos, score, i, true AS fires, pos AS fired FROM low WHERE i = 1
+UNION ALL SELECT l.session, l.event, l.pos, l.score, l.i, l.pos - f.fired >= 30, CASE WHEN l.pos - f.fired >= 30 THEN l.pos ELSE f.fired END FROM f JOIN low l ON l.session = f.session AND l.i = f.i + 1)
+SELECT session, event, round(pos, 6) AS at, round(score, 6) AS score FROM f WHERE fires"""
+
+
+@query("r8_quality_alerts", _ALERTS)
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("event"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), "value")
     return alerts(rows.withColumn("at", F.col("at") / 1e6), 25.0).withColumns({c: F.round(c, 6) for c in ("at", "score")})

@@ -64,7 +64,15 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", study.quality_status(F.col("value") / 2, (F.col("user_id") % 10) / 100.0).alias("status"))
 
 
-@query("v13_hallucination_verdict")
+_W = "list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\w\\s]', '', 'g')), '\\s+'), lambda x: x <> '')"
+_VERDICT = f"""WITH w AS (SELECT conv_id AS session, turn AS seq, {_W} AS a, 1 - length(text) * 20 / 4000 AS silent FROM conversations), n AS (SELECT *, lead(a) OVER (PARTITION BY session ORDER BY seq) AS b FROM w),
+g AS (SELECT session, seq, q, array_to_string(a[i:i + q - 1], ' ') AS gram FROM w, unnest([3, 4, 5]) AS x(q), unnest(range(1, len(a) - q + 2)) AS y(i)), r AS (SELECT session, seq, max(k) AS k FROM (SELECT session, seq, q, gram, count(*) AS k FROM g GROUP BY ALL) GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN b IS NULL THEN NULL WHEN len(a) + len(b) = 0 THEN 1.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) / (len(a) + len(b)) END AS f1, coalesce(k, 0) >= 3 AS repeated FROM n LEFT JOIN r USING (session, seq))
+SELECT session, seq, CASE WHEN f1 < 0.5 THEN 'cross_model' WHEN repeated THEN 'repetition' WHEN silent > 0.5 THEN 'vad_contradiction' ELSE 'none' END AS reason,
+  round(greatest(0.0, CASE WHEN f1 < 0.5 THEN 1 - f1 END, CASE WHEN repeated THEN 1.0 END, CASE WHEN silent > 0.5 THEN silent END), 6) AS confidence FROM f"""
+
+
+@query("v13_hallucination_verdict", _VERDICT)
 def _(spark, sf_dir):
     """Detectors over utterances: agreement with the next one, repetition, and the share of silence."""
     rows = utterances(spark, sf_dir).withColumn("words", tokens(F.col("text"))).withColumn("next", F.lead("words").over(sequence.ordered("session")))

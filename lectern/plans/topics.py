@@ -162,7 +162,15 @@ def _(spark, sf_dir):
     return terms.select("session", F.round(scalar.weighted_geometric_mean(named, weights), 6).alias("reward"), judged.alias("judged"))
 
 
-@query("w18_incremental_centroids")
+_GROWN = """WITH RECURSIVE e AS (SELECT vec_id // 50 AS session, vec_id AS seq, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS k FROM embeddings),
+f AS (SELECT session, seq, k, [v] AS cents, [1] AS sizes, 1 AS topic FROM e WHERE k = 1
+UNION ALL SELECT session, seq, k, CASE WHEN b >= 0.5 THEN list_transform(cents, lambda c, i: CASE WHEN i = at_ THEN list_transform(c, lambda x, j: (x * sizes[i] + v[j]) / (sizes[i] + 1)) ELSE c END) ELSE list_append(cents, v) END,
+  CASE WHEN b >= 0.5 THEN list_transform(sizes, lambda n, i: CASE WHEN i = at_ THEN n + 1 ELSE n END) ELSE list_append(sizes, 1) END, CASE WHEN b >= 0.5 THEN at_ ELSE len(cents) + 1 END
+FROM (SELECT *, list_max(s) AS b, list_position(s, list_max(s)) AS at_ FROM (SELECT e.session, e.seq, e.k, e.v, f.cents, f.sizes, list_transform(f.cents, lambda c: list_cosine_similarity(c, e.v)) AS s FROM f JOIN e ON e.session = f.session AND e.k = f.k + 1)))
+SELECT session, seq, CAST(topic - 1 AS BIGINT) AS grown_topic FROM f"""
+
+
+@query("w18_incremental_centroids", _GROWN)
 def _(spark, sf_dir):
     """Topics grown in arrival order, a session each: a row joins the nearest topic of at least 0.5, else founds one."""
     return C.grown_topics(embedded(spark, sf_dir))

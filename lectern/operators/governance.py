@@ -111,10 +111,10 @@ def capture(rows: DataFrame, edits: DataFrame, key: str, column: str, kind: str,
     (correction_type, source_id, user_id, original_value, corrected_value, consent_for_training), values as JSON. Edits of
     keys that the rows lack are recorded with an empty original and change nothing.
     """
-    e = edits.select(F.col(key), F.col("value").alias("edited"), "user_id", "consent", F.lit(True).alias("was_edited"))
+    e = edits.select(F.col(key), F.struct("value").alias("_edit"))
     joined = rows.join(e, key, "left")
-    hit = F.coalesce("was_edited", F.lit(False))
-    value = {column: F.when(hit, F.col("edited")).otherwise(F.col(column)).alias(column)}
+    hit = F.col("_edit").isNotNull()
+    value = {column: F.when(hit, F.col("_edit.value")).otherwise(F.col(column)).alias(column)}
     if flag:
         value[flag[0]] = F.when(hit, flag[1]).otherwise(F.col(flag[0])).alias(flag[0])
     changed = joined.select(*(value.get(c, F.col(c)) for c in rows.columns))

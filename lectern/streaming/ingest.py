@@ -60,10 +60,11 @@ FINAL = "session long, n long"
 _SEEN = "sequences array<long>, last long, done boolean"
 
 
-def finalised(chunks: DataFrame, idle: str = "24 hours") -> DataFrame:
+def finalised(chunks: DataFrame, at: str = "received_at", idle: str = "24 hours") -> DataFrame:
     """Stream of sessions (session, n) that are whole: the final chunk is there and none before it is missing; each comes once.
 
-    The state of a session is the set of its sequence numbers and the final one; it ends ``idle`` after its last chunk.
+    The state of a session is the set of its sequence numbers and the final one; ``at`` is event time: chunks later than
+    ``idle`` are dropped, and the state ends ``idle`` after its last chunk.
     """
     wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -73,14 +74,19 @@ def finalised(chunks: DataFrame, idle: str = "24 hours") -> DataFrame:
             return
         sequences, last, done = state.get if state.exists else ([], None, False)
         seen = set(sequences)
+        newest = 0
         for pdf in parts:
+            pdf = pdf[pdf[at].map(lambda t: t.timestamp() * 1000) > state.getCurrentWatermarkMs()]
+            newest = max(newest, 0 if pdf.empty else int(pdf[at].max().timestamp() * 1000))
             seen.update(int(x) for x in pdf["sequence"])
             final = pdf.loc[pdf["final"], "sequence"]
             last = int(final.max()) if len(final) else last
+        if not newest:  # all of them too late
+            return
         whole = last is not None and not done and seen >= set(range(int(last) + 1))
         if whole:
             yield pd.DataFrame({"session": [key[0]], "n": [int(last) + 1]})
         state.update(([] if done or whole else sorted(seen), last, bool(done or whole)))
-        state.setTimeoutDuration(wait_ms)
+        state.setTimeoutTimestamp(newest + wait_ms)
 
-    return chunks.groupBy("session").applyInPandasWithState(run, FINAL, _SEEN, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.withWatermark(at, idle).groupBy("session").applyInPandasWithState(run, FINAL, _SEEN, "append", GroupStateTimeout.EventTimeTimeout)

@@ -62,7 +62,10 @@ def alerts(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S) -> D
 
 
 def alert_stream(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S, idle: str = "24 hours") -> DataFrame:
-    """Streaming form: the state of a session is its last values, their count, and its last alert; it ends ``idle`` after the last row."""
+    """Streaming form: the state of a session is its last values, their count, and its last alert.
+
+    ``at`` is event time: rows later than ``idle`` are dropped, and a session's state ends ``idle`` after its last row.
+    """
     wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,10 +74,14 @@ def alert_stream(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S
             return
         recent, seen, fired = state.get if state.exists else ([], 0, None)
         pdf = pd.concat(list(parts)).sort_values(["at", "event"])
+        pdf = pdf[pdf["at"] * 1000 > state.getCurrentWatermarkMs()]
+        if pdf.empty:  # all of them too late
+            return
         fired = None if fired is None or fired != fired else fired
         out, recent, seen, fired = fold(list(zip(pdf.event, pdf["at"], pdf.value, strict=True)), list(recent), seen, fired, threshold, cooldown)
         state.update((recent, seen, fired))
-        state.setTimeoutDuration(wait_ms)
+        state.setTimeoutTimestamp(int(pdf["at"].max() * 1000) + wait_ms)
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["session", "event", "at", "score"])
 
-    return rows.groupBy("session").applyInPandasWithState(run, ALERT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = rows.withColumn("event_time", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("event_time", idle)
+    return timed.groupBy("session").applyInPandasWithState(run, ALERT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -120,7 +120,7 @@ def test_alerts_wait_and_cool_down():
 def test_streaming_alerts_equal_the_batch(spark, tmp_path):
     from lectern.streaming.quality import alert_stream, alerts
 
-    rows = spark.createDataFrame([(s, s * 100 + i, i * 10.0, float((i * 7 + s) % 11)) for s in (1, 2) for i in range(12)], "session long, event long, at double, value double")
+    rows = spark.createDataFrame([(s, s * 100 + i, 1.7e9 + i * 10.0, float((i * 7 + s) % 11)) for s in (1, 2) for i in range(12)], "session long, event long, at double, value double")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = alert_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 5.0)
     q = stream.writeStream.format("memory").queryName("alerts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()

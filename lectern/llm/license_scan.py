@@ -22,8 +22,42 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Wording of public licence notices, with markup.
+# Wording of public licences, in words of letters and digits, with markup; first what the BSD family shares.
+_BSD_TERMS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = "[3] neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+_BSD_DISCLAIMER = (
+    "this software is provided by {8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {10} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
 TEMPLATES = {
+    "mit-license": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall {8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ),
+    "bsd-2-clause": _BSD_TERMS + _BSD_DISCLAIMER,
+    "bsd-3-clause": _BSD_TERMS + _BSD_NAMES + _BSD_DISCLAIMER,
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted [provided that the above copyright notice and this permission notice appear in all copies] "
+        "the software is provided as is and {6} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {6} be liable for any special direct indirect or consequential damages "
+        "or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ),
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2 0 the license you may not use {4} except in compliance with the license you may obtain a copy of the license at http|https www apache org licenses license 2 0 "
+        "[unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license]"
+    ),
+    "gpl-3.0-notice": (
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+        "[{4} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details]"
+    ),
     "apache-2.0": "licensed under the apache license [version] 2 0 [the license]",
     "mit": "[released|licensed|distributed] under the [terms of the] mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this {8} and associated documentation files",
@@ -175,7 +209,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``score`` is the share of words inside licence wording. A null text is empty: no words, null
     first and last word, no labels, score 0. Rows that repeat, or share an id, are scanned each for
-    itself; a null id stays null. Extra columns are ignored.
+    itself; a null id stays null. Texts of any length are scanned whole; where templates match at one place all
+    their labels count, each by its longest match. An empty table gives an empty result. Extra columns are ignored,
+    also those named like the output's.
     """
     wanted = {phrase.encode(): label for phrase, label in phrases.items()}
 

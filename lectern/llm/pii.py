@@ -90,7 +90,7 @@ def _prefixed(values: Column, total, none: Column):
     ``before`` holds the totals ahead of each block of k values, k the root of their number, so that all places together
     take n * sqrt(n) steps and nothing grows by appending.
     """
-    blocks = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b["v"]) - 1) / b["k"]).cast("int")), lambda j: total(F.slice(b["v"], j * b["k"] + 1, b["k"])))
+    blocks = lambda b: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(b["v"]) - 1) / b["k"]).cast("int"), F.lit(0))), lambda j: total(F.slice(b["v"], j * b["k"] + 1, b["k"])))
     ahead = lambda t: F.transform(t, lambda _, j: F.when(j > 0, total(F.slice(t, 1, j))).otherwise(none))
     sized = F.struct(values.alias("v"), F.ceil(F.sqrt(F.greatest(F.size(values), F.lit(1)))).cast("int").alias("k"))
     return _let(sized, lambda b: F.struct(b["v"].alias("v"), b["k"].alias("k"), _let(blocks(b), ahead).alias("before")))

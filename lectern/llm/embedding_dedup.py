@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.components import connected_components
+from lectern.llm.components import Forest, connected_components
 from lectern.llm.spark import materialize
 
 #: Vectors of a tile.
@@ -130,39 +130,6 @@ def tile_links(a: Coded, b: Coded, threshold: float, same: bool) -> Iterator[tup
         yield i[sure], j[sure], i[rest], j[rest]
 
 
-class _Forest:
-    """Union-find that keeps the links which joined two trees."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the links i-j, a set that spans what they join."""
-        kept: list[np.ndarray] = []
-        alive = np.arange(len(i))
-        while len(alive):
-            r, s = self._root(i[alive]), self._root(j[alive])
-            open_ = r != s
-            alive, r, s = alive[open_], r[open_], s[open_]
-            if not len(alive):
-                break
-            hi, lo = np.maximum(r, s), np.minimum(r, s)
-            order = np.lexsort((lo, hi))
-            first = order[np.append(True, hi[order][1:] != hi[order][:-1])]
-            self.up[hi[first]] = lo[first]  # each root hangs below one smaller root
-            kept.append(alive[first])
-        at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-        return i[at], j[at]
-
-    def _root(self, i: np.ndarray) -> np.ndarray:
-        r = self.up[i]
-        while True:
-            n = self.up[r]
-            if (n == r).all():
-                return r
-            r = n
-
-
 #: What a row of ``embedding_links`` says: a spanning link, a class's count of links, or a pair still in doubt.
 LINK, COUNT, DOUBT = 0, 1, 2
 
@@ -181,7 +148,7 @@ def _pair_of_tiles(tiles: pd.DataFrame, threshold: float) -> pd.DataFrame:
     id_a, id_b = left["cls"].to_numpy(), right["cls"].to_numpy()
     many_a, many_b = left["many"].to_numpy(), right["many"].to_numpy()
     n_a, n_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    forest = _Forest(len(a) if same else len(a) + len(b))
+    forest = Forest(len(a) if same else len(a) + len(b))
     for i, j, x, y in tile_links(a, b, threshold, same):
         out.append((id_a[x], id_b[y], DOUBT))
         n_a += np.bincount(i, many_b[j], len(a)).astype(np.int64)

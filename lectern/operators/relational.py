@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.scalar import hamming
+
 
 def partition_scan(rows: DataFrame, key: str, value) -> DataFrame:
     """Rows of one partition; a missing key is an error, so that no scan crosses partitions by accident."""
@@ -125,7 +127,7 @@ def similar_hashes(rows: DataFrame, id_col: str, hash_col: str, most: int = 8, b
     single = first_two.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("next"))
     parts = single.select("h", "id", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), bits(a, b).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))).alias("k")).select("h", "id", "k.*")
     other = parts.select("band", "bits", F.col("h").alias("h2"), F.col("id").alias("other"))
-    met = parts.join(other, ["band", "bits"]).where("h <> h2").select("h", "h2", "other").distinct().withColumn("distance", F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))).where(F.col("distance") <= most)
+    met = parts.join(other, ["band", "bits"]).where("h <> h2").select("h", "h2", "other").distinct().withColumn("distance", hamming(F.col("h"), F.col("h2"))).where(F.col("distance") <= most)
     best = met.groupBy("h").agg(F.min(F.struct("distance", "other")).alias("best"))
     pairs = rows.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).join(single.select("h", F.col("id").alias("first"), F.when(F.col("next") > F.col("id"), F.col("next")).alias("second")), "h").join(best, "h", "left")
     twin = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalar import iou, overlap
-from lectern.functions.text import tokens
 
 #: Vectors of a side that goes to every task whole (their number is counted first), and rows that a task compares with them at once.
 BLOCK, TILE = 1024, 8192
@@ -157,14 +156,6 @@ def coverage(items: DataFrame, vectors: DataFrame, covered: float = 0.8, partial
     return joined.select("item", best.alias("best"), status.alias("status"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
-def lexical_scores(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(id, score) of the documents that hold every query word: their occurrences over 1 + ln(length)."""
-    found = tokens(F.col("text"))
-    held = docs.select("id", found.alias("words")).where(F.forall(F.array(*(F.lit(w) for w in words)), lambda w: F.array_contains("words", w)))
-    hits = F.size(F.filter("words", lambda w: w.isin(*words)))
-    return held.select("id", (hits / (1 + F.ln(F.size("words")))).alias("score"))
-
-
 def lexical_matches(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     """(query, id, score, rank): for each query the best ``pool`` documents that hold all of its words.
 

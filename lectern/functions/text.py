@@ -240,3 +240,9 @@ def upload_verdict(content_type: Column, size: Column, most: int = 20 << 20) ->
 def is_version(name: Column) -> Column:
     """Whether a file name is ``v<major>.<minor>.<patch>.md``."""
     return name.rlike(r"^v[0-9]+\.[0-9]+\.[0-9]+\.md$")
+
+
+def card_line(front: Column, back: Column, tag: Column) -> Column:
+    """A flashcard as one line of tab-separated fields; tabs and line ends inside become blanks."""
+    flat = lambda c: F.translate(c, "\t\n", "  ")
+    return F.concat_ws("\t", flat(front), flat(back), tag)

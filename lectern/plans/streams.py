@@ -1,14 +1,14 @@
-"""Batch forms of the streaming operators, over the event table."""
+"""The streaming operators over the given tables, as streams of files and in their batch forms."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.plans.registry import query
+from lectern.session import scratch
 from lectern.sources.tables import table
-from lectern.streaming.ingest import complete_sessions
-from lectern.streaming.quality import alerts
+from lectern.streaming.ingest import complete_sessions, deduplicated, drained, finalised, streamed
+from lectern.streaming.quality import alert_stream, alerts
 
 
 @query("r1_dedup", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -16,10 +16,43 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("r6_complete_sessions", "WITH c AS (SELECT conv_id AS session, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations), g AS (SELECT session, count(DISTINCT turn) AS n, max(CASE WHEN final THEN turn END) AS last FROM c GROUP BY session) SELECT session, n, n = last + 1 AS ready FROM g")
+# chunk 3 ends a session; some chunks are lost on the way
+_CHUNKS = "c AS (SELECT conv_id AS session, turn AS sequence, turn = 3 AS final FROM conversations WHERE (conv_id + turn) % 11 <> 0)"
+
+
+def _chunks(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("(conv_id + turn) % 11 <> 0")
+    return rows.select(F.col("conv_id").alias("session"), F.col("turn").alias("sequence"), (F.col("turn") == 3).alias("final"))
+
+
+@query("r6_complete_sessions", f"WITH {_CHUNKS} SELECT session, count(DISTINCT sequence) AS n, coalesce(count(DISTINCT sequence) = max(CASE WHEN final THEN sequence END) + 1, false) AS ready FROM c GROUP BY session")
+def _(spark, sf_dir):
+    return complete_sessions(_chunks(spark, sf_dir))
+
+
+@query("r6_finalised_stream", f"WITH {_CHUNKS} SELECT session, CAST(4 AS BIGINT) AS n FROM c WHERE sequence <= 3 GROUP BY session HAVING count(*) = 4")
+def _(spark, sf_dir):
+    """The same as a stream, file by file: a session comes out once, when its last gap is filled."""
+    chunks = _chunks(spark, sf_dir).withColumn("received_at", F.timestamp_seconds(1_700_000_000 + F.col("sequence")))
+    source = streamed(chunks, scratch(spark, "chunks"), "sequence")
+    return drained(finalised(source), scratch(spark, "final"), ["session"])
+
+
+@query("r1_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, sf_dir):
+    """Events by file as a stream, repeats of a key dropped within the horizon; the sink drops what later days repeat."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    source = streamed(events, scratch(spark, "events"))
+    return drained(deduplicated(source, "ts", ["user_id", "event_type"], "60 days"), scratch(spark, "deduped"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("r4_recovered_ingest", "SELECT conv_id, turn, length(text) AS n_chars FROM conversations")
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("sequence"))
-    return complete_sessions(rows.withColumn("final", F.col("sequence") == F.max("sequence").over(Window.partitionBy("session"))))
+    """A stream into a table, and the whole stream again after a crash that lost its offsets: no chunk is there twice."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("n_chars"))
+    source, sink = streamed(rows, scratch(spark, "turns")), scratch(spark, "utterances")
+    drained(source, sink, ["conv_id", "turn"])
+    return drained(source, sink, ["conv_id", "turn"])
 
 
 _ALERTS = """WITH RECURSIVE e AS (SELECT user_id AS session, event_id AS event, epoch_us(ts) / 1e6 AS pos, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
@@ -36,6 +69,14 @@ def _(spark, sf_dir):
     return alerts(rows.withColumn("at", F.col("at") / 1e6), 25.0).withColumns({c: F.round(c, 6) for c in ("at", "score")})
 
 
+@query("r7_alert_stream", _ALERTS)
+def _(spark, sf_dir):
+    """The alerts as a stream with state by session."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("event"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "value")
+    found = drained(alert_stream(streamed(rows, scratch(spark, "values")), 25.0), scratch(spark, "alerts"), ["session", "event"])
+    return found.withColumns({c: F.round(c, 6) for c in ("at", "score")})
+
+
 @query("r9_stale_sessions", "SELECT user_id, max(ts) AS last_ts, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR AS stale FROM events GROUP BY user_id")
 def _(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -126,3 +126,9 @@ def _(spark, sf_dir):
     lines = F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("- **"), "speaker", F.lit("**: "), "text").alias("line"))))
     joined = utterances(spark, sf_dir).groupBy("session").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("body"))
     return joined.select("session", F.concat(F.lit("# Session "), F.col("session").cast("string"), F.lit("\n"), "body").alias("markdown"))
+
+
+@query("s23_card_export", "SELECT item_id, replace(replace(left(text, 40), chr(9), ' '), chr(10), ' ') || chr(9) || replace(replace(text, chr(9), ' '), chr(10), ' ') || chr(9) || 'item-' || item_id AS card FROM benchmark")
+def _(spark, sf_dir):
+    """Cards as lines of front, back and tag, separated by tabs: the text form that flashcard programs import."""
+    return table(spark, sf_dir, "benchmark").select("item_id", text.card_line(F.left("text", F.lit(40)), F.col("text"), F.concat(F.lit("item-"), F.col("item_id").cast("string"))).alias("card"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -90,3 +91,21 @@ def finalised(chunks: DataFrame, at: str = "received_at", idle: str = "24 hours"
         state.setTimeoutTimestamp(newest + wait_ms)
 
     return chunks.withWatermark(at, idle).groupBy("session").applyInPandasWithState(run, FINAL, _SEEN, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def streamed(rows: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """A table as a stream: written as files (a folder for each value of ``by``) and read as they come, one file a batch."""
+    parts = rows.withColumn("part", F.col(by)) if by else rows
+    writer = parts.write.partitionBy("part") if by else parts.write
+    writer.parquet(path)
+    reader = rows.sparkSession.readStream.schema(parts.schema)
+    return (reader.option("maxFilesPerTrigger", 1) if by else reader).parquet(path).select(*rows.columns)
+
+
+def drained(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """The table at ``path`` after all that a stream holds now was appended to it, key by key once."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(path)
+    query = stream.writeStream.foreachBatch(append_new(path, keys)).option("checkpointLocation", f"{path}-offsets-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

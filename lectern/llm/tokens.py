@@ -62,11 +62,11 @@ class Encoder:
         begin = np.cumsum(size + len(between)) - size - len(between)
         return ids, np.searchsorted(upto, begin), np.searchsorted(upto, begin + size)
 
-    def _encode(self, padded: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of each chunk: all ids, and where each chunk's begin and end among them."""
+    def _encode(self, padded: np.ndarray, start: np.ndarray, end: np.ndarray, literals: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each chunk: all ids, and where each chunk's begin and end among them; with ``literals``, some chunks are added tokens."""
         raw, solid = padded.tobytes(), _SOLID
         special = np.zeros(len(start), dtype=bool)
-        if self._added:
+        if literals:
             special = np.array([raw[a:b] in self._added for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=bool)
         words = ~special & (padded[start] == 0x20) & solid[padded[start + 1]] & (end - start > 1)
         lines = ~special & ~words & solid[padded[start]] & ((padded[end - 1] >= 0x21) & (padded[end - 1] <= 0x7E))
@@ -112,14 +112,15 @@ class Encoder:
         begins[lines] = True
         begins[lines + 1] = True
         begins[offsets[:-1]] = True
-        for a, b in self._cuts(data, offsets):
+        cuts = self._cuts(data, offsets)
+        for a, b in cuts:
             begins[a + 1 : b] = False
             begins[[a, b]] = True
         start = np.flatnonzero(begins[:n])
         end = np.append(start[1:], n)
         key = span_hashes(padded, start, end, 3)
         _, sample, inverse = np.unique(key, return_index=True, return_inverse=True)
-        flat, lo, hi = self._encode(padded, start[sample], end[sample])
+        flat, lo, hi = self._encode(padded, start[sample], end[sample], bool(cuts))
         base, many = lo[inverse], (hi - lo)[inverse]
         upto = np.concatenate([[0], np.cumsum(many)])
         ids = flat[np.arange(upto[-1]) - np.repeat(upto[:-1] - base, many)]

@@ -79,8 +79,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     every node hangs itself or its neighbours below the smallest node known nearby, until nothing
     changes; the number of rounds grows with the logarithm of the largest component. Each round is two
     aggregations by node; its edges are written to the shared folder. Hot nodes are neighbours of many:
-    an aggregation by node combines map-side, and joins take them apart (``_with_least``). Null ends and
-    loops are ignored.
+    an aggregation by node combines map-side, the contraction leaves each task one edge for a node, and
+    joins on a node are split where skewed. Null ends and loops are ignored.
     """
     own = F.col(a).cast("long"), F.col(b).cast("long")
     now = edges.select(F.greatest(*own).alias("u"), F.least(*own).alias("v")).where("u <> v")
@@ -88,7 +88,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(now)
     while state["n"]:
         before = state
-        now = _small_star(_large_star(now, before["n"]), before["n"])
+        now = _small_star(_large_star(now))
         now = materialize(now.distinct(), "components")
         state = _state(now)
         if state == before:
@@ -103,31 +103,15 @@ def _state(edges: DataFrame) -> Row:
     return edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("sum")).first()
 
 
-#: A node of more than this many edges, and of more than a ``1 / SHARE`` of all, is joined apart; there are 2 * SHARE at most.
-HOT, SHARE = 256, 1000
-
-
-def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """Rows joined on u to the least neighbour m of their node.
-
-    Edges of hot nodes would all go to one task: what is known of these nodes is broadcast, ``2 * SHARE`` rows at most as
-    their edges add up to twice ``total``; the rest is shuffled.
-    """
-    hot = F.col("n") > max(HOT, total // SHARE)
-    marked = rows.join(F.broadcast(least.where(hot).select("u", F.col("m").alias("hot_m"))), "u", "left")
-    rest = marked.where("hot_m IS NULL").drop("hot_m").join(least.select("u", "m"), "u")
-    return marked.where("hot_m IS NOT NULL").withColumnRenamed("hot_m", "m").unionByName(rest)
-
-
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest among the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _with_least(both.where("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Link each smaller neighbour of a node, and the node, to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = _with_least(edges, least, total)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    joined = edges.join(least, "u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))

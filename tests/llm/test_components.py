@@ -9,7 +9,7 @@ from lectern.llm import components as C  # noqa: E402
 
 @pytest.mark.parametrize("parts", [1, 5])
 def test_components_equal_a_plain_search(spark, parts, monkeypatch):
-    monkeypatch.setattr(C, "HOT", 20)
+    monkeypatch.setattr(C, "CONTRACTED", 40)
     rng = np.random.default_rng(parts)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (150, 2))] + [(1000, 1001 + i) for i in range(120)] + [(i, i + 1) for i in range(2000, 2060)] + [(5, 5), (7, None)]
     near: dict[int, set[int]] = {}

@@ -85,4 +85,104 @@ WITH RECURSIVE d AS (
 SELECT doc_id, CAST(least(doc_id, coalesce(m, doc_id)) AS BIGINT) AS class_id, doc_id <= coalesce(m, doc_id) AS kept FROM documents LEFT JOIN least_ids USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_minhash_dedup": OP9, "op1_substring_dedup": OP1, "op4_embedding_dedup": OP4, "op6_decontamination": OP6}
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+), n AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM n
+), p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+_CONTROLS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+
+
+def _escaped(expression: str) -> str:
+    """A backslash behind each backslash and behind the first character of each control string."""
+    out = f"replace({expression}, '\\', '\\\\')"
+    for c in _CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)
+), l AS (
+  SELECT *, length({_escaped("role")}) + length({_escaped("text")}) + {len("<|im_start|><|im_sep|><|im_end|>")} AS chars FROM t
+), s AS (
+  SELECT *, CAST(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM l
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+       CAST(sum(CASE WHEN role = 'assistant' THEN upto ELSE 0 END) AS BIGINT) AS example_chars
+FROM s GROUP BY conv_id
+"""
+
+OP13 = r"""
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT o AS filter_order, CAST(k AS INTEGER) AS step, o[k] AS f, string_split(o[1:k - 1], '') AS before FROM orders, unnest(range(1, 6)) AS u(k)
+), w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), fails AS (
+  SELECT part, doc_id, list_filter([
+           CASE WHEN len(ws) < 200 THEN 'A' END,
+           CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+           CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' END,
+           CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+           CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END], lambda x: x IS NOT NULL) AS failed
+  FROM w
+), marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM fails LEFT JOIN marks USING (doc_id) GROUP BY part, failed
+), told AS (
+  SELECT part, filter_order, step, f, n, good, toxic, list_contains(failed, f) AS now, list_has_any(failed, before) AS earlier, len(failed) = 1 AS alone FROM masks, steps
+), counted AS (
+  SELECT part, filter_order, step, f,
+         CAST(sum(CASE WHEN NOT now AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN now AND NOT earlier THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN now AND earlier THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN now AND alone THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN now AND NOT earlier THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN now AND NOT earlier THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_minhash_dedup": OP9,
+    "op1_substring_dedup": OP1,
+    "op4_embedding_dedup": OP4,
+    "op6_decontamination": OP6,
+    "op11_fill_in_middle": OP11,
+    "op12_chat_formatting": OP12,
+    "op13_filter_audit": OP13,
+}

@@ -100,6 +100,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.fim import fill_in_middle, restored
+
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"), seed=42, fim_percent=50, spm_percent=80)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored("output", "form"), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.chat import format_turns, read_back
+
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    read = read_back(format_turns(given.union(told)))
+    digests = F.sha2("turns_text", 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256")
+    return read.select("conv_id", "n_turns", *digests, "formatted_chars", "n_examples", "example_chars")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
@@ -111,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_chat_formatting": op12_chat_formatting,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = oracle.ORACLE_SQL

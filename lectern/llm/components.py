@@ -41,12 +41,12 @@ class Forest:
         return i[at], j[at]
 
     def root(self, i: np.ndarray) -> np.ndarray:
-        r = self.up[i]
+        """Each node's root; on the way all paths are halved until every node hangs below its root itself."""
         while True:
-            n = self.up[r]
-            if (n == r).all():
-                return r
-            r = n
+            above = self.up[self.up]
+            if (above == self.up).all():
+                return above[i]
+            self.up = above
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

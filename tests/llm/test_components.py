@@ -30,3 +30,16 @@ def test_components_equal_a_plain_search(spark, parts, monkeypatch):
     df = spark.createDataFrame(edges, "a long, b long").repartition(parts)
     assert {r["node"]: r["component"] for r in C.connected_components(df).collect()} == want
     assert C.connected_components(df.where("false")).count() == 0
+
+
+def test_a_long_chain_of_links_is_contracted_in_seconds():
+    import time
+
+    import pyarrow as pa
+
+    n = 1_000_000
+    for order in (np.arange(n), np.random.default_rng(1).permutation(n)):
+        began = time.time()
+        (stars,) = C._contract(iter([pa.record_batch([pa.array(order + 1), pa.array(order)], ["u", "v"])]))
+        assert time.time() - began < 10
+        assert stars.num_rows == n and set(stars.column("v").to_pylist()) == {0}

@@ -1,4 +1,4 @@
-"""Search and matching: products of vectors by blocks, lexical rank, rank fusion, nearest and overlap joins."""
+"""Search and matching: products of vectors by blocks, rank fusion with the text index, nearest and overlap joins."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalar import iou, overlap
+from lectern.operators.textindex import TextIndex, lexical_top
 
 #: Vectors of a side that goes to every task whole (their number is counted first), and rows that a task compares with them at once.
 BLOCK, TILE = 1024, 8192
@@ -59,9 +60,9 @@ def compared(rows: DataFrame, fixed: DataFrame, work: Callable[[Side, Side], dic
     def out(found: dict[str, np.ndarray]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(found[c]) for c in names], names)
 
-    n = fixed.count()
-    if n <= block:
-        sent = rows.sparkSession.sparkContext.broadcast(_side(fixed.toArrow()))  # at most `block` vectors
+    few = fixed.limit(block + 1).toArrow()
+    if few.num_rows <= block:
+        sent = rows.sparkSession.sparkContext.broadcast(_side(few))  # at most `block` vectors
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, many = [], 0
@@ -77,7 +78,7 @@ def compared(rows: DataFrame, fixed: DataFrame, work: Callable[[Side, Side], dic
                 yield out(work(_side(pa.Table.from_batches(held), sent.value.units.shape[1]), sent.value))
 
         return rows.mapInArrow(run, schema)
-    tiles, blocks = max(1, -(-rows.count() // TILE)), -(-n // block)
+    tiles, blocks = max(1, -(-rows.count() // TILE)), -(-fixed.count() // block)
     place = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("long")
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     mine = rows.select(F.lit(0).alias("side"), "id", "tag", "embedding", place(tiles).alias("tile"), every(blocks).alias("block"))
@@ -93,12 +94,12 @@ def compared(rows: DataFrame, fixed: DataFrame, work: Callable[[Side, Side], dic
     return mine.unionByName(theirs).groupBy("tile", "block").applyInArrow(meet, schema)
 
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, threshold: float = -2.0, skip_self: bool = True, other: str | None = None, block: int = BLOCK) -> DataFrame:
+def knn(rows: DataFrame, queries: DataFrame, k: int, threshold: float = -2.0, skip_self: bool = True, other: str | None = None, block: int = BLOCK, same: str | None = None) -> DataFrame:
     """The k rows nearest to each query by cosine: (query, id, similarity, rank); ties take the smaller id.
 
     Exact: each task keeps k rows for each query of what it has seen, and these are ranked. A query's own row (same id)
     is left out unless ``skip_self`` is off, and so are vectors of length 0, similarities below ``threshold``, and rows
-    that have the query's value in the whole-number column ``other``.
+    that have the query's value in the whole-number column ``other``, or another one than the query in the column ``same``.
     """
 
     def best(a: Side, b: Side) -> dict[str, np.ndarray]:
@@ -107,6 +108,8 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, threshold: float = -2.0, sk
             s[b.ids[:, None] == a.ids[None, :]] = -np.inf
         if other:
             s[b.tags[:, None] == a.tags[None, :]] = -np.inf
+        if same:
+            s[b.tags[:, None] != a.tags[None, :]] = -np.inf
         if s.shape[1] > 4 * k:  # the k best, ties by id: all rows as near as the k-th are kept for the sort
             edge = np.round(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], 9) - 1e-9
             i, j = np.nonzero(s >= edge[:, None])
@@ -119,7 +122,7 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, threshold: float = -2.0, sk
         ok = (place < k) & np.isfinite(value) & (value >= threshold)
         return {"query": b.ids[i[ok]], "id": a.ids[j[ok]], "similarity": value[ok]}
 
-    found = compared(rows, queries, best, "query long, id long, similarity double", other, block)
+    found = compared(rows, queries, best, "query long, id long, similarity double", other or same, block)
     rank = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
@@ -156,21 +159,6 @@ def coverage(items: DataFrame, vectors: DataFrame, covered: float = 0.8, partial
     return joined.select("item", best.alias("best"), status.alias("status"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
-def lexical_matches(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """(query, id, score, rank): for each query the best ``pool`` documents that hold all of its words.
-
-    ``docs`` has (id, words), ``queries`` (query, words); the score is the words' occurrences over 1 + ln(length). Words
-    are counted in each document before they meet the queries, and each task cuts a query's matches to ``pool`` before
-    they are shuffled.
-    """
-    asked = queries.select("query", F.array_distinct("words").alias("words")).select("query", F.size("words").alias("n_asked"), F.explode("words").alias("word"))
-    held = docs.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).groupBy("id", "n", "word").agg(F.count(F.lit(1)).alias("tf"))
-    met = held.join(asked, "word").groupBy("query", "id", "n", "n_asked").agg(F.count(F.lit(1)).alias("found"), F.sum("tf").alias("tf")).where("found = n_asked")
-    scored = met.select("query", "id", (F.col("tf") / (1 + F.ln("n"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= pool)
-
-
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two lists of (query, id, rank): (query, id, lexical_rank, vector_rank, fused)."""
     share = lambda r: F.coalesce(1 / (k + F.col(r)), F.lit(0.0))
@@ -178,24 +166,33 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int = 60) -> DataFrame:
     return both.withColumn("fused", share("lexical_rank") + share("vector_rank"))
 
 
-def hybrid_search(sources: dict[str, DataFrame], queries: DataFrame, limit: int = 20, pool: int = 50, k: int = 60, block: int = BLOCK) -> DataFrame:
+def hybrid_search(index: TextIndex, vectors: dict[str, DataFrame], queries: DataFrame, limit: int = 20, pool: int = 50, k: int = 60, block: int = BLOCK) -> DataFrame:
     """Hybrid search over several tables: (query, source_type, id, lexical_rank, vector_rank, fused, rank), ``limit`` for each query.
 
-    Each source has (id, words, embedding), ``queries`` (query, words, embedding). Lexical and vector candidates, ``pool``
-    of each, are fused source by source, then ranked together; ties go by source and id. A query without a vector is
-    answered by its words alone, a row without one is found by its words alone.
+    The sources of the text index are the names of ``vectors``, tables of (id, embedding); ``queries`` has (query, text, embedding, and
+    maybe scope). Lexical and vector candidates, ``pool`` of each, are fused source by source, then ranked together; ties go by source
+    and id. A query without a vector is answered by its words alone, a row without one is found by its words alone. Where
+    queries have a scope, vectors have one too, and only rows of the query's scope are found.
     """
-    found = None
-    vectors = queries.where("embedding IS NOT NULL").select(F.col("query").alias("id"), "embedding")
-    for name, rows in sources.items():
-        lexical = lexical_matches(rows.select("id", "words"), queries, pool)
-        near = knn(rows.where("embedding IS NOT NULL").select("id", "embedding"), vectors, pool, skip_self=False, block=block)
-        part = fuse(lexical, near, k).withColumn("source_type", F.lit(name))
+    lexical = lexical_top(index, queries, pool)
+    asked, found = queries.where("embedding IS NOT NULL"), None
+    for name, rows in vectors.items():
+        near = _near_in_scope(rows.where("embedding IS NOT NULL"), asked, pool, block)
+        part = fuse(lexical.where(F.col("source") == name), near, k).withColumn("source_type", F.lit(name))
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("fused", 12)), "source_type", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", "source_type", "id", "lexical_rank", "vector_rank", "fused", "rank")
 
 
+def _near_in_scope(rows: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
+    """The k rows nearest to each query, all of them or those of its scope, which is told by a hash of its name."""
+    asked = queries.select(F.col("query").alias("id"), "embedding", *(["scope"] if "scope" in queries.columns else []))
+    if "scope" not in queries.columns:
+        return knn(rows.select("id", "embedding"), asked, k, skip_self=False, block=block)
+    named = lambda df: df.withColumn("scope", F.xxhash64("scope"))
+    return knn(named(rows.select("id", "embedding", "scope")), named(asked), k, skip_self=False, same="scope", block=block)
+
+
 def reranked(found: DataFrame, score: Column | None, limit: int = 10) -> DataFrame:
     """The best ``limit`` rows of each query by a second score, first-stage order where there is none: adds rerank_score, reranked, position.
 

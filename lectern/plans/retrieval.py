@@ -13,69 +13,156 @@ from pyspark.sql import functions as F
 from lectern import api
 from lectern.functions.text import jaccard
 from lectern.operators import search
+from lectern.operators.textindex import TextIndex, build_text_index, lexical_top, words_of
 from lectern.plans.registry import query
+from lectern.session import scratch
 from lectern.sources.tables import table
 
-_TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-_SOURCES = f"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-src AS (SELECT 'utterance' AS source_type, conv_id * 1000 + turn AS id, {_TOK} AS ws, v FROM conversations LEFT JOIN e ON turn < 5 AND vec_id = conv_id * 5 + turn
-  UNION ALL SELECT 'note_section', doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), v FROM documents LEFT JOIN e ON vec_id = doc_id),
-qs AS (SELECT id AS query, v, list_distinct([list_min(ws), list_max(ws)]) AS asked FROM src WHERE source_type = 'note_section' AND id % 100 = 0 AND len(ws) > 0),
-lx AS (SELECT query, source_type, id, len(list_filter(ws, lambda x: list_contains(asked, x))) / (1 + ln(len(ws))) AS score FROM src, qs WHERE len(list_intersect(list_distinct(ws), asked)) = len(asked)),
-lr AS (SELECT *, row_number() OVER (PARTITION BY query, source_type ORDER BY round(score, 9) DESC, id) AS rank FROM lx QUALIFY rank <= 50),
+_TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+#: Brute force over all words: occurrences of the asked ones, documents that hold what is asked, ranks by place and by nearness.
+_SRC = rf"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+src AS (SELECT 'utterance' AS source_type, conv_id * 1000 + turn AS id, role AS scope, {_TOK} AS ws, v FROM conversations LEFT JOIN e ON turn < 5 AND vec_id = conv_id * 5 + turn
+  UNION ALL SELECT 'note_section', doc_id, lang, {_TOK}, v FROM documents LEFT JOIN e ON vec_id = doc_id),
+n AS (SELECT * FROM src WHERE source_type = 'note_section' AND id % 100 = 0 AND len(ws) > 0)"""
+_OCC = """w AS (SELECT DISTINCT unnest(asked) AS word FROM qs),
+occ AS (SELECT source_type, id, held_in, word, list(pos ORDER BY pos) AS ps FROM (SELECT source_type, id, scope AS held_in, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM src) SEMI JOIN w USING (word) GROUP BY ALL)"""
+_OFTEN = "0.1 / 1.64493406685 * list_sum(list_transform(range(1, len({0}) + 1), lambda j: 1.0 / (j * j)))"
+_NEAR = "1 - exp(coalesce(list_sum(flatten(list_transform({0}, lambda a: list_transform(list_filter({1}, lambda b: abs(a - b) <= 100), lambda b: ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a - b) / 1.5 - 2)))))))), 0))"
+_FUSED = """lr AS (SELECT *, row_number() OVER (PARTITION BY query, source_type ORDER BY round(score, 9) DESC, id) AS rank FROM lx QUALIFY rank <= 50),
 vx AS (SELECT query, source_type, id, list_cosine_similarity(src.v, qs.v) AS score FROM src, qs WHERE src.v IS NOT NULL AND qs.v IS NOT NULL),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query, source_type ORDER BY round(score, 9) DESC, id) AS rank FROM vx QUALIFY rank <= 50),
 f AS (SELECT coalesce(lr.query, vr.query) AS query, coalesce(lr.source_type, vr.source_type) AS source_type, coalesce(lr.id, vr.id) AS id, lr.rank AS lexical_rank, vr.rank AS vector_rank,
   coalesce(1 / (60 + lr.rank), 0) + coalesce(1 / (60 + vr.rank), 0) AS fused FROM lr FULL JOIN vr ON lr.query = vr.query AND lr.source_type = vr.source_type AND lr.id = vr.id),
 h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(fused, 12) DESC, source_type, id) AS rank FROM f)"""
+_SOURCES = f"""{_SRC}, qs AS (SELECT id AS query, scope, v, list_distinct([list_min(ws), list_max(ws)]) AS asked FROM n), {_OCC},
+m AS (SELECT query, source_type, id, list(ps) AS pl FROM occ JOIN (SELECT query, asked, scope, unnest(asked) AS word FROM qs) USING (word) GROUP BY query, source_type, id, len(asked) HAVING count(*) = len(asked)),
+lx AS (SELECT query, source_type, id, CASE WHEN len(pl) = 1 THEN {_OFTEN.format("pl[1]")} ELSE {_NEAR.format("pl[1]", "pl[2]")} END AS score FROM m),
+{_FUSED}"""
 
 
-def _words(column):
-    return F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+def _texts(spark, sf_dir):
+    """Both sources as (source, id, scope, text): turns by role, notes by language."""
+    turns = table(spark, sf_dir, "conversations").select(F.lit("utterance").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("scope"), "text")
+    notes = table(spark, sf_dir, "documents").select(F.lit("note_section").alias("source"), F.col("doc_id").alias("id"), F.col("lang").alias("scope"), "text")
+    return turns.unionByName(notes)
 
 
-def _sources(spark, sf_dir):
+_BUILT: dict[tuple, TextIndex] = {}
+
+
+def text_index(spark, sf_dir, language="simple"):
+    """The text index of both sources, built at the first search of a session and kept for the next ones."""
+    key = (spark.sparkContext.applicationId, sf_dir, language)
+    if key not in _BUILT:
+        _BUILT[key] = build_text_index(_texts(spark, sf_dir), scratch(spark, "index"), language)
+    return _BUILT[key]
+
+
+def _vectors(spark, sf_dir):
+    """The rows of both sources that have a vector: (id, scope, embedding)."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), _words("text").alias("words"), F.when(F.col("turn") < 5, F.col("conv_id") * 5 + F.col("turn")).alias("vec_id"))
-    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _words("text").alias("words"), F.col("doc_id").alias("vec_id"))
-    return {"utterance": turns.join(vectors, "vec_id", "left").drop("vec_id"), "note_section": notes.join(vectors, "vec_id", "left").drop("vec_id")}
+    turns = table(spark, sf_dir, "conversations").where("turn < 5").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("scope"), (F.col("conv_id") * 5 + F.col("turn")).alias("vec_id"))
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("scope"), F.col("doc_id").alias("vec_id"))
+    return {"utterance": turns.join(vectors, "vec_id").drop("vec_id"), "note_section": notes.join(vectors, "vec_id").drop("vec_id")}
+
+
+def _search(spark, sf_dir, asked, limit=20):
+    return search.hybrid_search(text_index(spark, sf_dir), _vectors(spark, sf_dir), asked, limit)
+
+
+def _asking(spark, sf_dir, text):
+    """Queries (query, scope, text, embedding) of all notes with words whose id is divisible by 100; ``text`` is SQL over their words."""
+    notes = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.col("lang").alias("scope"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return notes.select("query", "scope", F.expr(text).alias("text")).join(vectors, "query", "left")
 
 
-def _queries(sources):
-    asked = sources["note_section"].where((F.col("id") % 100 == 0) & (F.size("words") > 0))
-    return asked.select(F.col("id").alias("query"), F.array(F.array_min("words"), F.array_max("words")).alias("words"), "embedding")
+_FIRST_AND_LAST = """format_string('"%s" "%s"', array_min(words), array_max(words))"""
+
+
+def _queries(spark, sf_dir):
+    return _asking(spark, sf_dir, _FIRST_AND_LAST).drop("scope")
+
+
+def _longs(found, *names):
+    return found.withColumns({c: F.col(c).cast("long") for c in names})
 
 
 @query("v9_hybrid_search", f"WITH {_SOURCES} SELECT query, source_type, id, lexical_rank, vector_rank, round(fused, 9) AS fused, rank FROM h WHERE rank <= 20")
 def _(spark, sf_dir):
     """Both sources, lexical and vector candidates fused; queries without a vector fall back to their words."""
-    sources = _sources(spark, sf_dir)
-    found = search.hybrid_search(sources, _queries(sources), 20)
-    return found.withColumns({"fused": F.round("fused", 9), "lexical_rank": F.col("lexical_rank").cast("long"), "vector_rank": F.col("vector_rank").cast("long"), "rank": F.col("rank").cast("long")})
+    found = _search(spark, sf_dir, _queries(spark, sf_dir))
+    return _longs(found.withColumn("fused", F.round("fused", 9)), "lexical_rank", "vector_rank", "rank")
+
+
+@query("v9_scoped_search", f"WITH {_SOURCES.replace('USING (word) GROUP BY query', 'USING (word) WHERE held_in = scope GROUP BY query').replace('WHERE src.v IS NOT NULL', 'WHERE src.scope = qs.scope AND src.v IS NOT NULL')} SELECT query, source_type, id, round(fused, 9) AS fused, rank FROM h WHERE rank <= 20")
+def _(spark, sf_dir):
+    """The same within one subject, the query note's own: rows of other subjects are not looked at."""
+    found = _search(spark, sf_dir, _asking(spark, sf_dir, _FIRST_AND_LAST))
+    return _longs(found.select("query", "source_type", "id", F.round("fused", 9).alias("fused"), "rank"), "rank")
 
 
 @query("k4_vector_candidates", f"WITH {_SOURCES} SELECT query, source_type, id, round(score, 6) AS similarity, rank FROM vr WHERE rank <= 10")
 def _(spark, sf_dir):
-    sources = _sources(spark, sf_dir)
-    asked = _queries(sources).where("embedding IS NOT NULL").select(F.col("query").alias("id"), "embedding")
-    near = lambda name: search.knn(sources[name].where("embedding IS NOT NULL").select("id", "embedding"), asked, 10, skip_self=False).withColumn("source_type", F.lit(name))
+    rows = _vectors(spark, sf_dir)
+    asked = _queries(spark, sf_dir).where("embedding IS NOT NULL").select(F.col("query").alias("id"), "embedding")
+    near = lambda name: search.knn(rows[name].select("id", "embedding"), asked, 10, skip_self=False).withColumn("source_type", F.lit(name))
     return near("utterance").unionByName(near("note_section")).select("query", "source_type", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+def _lexical(spark, sf_dir, text, k=10, language="simple", scoped=False):
+    """The best k of each source for the queries that ``text`` writes."""
+    asked = _asking(spark, sf_dir, text).drop("embedding", *([] if scoped else ["scope"]))
+    best = lexical_top(text_index(spark, sf_dir, language), asked, k).withColumnRenamed("source", "source_type")
+    return best.select("query", "source_type", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("k3_lexical_topk", f"WITH {_SOURCES} SELECT query, source_type, id, round(score, 6) AS score, rank FROM lr WHERE rank <= 10")
 def _(spark, sf_dir):
-    sources = _sources(spark, sf_dir)
-    asked = _queries(sources).select("query", "words")
-    best = lambda name: search.lexical_matches(sources[name].select("id", "words"), asked, 10).withColumn("source_type", F.lit(name))
-    return best("utterance").unionByName(best("note_section")).select("query", "source_type", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """All words asked: ranked by how near they stand."""
+    return _lexical(spark, sf_dir, _FIRST_AND_LAST)
+
+
+_PHRASE = f"""{_SRC}, qs AS (SELECT id AS query, [ws[(len(ws) + 1) // 2], ws[(len(ws) + 1) // 2 + 1]] AS asked FROM n WHERE len(ws) > 1), {_OCC},
+m AS (SELECT query, a.source_type, a.id, a.ps AS p1, b.ps AS p2, asked FROM qs JOIN occ a ON a.word = asked[1] JOIN occ b ON b.word = asked[2] AND b.source_type = a.source_type AND b.id = a.id
+  WHERE len(list_intersect(list_transform(a.ps, lambda p: p + 1), b.ps)) > 0),
+lx AS (SELECT query, source_type, id, CASE WHEN asked[1] = asked[2] THEN {_OFTEN.format("p1")} ELSE {_NEAR.format("p1", "p2")} END AS score FROM m),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query, source_type ORDER BY round(score, 9) DESC, id) AS rank FROM lx)"""
+
+
+@query("k3_phrase_search", f"WITH {_PHRASE} SELECT query, source_type, id, round(score, 6) AS score, rank FROM lr WHERE rank <= 10")
+def _(spark, sf_dir):
+    """A phrase of two words, from the middle of each asking note."""
+    return _lexical(spark, sf_dir, """CASE WHEN size(words) > 1 THEN format_string('"%s %s"', words[(size(words) + 1) div 2 - 1], words[(size(words) + 1) div 2]) END""")
+
+
+_EITHER = f"""{_SRC}, qs AS (SELECT id AS query, scope, [list_min(ws), list_max(ws), ws[1]] AS asked FROM n), {_OCC},
+t AS (SELECT query, scope, asked, unnest(list_distinct(asked)) AS word FROM qs),
+m AS (SELECT query, source_type, id, any_value(asked) AS asked, list(occ.word) AS held, list(ps) AS pl FROM t JOIN occ ON t.word = occ.word AND scope = held_in GROUP BY query, source_type, id),
+lx AS (SELECT query, source_type, id, list_sum(list_transform(pl, lambda p: {_OFTEN.format("p")})) / len(list_distinct(asked)) AS score FROM m
+  WHERE list_contains(held, asked[1]) OR (list_contains(held, asked[2]) AND NOT list_contains(held, asked[3]))),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query, source_type ORDER BY round(score, 9) DESC, id) AS rank FROM lx)"""
+
+
+@query("k3_either_without", f"WITH {_EITHER} SELECT query, source_type, id, round(score, 6) AS score, rank FROM lr WHERE rank <= 10")
+def _(spark, sf_dir):
+    """One word, or another without a third, within the query's subject: ranked by how often they occur."""
+    text = """format_string('"%s" or "%s" -"%s"', array_min(words), array_max(words), words[0])"""
+    return _lexical(spark, sf_dir, text, scoped=True)
+
+
+@query("k3_english_search")
+def _(spark, sf_dir):
+    """Stems instead of words, stop words left out: the first two words and the last one of each asking note."""
+    text = "concat_ws(' ', words[0], 'or', get(words, 1), element_at(words, -1))"
+    return _lexical(spark, sf_dir, text, language="english")
 
 
 @query("k5_lexical_only", f"WITH {_SOURCES.replace('qs.v IS NOT NULL', 'false')} SELECT query, source_type, id, round(fused, 9) AS fused, rank FROM h WHERE rank <= 20")
 def _(spark, sf_dir):
     """The same search while no vectors can be had: it degrades to words, and does not fail."""
-    sources = _sources(spark, sf_dir)
-    asked = _queries(sources).withColumn("embedding", F.lit(None).cast("array<double>"))
-    return search.hybrid_search(sources, asked, 20).select("query", "source_type", "id", F.round("fused", 9).alias("fused"), F.col("rank").cast("long").alias("rank"))
+    asked = _queries(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<double>"))
+    return _longs(_search(spark, sf_dir, asked).select("query", "source_type", "id", F.round("fused", 9).alias("fused"), "rank"), "rank")
 
 
 _RERANK = f"""{_SOURCES}, c AS (SELECT h.*, src.ws, qs.asked, q.ws AS qw FROM h JOIN src USING (source_type, id) JOIN qs USING (query) JOIN src q ON q.source_type = 'note_section' AND q.id = query WHERE rank <= 50),
@@ -85,11 +172,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12)
 
 def _candidates(spark, sf_dir):
     """The first stage's 50 candidates of each query with a second score: overlap of their words with the query note's."""
-    sources = _sources(spark, sf_dir)
-    found = search.hybrid_search(sources, _queries(sources), 50, 50)
-    words = sources["utterance"].select("id", "words").withColumn("source_type", F.lit("utterance")).unionByName(sources["note_section"].select("id", "words").withColumn("source_type", F.lit("note_section")))
-    own = sources["note_section"].where("id % 100 = 0").select(F.col("id").alias("query"), F.array_distinct("words").alias("own"))
-    return found.join(words, ["source_type", "id"]).join(own, "query").withColumn("score", jaccard(F.array_distinct("words"), F.col("own"))).drop("words", "own")
+    _search(spark, sf_dir, _queries(spark, sf_dir), 50).write.parquet(path := scratch(spark, "found"))
+    found = spark.read.parquet(path)
+    distinct = F.array_distinct(words_of(F.col("text")))
+    texts = _texts(spark, sf_dir).withColumnRenamed("source", "source_type").join(found.select("source_type", "id").distinct(), ["source_type", "id"], "left_semi")
+    own = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), distinct.alias("own"))
+    joined = found.join(texts.select("source_type", "id", distinct.alias("words")), ["source_type", "id"]).join(own, "query")
+    return joined.withColumn("score", jaccard(F.col("words"), F.col("own"))).drop("words", "own")
 
 
 @query("k8_reranked", f"WITH {_RERANK} SELECT query, source_type, id, round(score, 6) AS rerank_score, true AS reranked, position FROM r WHERE position <= 10")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import memory, scalar, syllabus, text
 from lectern.operators import cluster, governance, metrics, relational, search, sequence, study
+from lectern.operators.textindex import build_text_index
+from lectern.session import scratch
 
 RNG = np.random.default_rng(11)
 
@@ -58,11 +60,13 @@ def test_best_topic_coverage_and_silhouette_equal_brute_force(spark, block):
 
 
 def test_hybrid_search_degrades_to_words_and_ranks_both_sources(spark):
-    schema = "id long, words array<string>, embedding array<double>"
-    turns = spark.createDataFrame([(1, ["red", "apple"], [1.0, 0.0]), (2, ["green", "pear"], [0.9, 0.1]), (3, ["red", "red", "fox"], None)], schema)
-    notes = spark.createDataFrame([(1, ["red", "note"], [0.0, 1.0])], schema)
-    asked = spark.createDataFrame([(7, ["red"], [1.0, 0.0]), (8, ["red"], None), (9, ["absent"], None)], "query long, words array<string>, embedding array<double>")
-    out = search.hybrid_search({"utterance": turns, "note_section": notes}, asked, 10).orderBy("query", "rank").collect()
+    schema = "id long, text string, embedding array<double>, scope string"
+    turns = spark.createDataFrame([(1, "red apple", [1.0, 0.0], "a"), (2, "green pear", [0.9, 0.1], "a"), (3, "red red fox", None, "b")], schema)
+    notes = spark.createDataFrame([(1, "Red note", [0.0, 1.0], "b")], schema)
+    vectors = {"utterance": turns.select("id", "scope", "embedding"), "note_section": notes.select("id", "scope", "embedding")}
+    index = build_text_index(turns.withColumn("source", F.lit("utterance")).unionByName(notes.withColumn("source", F.lit("note_section"))), scratch(spark, "two"))
+    asked = spark.createDataFrame([(7, "red", [1.0, 0.0]), (8, "red", None), (9, "absent", None)], "query long, text string, embedding array<double>")
+    out = search.hybrid_search(index, vectors, asked, 10).orderBy("query", "rank").collect()
     by = {q: [(r["source_type"], r["id"]) for r in out if r["query"] == q] for q in (7, 8, 9)}
     assert by[7][0] == ("note_section", 1) or by[7][0] == ("utterance", 1)
     assert set(by[7]) == {("utterance", 1), ("utterance", 2), ("utterance", 3), ("note_section", 1)}  # found by vector alone, too
@@ -70,6 +74,8 @@ def test_hybrid_search_degrades_to_words_and_ranks_both_sources(spark):
     assert all(r["vector_rank"] is None for r in out if r["query"] == 8)
     first = next(r for r in out if r["query"] == 7 and (r["source_type"], r["id"]) == ("utterance", 1))
     assert first["fused"] == pytest.approx(1 / (60 + first["lexical_rank"]) + 1 / (60 + first["vector_rank"]))
+    scoped = search.hybrid_search(index, vectors, asked.withColumn("scope", F.lit("b")), 10).collect()
+    assert {(r["query"], r["source_type"], r["id"]) for r in scoped} == {(q, *x) for q in (7, 8) for x in (("utterance", 3), ("note_section", 1))}
 
 
 def test_reranking_counts_null_as_zero_and_keeps_the_order_when_down(spark):

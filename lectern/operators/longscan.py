@@ -94,13 +94,13 @@ def folded(rows: DataFrame, key: str, n_states: int, step: Column, start: Column
     maps = rows.select(key, "block", "position", "step", "start").groupBy(key, "block").applyInPandas(summed, f"{key} {kind}, block long, map array<int>, start int")
     chained = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "map", "start"))).alias("blocks"))
     # a few entries for each key: one for each block
-    begins = F.aggregate("blocks", F.struct(F.array().cast("array<struct<of_block:bigint,begin:int>>").alias("out"), F.get("blocks", F.lit(0))["start"].alias("at")), lambda acc, b: F.struct(F.concat(acc["out"], F.array(F.struct(b["block"].alias("of_block"), acc["at"].alias("begin")))).alias("out"), F.get(b["map"], acc["at"]).alias("at")), lambda acc: acc["out"])
+    begins = F.aggregate("blocks", F.struct(F.array().cast("array<struct<of_block:bigint,begins_at:int>>").alias("out"), F.get("blocks", F.lit(0))["start"].alias("at")), lambda acc, b: F.struct(F.concat(acc["out"], F.array(F.struct(b["block"].alias("of_block"), acc["at"].alias("begins_at")))).alias("out"), F.get(b["map"], acc["at"]).alias("at")), lambda acc: acc["out"])
     begins = chained.select(F.col(key).alias("key_of_block"), F.explode(begins).alias("b")).select("key_of_block", "b.*")
     met = rows.join(begins, (F.col("block") == F.col("of_block")) & F.col(key).eqNullSafe(F.col("key_of_block"))).drop("of_block", "key_of_block", "start")
 
     def gone(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
-        now, out = int(pdf["begin"].iloc[0]) if len(pdf) else 0, []
+        now, out = int(pdf["begins_at"].iloc[0]) if len(pdf) else 0, []
         for nxt in pdf["step"]:
             out.append(now)
             now = int(nxt[now])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,22 +115,50 @@ def quarantine(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("errors", F.filter(broken, lambda e: e.isNotNull()))
 
 
-def similar_hashes(rows: DataFrame, id_col: str, hash_col: str, most: int = 8, bands: int = 9) -> DataFrame:
+def probe_plan(n: int, most: int) -> tuple[int, int, float]:
+    """For n hashes of 64 bits: how many bands they are cut into, how many bits of a band a probe may differ in, and the expected work for each hash.
+
+    Where two hashes differ in ``most`` bits, some of m bands differs in at most ``most // m``. Few wide bands have small buckets and
+    many probes, many narrow ones few probes and large buckets; the number of bands of the least expected work keeps a bucket near one hash
+    as n grows.
+    """
+
+    def work(m: int) -> float:
+        width = 64 // m
+        probes = sum(comb(width + (64 % m > 0), r) for r in range(most // m + 1))
+        return m * probes * (1 + n / 2.0**width)
+
+    bands = min(range(3, max(4, most + 2)), key=work)
+    return bands, most // bands, work(bands)
+
+
+def similar_hashes(rows: DataFrame, id_col: str, hash_col: str, most: int = 8, bands: int | None = None) -> DataFrame:
     """Each row with the other row of the nearest 64-bit hash within ``most`` differing bits: (id, other, distance).
 
-    With more bands than differing bits, some band is equal, so rows meet by equality of a band's bits; the bands are
-    disjoint and cover all bits. Equal hashes are collapsed first to their two smallest ids, so copies cost one row.
+    Exact multi-index hashing: every hash is listed under its bits in each of ``bands`` disjoint bands, and looks under all values
+    within ``most // bands`` bits of its own (``probe_plan`` picks the bands by the counted hashes). Equal hashes are collapsed first to
+    their two smallest ids, so copies cost one row.
     """
-    if not most < bands <= 64:
-        raise ValueError("more bands than differing bits are needed, 64 at most")
+    if bands is not None and not 1 <= bands <= 64:
+        raise ValueError("1 to 64 bands")
+    bands = bands or probe_plan(rows.count(), most)[0]
     cuts = [b * 64 // bands for b in range(bands + 1)]
+    masks = [[sum(1 << x for x in c) for r in range(most // bands + 1) for c in combinations(range(b - a), r)] for a, b in zip(cuts, cuts[1:], strict=False)]
     bits = lambda a, b: F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long"))
     copies = rows.select(F.col(hash_col).alias("h"), F.col(id_col).alias("id"))
     first_two = copies.withColumn("rank", F.dense_rank().over(Window.partitionBy("h").orderBy("id"))).where("rank <= 2")  # cut to two before the shuffle
     single = first_two.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("next"))
-    parts = single.select("h", "id", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), bits(a, b).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))).alias("k")).select("h", "id", "k.*")
-    other = parts.select("band", "bits", F.col("h").alias("h2"), F.col("id").alias("other"))
-    met = parts.join(other, ["band", "bits"]).where("h <> h2").select("h", "h2", "other").distinct().withColumn("distance", hamming(F.col("h"), F.col("h2"))).where(F.col("distance") <= most)
+    own = [F.struct(F.lit(i).alias("band"), bits(a, b).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    listed = single.select("h", "id", F.explode(F.array(*own)).alias("k")).select(F.col("h").alias("h2"), F.col("id").alias("other"), "k.*")
+
+    def near(band: int) -> Column:
+        """The band's values that a hash looks under."""
+        value = bits(cuts[band], cuts[band + 1])
+        return F.transform(F.array(*(F.lit(m).cast("long") for m in masks[band])), lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m).alias("bits")))
+
+    values = F.flatten(F.array(*(near(band) for band in range(bands))))
+    probes = single.select("h", F.explode(values).alias("k")).select("h", "k.*")
+    met = probes.join(listed, ["band", "bits"]).where("h <> h2").withColumn("distance", hamming(F.col("h"), F.col("h2"))).where(F.col("distance") <= most)
     best = met.groupBy("h").agg(F.min(F.struct("distance", "other")).alias("best"))
     pairs = rows.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).join(single.select("h", F.col("id").alias("first"), F.when(F.col("next") > F.col("id"), F.col("next")).alias("second")), "h").join(best, "h", "left")
     twin = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))

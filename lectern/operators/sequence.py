@@ -1,7 +1,8 @@
 """Operators over ordered sequences: context windows, adaptive segmentation, pooling, cues.
 
-A sequence is the rows of one session ordered by ``seq``. All windows partition by session, so a
-corpus is split over as many tasks as it has sessions.
+A sequence is the rows of one session ordered by ``seq``. Windows partition by session, so a corpus is
+split over as many tasks as it has sessions; the ``long_`` forms give the same rows where one session is too
+long for a task: they cut it into blocks of places, with halo rows at the edges.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.vector import cosine
+from lectern.operators.longscan import RANGE, looking, percentile, positioned, running_sum
 
 
 def ordered(*keys: str):
@@ -41,6 +43,11 @@ def segments(rows: DataFrame, percentile: float = 0.25) -> DataFrame:
     scored = scored.join(limits, "session")
     cut = F.coalesce(F.col("similarity") < F.col("threshold"), F.lit(False))
     scored = scored.withColumn("cut", cut.cast("int")).withColumn("segment", F.sum("cut").over(ordered("session").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cut"))
+    return _segments_of(scored)
+
+
+def _segments_of(scored: DataFrame) -> DataFrame:
+    """Segments from rows with similarity, threshold, spread, cut and the number of their segment."""
     sure = F.when(F.col("spread") > 0, F.least(F.lit(1.0), F.abs(F.col("threshold") - F.col("at_cut")) / F.col("spread"))).otherwise(F.lit(0.5))
     grouped = scored.groupBy("session", "segment").agg(
         F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("cut") == 1, F.col("similarity"))).alias("at_cut"), F.first("threshold").alias("threshold"), F.first("spread").alias("spread")
@@ -49,6 +56,44 @@ def segments(rows: DataFrame, percentile: float = 0.25) -> DataFrame:
     return grouped.select("session", "segment", "start_seq", "end_seq", "n", F.when(last, 1.0).otherwise(1 - F.col("at_cut")).alias("boundary_score"), F.when(last, 1.0).otherwise(sure).alias("confidence"))
 
 
+def long_context_windows(rows: DataFrame, width: int, most: int = RANGE) -> DataFrame:
+    """``context_windows`` for sessions of any length, and ``position`` besides."""
+    back = max(width, 1) - 1
+    placed = positioned(rows, "session", "seq", most=most)
+    frame = lambda w: w.rowsBetween(-back, 0)
+    return looking(placed, "session", back, 0, lambda w: {"context": F.array_join(F.collect_list("text").over(frame(w)), " "), "n_context": F.count(F.lit(1)).over(frame(w))}, max(most, back))
+
+
+def long_batches(rows: DataFrame, size: int, most: int = RANGE) -> DataFrame:
+    """``batches`` for sessions of any length."""
+    return positioned(rows, "session", "seq", most=most).withColumn("batch", F.floor(F.col("position") / size)).drop("position")
+
+
+def long_segments(rows: DataFrame, share: float = 0.25, most: int = RANGE) -> DataFrame:
+    """``segments`` for sessions of any length: neighbours across blocks by halo rows, the threshold by places of sorted values, numbers by sums over blocks."""
+    placed = positioned(rows.select("session", "seq", "embedding"), "session", "seq", most=most)
+    scored = looking(placed, "session", 0, 1, lambda w: {"following": F.lead("embedding").over(w)}, most)
+    scored = scored.withColumn("similarity", F.when(F.col("following").isNotNull(), cosine(F.col("embedding"), F.col("following"), 1.0))).drop("embedding", "following")
+    limits = percentile(scored, "session", "similarity", share, most).withColumnRenamed("percentile", "threshold")
+    limits = limits.join(scored.groupBy("session").agg(F.stddev_pop("similarity").alias("spread")), "session")
+    scored = scored.join(limits, "session", "left")
+    cut = F.coalesce(F.col("similarity") < F.col("threshold"), F.lit(False)).cast("int")
+    numbered = running_sum(scored.withColumn("cut", cut), "session", F.col("cut"), "segment", most).withColumn("segment", F.col("segment") - F.col("cut"))
+    return _segments_of(numbered)
+
+
+def long_members(rows: DataFrame, spans: DataFrame, width: int = RANGE) -> DataFrame:
+    """``members`` for sessions of any length: segments and rows meet in ranges of ``width`` numbers, each cut at its edges."""
+    cut = F.explode(F.sequence(F.floor(F.col("start_seq") / width), F.floor(F.col("end_seq") / width)))
+    marks = spans.select("session", cut.alias("range"), "segment", F.col("start_seq").alias("from_seq"), "end_seq")
+    marks = marks.select("session", "range", F.greatest("from_seq", F.col("range") * width).alias("seq"), F.lit(0).alias("kind"), F.struct("segment", "end_seq").alias("span"))
+    names = rows.columns
+    both = rows.withColumn("range", F.floor(F.col("seq") / width)).withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    carried = F.last("span", ignorenulls=True).over(Window.partitionBy("session", "range").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    held = both.withColumn("span", carried).where((F.col("kind") == 1) & (F.col("seq") <= F.col("span.end_seq")))
+    return held.select(*names, F.col("span.segment").alias("segment"))
+
+
 def members(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows with the segment whose range holds their seq.
 

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lectern.plans import changes, content, library, metrics, relational, retrieval, sequence, streams, study, texts, topics  # noqa: F401
+    from lectern.plans import changes, content, library, metrics, relational, retrieval, sequence, states, streams, study, texts, topics  # noqa: F401
 
 
 _load()

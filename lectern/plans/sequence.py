@@ -8,7 +8,9 @@ from lectern.functions.scalar import midpoint
 from lectern.functions.text import CUES, GREETINGS
 from lectern.operators import search, sequence
 from lectern.operators.metrics import diversity
+from lectern.operators.vectorindex import build_vector_index, index_knn, recall
 from lectern.plans.registry import query
+from lectern.session import scratch
 from lectern.sources.tables import embedded, utterances
 
 _E = "e AS (SELECT vec_id // 50 AS session, vec_id AS seq, CAST(embedding AS DOUBLE[]) AS embedding, label AS topic FROM embeddings)"
@@ -56,6 +58,38 @@ def _(spark, sf_dir):
     return sequence.members(rows.drop("embedding"), sequence.segments(rows))
 
 
+_ONE = _SIM.replace("vec_id // 50 AS session", "0 AS session")
+#: Segments that a session of one long recording is cut into here, so that the blocks show on small tables too.
+_LONG = 400
+
+
+def _one_session(spark, sf_dir):
+    return embedded(spark, sf_dir).withColumn("session", F.lit(0))
+
+
+@query("w1_long_session", "WITH u AS (SELECT 0 AS session, conv_id * 1000 + turn AS seq, text FROM conversations) SELECT session, seq, string_agg(text, ' ') OVER w AS context, count(*) OVER w AS n_context FROM u WINDOW w AS (PARTITION BY session ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def _(spark, sf_dir):
+    """All turns as one session: no task holds it, as windows run in blocks with halo rows."""
+    rows = utterances(spark, sf_dir).select(F.lit(0).alias("session"), (F.col("session") * 1000 + F.col("seq")).alias("seq"), "text")
+    return sequence.long_context_windows(rows, 3, _LONG).select("session", "seq", "context", "n_context")
+
+
+@query(
+    "w5_long_session",
+    f"""WITH {_ONE} SELECT session, CAST(segment AS BIGINT) AS segment, start_seq, end_seq, n, round(CASE WHEN at_cut IS NULL THEN 1.0 ELSE 1 - at_cut END, 6) AS boundary_score,
+  round(CASE WHEN at_cut IS NULL THEN 1.0 WHEN spread > 0 THEN least(1.0, abs(threshold - at_cut) / spread) ELSE 0.5 END, 6) AS confidence FROM k""",
+)
+def _(spark, sf_dir):
+    """All embedded rows as one session, segmented in blocks."""
+    return sequence.long_segments(_one_session(spark, sf_dir), most=_LONG).withColumns({c: F.round(c, 6) for c in ("boundary_score", "confidence")})
+
+
+@query("j3_long_members", f"WITH {_ONE} SELECT e.session, e.seq, CAST(k.segment AS BIGINT) AS segment FROM e JOIN k ON e.session = k.session AND e.seq BETWEEN k.start_seq AND k.end_seq")
+def _(spark, sf_dir):
+    rows = _one_session(spark, sf_dir)
+    return sequence.long_members(rows.select("session", "seq"), sequence.long_segments(rows, most=_LONG), _LONG)
+
+
 _POOL = """p AS (SELECT {keys}, i, avg(embedding[i]) AS x, count(*) AS n FROM {src}, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY {keys}, i)"""
 
 
@@ -144,6 +178,26 @@ def _(spark, sf_dir):
     return search.knn(rows, rows.where("id % 100 = 0"), 10).withColumn("similarity", F.round("similarity", 6))
 
 
+def _indexed(spark, sf_dir):
+    """The rows, an index of all of them, and the queries: every hundredth row."""
+    rows = embedded(spark, sf_dir).select(F.col("seq").alias("id"), "embedding")
+    return rows, build_vector_index(rows, scratch(spark, "vectors")), rows.where("id % 100 = 0")
+
+
+@query("k2_index_knn")
+def _(spark, sf_dir):
+    """The same search through the vector index: exact similarities of the rows that its codes put first."""
+    _, index, asked = _indexed(spark, sf_dir)
+    return index_knn(index, asked, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("k2_index_recall")
+def _(spark, sf_dir):
+    """The share of the exact ten nearest rows that the index finds."""
+    rows, index, asked = _indexed(spark, sf_dir)
+    return recall(index_knn(index, asked, 10), rows, asked, 10)
+
+
 @query("j18_hard_negatives", f"WITH {_KNN} SELECT query, id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, id) AS rank FROM m WHERE t0 <> t1) WHERE rank <= 3")
 def _(spark, sf_dir):
     """Nearest rows of other topics, in one search: rows of the query's own topic are masked."""

@@ -193,5 +193,13 @@ def test_similar_hashes_equal_brute_force(spark):
         near = sorted((bin((h ^ g) & (2**64 - 1)).count("1"), j) for j, g in rows if j != i)
         want |= {(i, j, d) for d, j in near[:1] if d <= 8}
     df = spark.createDataFrame(rows, "id long, h long")
-    assert set(map(tuple, relational.similar_hashes(df, "id", "h").collect())) == want
+    for bands in (None, 3, 4, 9):
+        assert set(map(tuple, relational.similar_hashes(df, "id", "h", bands=bands).collect())) == want
     assert {d for _, _, d in want} == {0, 3, 8}
+
+
+def test_probes_keep_the_expected_work_of_a_hash_far_below_all_hashes():
+    for n in (10**3, 10**5, 10**7, 10**9):
+        bands, bits, work = relational.probe_plan(n, 8)
+        assert bits == 8 // bands and work < 40_000
+    assert relational.probe_plan(10**9, 8)[2] < 300 * relational.probe_plan(10**4, 8)[2]

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from lectern.plans.registry import query
 from lectern.session import scratch
 from lectern.sources.tables import table
-from lectern.streaming.ingest import complete_sessions, deduplicated, drained, finalised, streamed
+from lectern.streaming.ingest import appended, complete_sessions, deduplicated, drained, finalised, streamed
 from lectern.streaming.quality import alert_stream, alerts
 
 
-@query("r1_dedup", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+@query("r1_dedup", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    """The first event of each key, as a batch: each event once in a table that holds all of them twice."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    twice = events.unionByName(events)
+    return twice.groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
 # chunk 3 ends a session; some chunks are lost on the way
@@ -35,22 +38,23 @@ def _(spark, sf_dir):
     """The same as a stream, file by file: a session comes out once, when its last gap is filled."""
     chunks = _chunks(spark, sf_dir).withColumn("received_at", F.timestamp_seconds(1_700_000_000 + F.col("sequence")))
     source = streamed(chunks, scratch(spark, "chunks"), "sequence")
-    return drained(finalised(source), scratch(spark, "final"), ["session"])
+    return appended(finalised(source), scratch(spark, "final"))
 
 
-@query("r1_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("r1_stream_dedup", "SELECT user_id, event_type, 1 AS times FROM events GROUP BY user_id, event_type")
 def _(spark, sf_dir):
-    """Events by file as a stream, repeats of a key dropped within the horizon; the sink drops what later days repeat."""
+    """Events day by day as a stream, repeats of a key dropped within the horizon across days; a plain sink takes what comes out, so each key counts once."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    source = streamed(events, scratch(spark, "events"))
-    return drained(deduplicated(source, "ts", ["user_id", "event_type"], "60 days"), scratch(spark, "deduped"), ["user_id", "event_type"]).select("user_id", "event_type")
+    source = streamed(events.withColumn("day", F.date_format("ts", "MMdd").cast("int") % 7), scratch(spark, "events"), "day").drop("day")
+    out = appended(deduplicated(source, "ts", ["user_id", "event_type"], "60 days"), scratch(spark, "deduped"))
+    return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("int").alias("times"))
 
 
 @query("r4_recovered_ingest", "SELECT conv_id, turn, length(text) AS n_chars FROM conversations")
 def _(spark, sf_dir):
-    """A stream into a table, and the whole stream again after a crash that lost its offsets: no chunk is there twice."""
+    """A stream of several batches into a table, and the whole stream again after a crash that lost its offsets: no chunk is there twice."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("n_chars"))
-    source, sink = streamed(rows, scratch(spark, "turns")), scratch(spark, "utterances")
+    source, sink = streamed(rows, scratch(spark, "turns"), "turn"), scratch(spark, "utterances")
     drained(source, sink, ["conv_id", "turn"])
     return drained(source, sink, ["conv_id", "turn"])
 
@@ -71,9 +75,10 @@ def _(spark, sf_dir):
 
 @query("r7_alert_stream", _ALERTS)
 def _(spark, sf_dir):
-    """The alerts as a stream with state by session."""
+    """The alerts as a stream of several batches, with state by session carried from one to the next; what comes out is what is counted."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("event"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "value")
-    found = drained(alert_stream(streamed(rows, scratch(spark, "values")), 25.0), scratch(spark, "alerts"), ["session", "event"])
+    day = rows.withColumn("day", F.floor((F.col("at") - 1704067200) / (86400 * 5)).cast("int"))  # of the tables' month; files come in order of days
+    found = appended(alert_stream(streamed(day, scratch(spark, "values"), "day").drop("day"), 25.0, idle="60 days"), scratch(spark, "alerts"))
     return found.withColumns({c: F.round(c, 6) for c in ("at", "score")})
 
 

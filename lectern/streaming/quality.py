@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessorHandle
+
+from lectern.streaming.ingest import Idle, with_state_store
 
 WINDOW, LEAST, COOLDOWN_S = 5, 3, 30.0
 ALERT = "session long, event long, at double, score double"
-_STATE = "recent array<double>, seen long, fired double"
 
 
 def fold(rows: list[tuple[int, float, float]], recent: list[float], seen: int, fired: float | None, threshold: float, cooldown: float) -> tuple[list[tuple[int, float, float]], list[float], int, float | None]:
@@ -61,27 +62,42 @@ def alerts(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S) -> D
     return low.repartition("session").sortWithinPartitions("session", *order).mapInPandas(cooled, ALERT)
 
 
-def alert_stream(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S, idle: str = "24 hours") -> DataFrame:
-    """Streaming form: the state of a session is its last values, their count, and its last alert.
+class Alerter(Idle):
+    """The last values of a session in a list; how many there were, and when it last fired, in a value."""
 
-    ``at`` is event time: rows later than ``idle`` are dropped, and a session's state ends ``idle`` after its last row.
-    """
-    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    def __init__(self, threshold: float, cooldown: float, wait_ms: int):
+        super().__init__(wait_ms)
+        self.threshold, self.cooldown = threshold, cooldown
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent, seen, fired = state.get if state.exists else ([], 0, None)
-        pdf = pd.concat(list(parts)).sort_values(["at", "event"])
-        pdf = pdf[pdf["at"] * 1000 > state.getCurrentWatermarkMs()]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.recent = handle.getListState("recent", "value double")
+        self.past = handle.getValueState("past", "seen long, fired double")
+
+    def clear(self) -> None:
+        self.recent.clear()
+        self.past.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values(["at", "event"])
+        pdf = pdf[pdf["at"] * 1000 > timerValues.getCurrentWatermarkInMs()]
         if pdf.empty:  # all of them too late
             return
-        fired = None if fired is None or fired != fired else fired
-        out, recent, seen, fired = fold(list(zip(pdf.event, pdf["at"], pdf.value, strict=True)), list(recent), seen, fired, threshold, cooldown)
-        state.update((recent, seen, fired))
-        state.setTimeoutTimestamp(int(pdf["at"].max() * 1000) + wait_ms)
+        seen, fired = self.past.get() if self.past.exists() else (0, None)
+        recent = [v[0] for v in self.recent.get()] if self.recent.exists() else []
+        out, recent, seen, fired = fold(list(zip(pdf.event, pdf["at"], pdf.value, strict=True)), recent, seen, fired, self.threshold, self.cooldown)
+        self.recent.put([(float(v),) for v in recent])
+        self.past.update((int(seen), None if fired is None else float(fired)))
+        self.touched(int(pdf["at"].max() * 1000))
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["session", "event", "at", "score"])
 
+
+def alert_stream(rows: DataFrame, threshold: float, cooldown: float = COOLDOWN_S, idle: str = "24 hours") -> DataFrame:
+    """Streaming form: the state of a session is its last values, their count, and its last alert.
+
+    ``at`` is event time: rows later than ``idle`` are dropped, and a timer ends a session's state ``idle`` after its last row.
+    """
+    with_state_store(rows.sparkSession)
+    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     timed = rows.withColumn("event_time", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("event_time", idle)
-    return timed.groupBy("session").applyInPandasWithState(run, ALERT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("session").transformWithStateInPandas(Alerter(threshold, cooldown, wait_ms), ALERT, "append", "eventTime")

@@ -442,6 +442,63 @@ def test_sessions_are_final_once_and_only_without_gaps(spark, tmp_path):
     assert sorted(r["session"] for r in batch.collect()) == [1, 3, 4, 5]
 
 
+def test_ranges_of_numbers_merge():
+    from lectern.streaming.ingest import merged
+
+    assert merged({}, [3, 1, 2, 7]) == {1: 4, 7: 8} and merged({1: 4, 7: 8}, [0, 5, 5, 6]) == {0: 4, 5: 8} and merged({0: 4, 5: 8}, [4]) == {0: 8}
+
+
+def test_a_long_session_keeps_a_small_state_and_goes_on_after_a_restart(spark, tmp_path):
+    from lectern.streaming.ingest import appended, finalised
+
+    rng = np.random.default_rng(1)
+    offsets, sink, source = str(tmp_path / "offsets"), str(tmp_path / "sink"), str(tmp_path / "in")
+    chunk = lambda numbers, hour: spark.createDataFrame([(9, int(i), bool(i == 499)) for i in numbers], "session long, sequence long, final boolean").withColumn("received_at", F.timestamp_seconds(F.lit(1_700_000_000 + hour * 600)))
+    stream = lambda: finalised(spark.readStream.schema("session long, sequence long, final boolean, received_at timestamp").option("maxFilesPerTrigger", 1).parquet(source))
+    ranges = lambda: spark.read.format("statestore").option("stateVarName", "ranges").load(offsets).count()
+    for k in range(3):  # out of order and repeated inside a batch; number 250 is missing
+        own = [i for i in rng.permutation(np.arange(k * 100, k * 100 + 130)) if i != 250]
+        chunk(own + own[:5], k).coalesce(1).write.mode("append").parquet(source)
+        assert appended(stream(), sink, offsets).count() == 0
+        assert ranges() <= 2  # 330 numbers by then
+    chunk(range(300, 500), 4).coalesce(1).write.mode("append").parquet(source)
+    assert appended(stream(), sink, offsets).count() == 0 and ranges() == 2
+    chunk([250, 251], 5).coalesce(1).write.mode("append").parquet(source)
+    assert list(map(tuple, appended(stream(), sink, offsets).collect())) == [(9, 500)] and ranges() == 0
+    chunk([0, 499], 6).coalesce(1).write.mode("append").parquet(source)
+    assert appended(stream(), sink, offsets).count() == 1  # once, also after its end
+
+
+def test_alerts_carry_their_state_over_batches_and_drop_late_rows(spark, tmp_path):
+    from lectern.streaming.ingest import appended
+    from lectern.streaming.quality import alert_stream, alerts
+
+    rows = [(s, s * 1000 + i, 1.7e9 + i * 10.0, float((i * 7 + s) % 11)) for s in (1, 2) for i in range(40)]
+    schema = "session long, event long, at double, value double"
+    for k in range(4):
+        spark.createDataFrame([r for r in rows if (r[1] % 1000) // 10 == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: alert_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 5.0, idle="1 minutes")
+    out = appended(stream(), str(tmp_path / "out"), str(tmp_path / "offsets"))
+    assert sorted(out.collect()) == sorted(alerts(spark.createDataFrame(rows, schema), 5.0).collect())
+    n = out.count()
+    spark.createDataFrame([(1, 9000 + i, 1.7e9 + i, 0.0) for i in range(9)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert appended(stream(), str(tmp_path / "out"), str(tmp_path / "offsets")).count() == n
+
+
+def test_a_sink_reads_only_touched_parts_and_knows_null_keys(spark, tmp_path):
+    from lectern.streaming.ingest import append_new
+
+    path = str(tmp_path / "sink")
+    write = append_new(path, ["session", "sequence"], F.col("session") % 4)
+    rows = spark.createDataFrame([(1, 1), (1, None), (None, 2), (None, None), (2, 7)], "session long, sequence long")
+    for epoch in (0, 1):
+        write(rows, epoch)
+    assert spark.read.parquet(path).count() == 5
+    write(spark.createDataFrame([(6, 7), (1, None)], rows.schema), 2)
+    assert spark.read.parquet(path).count() == 6
+    assert len(list((tmp_path / "sink").glob("part_of_table=*"))) == 3
+
+
 def test_preprocessing_and_status_flips_serve_streams(spark, tmp_path):
     from lectern.streaming.ingest import first_chunk_status, preprocessed
 

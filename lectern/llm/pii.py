@@ -2,21 +2,27 @@
 
 High-recall generators (patterns) propose overlapping candidate spans; boosted trees over format and
 context features score them; a calibrated threshold selects what is added to the base spans, which
-always stay. Positions come from ``split``: the pieces between a pattern's matches and the matches
+always stay. There are no labels of personal data, so the trees learn from made examples, true ones and look-alikes
+(``pii_examples``): checks such as Luhn's are features among others. Scores are calibrated by isotonic regression on
+examples that the trees have not seen, and each kind's threshold is set there. Positions come from ``split``: the pieces between a pattern's matches and the matches
 themselves give each match's code-point offsets, by sums over blocks of matches. Patterns are written
 without nested repetition, so that a match takes linear time and constant stack on texts of any length.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.pii_examples import examples
 from lectern.llm.spark import NULL_ID, materialize
 
 #: Stand-ins of one code point for a separator inside a number, and for a dot inside a host name; their own occurrences in texts become U+FFFD.
@@ -49,11 +55,11 @@ EXTRA_KINDS = tuple(CANDIDATES)
 # Ends of host names that are no English words; an address in plain words must end in one.
 ENDS = "com|org|net|edu|gov|mil|int|info|biz|dev|xyz|de|fr|uk|nl|es|pl|ch|se|dk|fi|cz|ru|jp|cn|kr|br|ca|au|nz|eu|io|ai"
 
-#: Distinct candidates that the trees are fitted on (about that many, see ``quotas``), and the share of false ones at which a kind's threshold is set.
-FIT_ROWS, FALSE_SHARE = 20_000, 0.02
-TREES, DEPTH = 8, 3
-#: Threshold of a kind whose scores leave none: its validator alone accepts.
-NEVER = 2.0
+#: Examples that are made (six in ten fit the trees, the others calibrate them), and the share of false ones at which a kind's threshold is set.
+FIT_ROWS, FALSE_SHARE = 12_000, 0.02
+TREES, DEPTH = 20, 4
+#: Steps of the calibration's grid; threshold of a kind whose scores leave none.
+GRID, NEVER = 200, 2.0
 
 # Words near a span that speak for each kind.
 CUES = {
@@ -65,7 +71,7 @@ CUES = {
     "iban": r"(?i)iban|bank|account|bic",
     "ssn": r"(?i)ssn|social|security",
 }
-FEATURES = ("digits", "letters", "length", "separators", "groups", "plus", "cue", "luhn", "octets", "before_solid", "after_solid", "distinct", *(f"is_{k}" for k in EXTRA_KINDS))
+FEATURES = ("digits", "letters", "length", "separators", "groups", "plus", "cue", "luhn", "octets", "before_solid", "after_solid", "distinct", "valid", "cue_next", "signs", "plain_name", "number_beside", *(f"is_{k}" for k in EXTRA_KINDS))
 
 
 def prepared(text: Column) -> Column:
@@ -228,8 +234,17 @@ def _features(c: DataFrame) -> DataFrame:
         "after_solid": F.col("after").rlike(r"^[A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split(match, ""))),
     }
+    next_to = functools.reduce(lambda a, k: F.when(kind == k, F.col("before").rlike(f"(?i)(?:{CUES[k].removeprefix('(?i)')})\\W{{1,4}}$")).otherwise(a), CUES, F.lit(False))
+    values |= {
+        "cue_next": next_to,
+        "number_beside": F.col("before").rlike(r"[0-9][ .\-/]?$") | F.col("after").rlike(r"^[ .\-/]?[0-9]"),
+        "signs": match.rlike(r"@|\(at\)|\[at\]"),
+        "plain_name": match.rlike(r"^[A-Za-z]+(?: |@|\(|\[)"),
+    }
     values |= {f"is_{k}": kind == k for k in EXTRA_KINDS}
-    return c.select("*", *(F.coalesce(values[name].cast("double"), F.lit(0.0)).alias(name) for name in FEATURES))
+    some = [name for name in FEATURES if name != "valid"]
+    c = c.select("*", *(F.coalesce(values[name].cast("double"), F.lit(0.0)).alias(name) for name in some))
+    return c.withColumn("valid", F.coalesce(_checks(kind).cast("double"), F.lit(0.0)))
 
 
 def _address(match: Column) -> Column:
@@ -248,8 +263,8 @@ def _number_of_phone(match: Column, n: Column) -> Column:
     return (n >= 9) & (n <= 15) & shape & ~other & ~joined
 
 
-def _strong(kind: Column) -> Column:
-    """Weak labels: a candidate is personal data if its kind's validator accepts its own match, whatever the base patterns find there."""
+def _checks(kind: Column) -> Column:
+    """Whether a candidate's own match passes its kind's checks: a feature, not a verdict."""
     match = F.col("match")
     digits = digits_of(match)
     n = F.char_length(digits)
@@ -272,11 +287,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     """(doc_id, text_key, base, spans) for each input row: arrays of (kind, start, stop), code points, stop exclusive.
 
     ``base`` holds the base spans in the order of ``BASE_KINDS``; ``spans`` adds the accepted candidates that
-    overlap no base span or better candidate. Accepted are those that their kind's validator accepts, and those that
-    the trees score like them: the trees learn from up to ``fit_rows`` candidates, by a hash, whether a validator
-    accepts one, from format and context; the threshold of a kind is the smallest score above which at most
-    ``false_share`` of all candidates of that kind fail, of those that overlap no base span. The sample is of distinct
-    candidates by a hash of text, start and kind, so it is the same under any partitioning.
+    overlap no base span or better candidate. Accepted are those whose calibrated chance reaches their kind's threshold:
+    the trees are fitted on ``fit_rows`` made examples, which are the same in every run, and the threshold of a kind is the smallest chance, of 0.5 at
+    least, above which at most ``false_share`` of its held-out examples are false.
 
     Candidates of equal chance are taken by their start. A null text is empty and has no spans; texts of any length are
     searched whole, in time near linear in them; rows that repeat or share an id are each searched; a null id stays null;
@@ -289,17 +302,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     found = materialize(found, "pii")
     some = found.where(F.size("candidates") > 0)
     some = _beside_base(some.select("uid", "text_key", F.explode("candidates").alias("c")).select("uid", "text_key", "c.*"), some.select("uid", F.explode("base").alias("s")).select("uid", "s.start", "s.stop"))
-    some = materialize(_features(some).withColumn("label", _strong(F.col("kind")).cast("double")), "pii-candidates")
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    model = _fit(_sample(some, fit_rows), vector)
-    if model is None:
-        chosen = some.where("label = 1").withColumn("chance", F.lit(1.0))
-    else:
-        scored = model.transform(vector.transform(some)).withColumn("chance", vector_to_array("probability")[1])
-        least = _thresholds(scored.where("NOT on_any"), false_share)
-        bound = functools.reduce(lambda a, k: F.when(F.col("kind") == k, least[k]).otherwise(a), least, F.lit(NEVER))
-        chosen = scored.where((F.col("label") == 1) | (F.col("chance") >= bound))
-    kept = _apart(chosen.where("NOT on_any").withColumn("rank", -F.col("chance") - F.col("label")).select("uid", "rank", "start", "stop", "kind"))
+    judged = judge(docs.sparkSession, fit_rows, false_share).judged(_features(some.where("NOT on_any")))
+    kept = _apart(judged.where("accepted").withColumn("rank", -F.col("chance")).select("uid", "rank", "start", "stop", "kind"))
     added = kept.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("added"))
     joined = found.select("doc_id", "text_key", "base", "uid").join(added, "uid", "left")
     everything = F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>")))
@@ -335,43 +339,95 @@ def _apart(chosen: DataFrame) -> DataFrame:
     return runs.select("uid", F.explode(F.when(alone, F.col("some")).otherwise(clear)).alias("s")).select("uid", "s.kind", "s.start", "s.stop")
 
 
-def quotas(counts: dict[str, int], total: int) -> dict[str, int]:
-    """How many of each kind the sample takes: equal shares of ``total``; what small kinds leave goes to the others."""
-    out, left = {}, total
-    for k, kind in enumerate(sorted(counts, key=lambda c: (counts[c], c))):
-        out[kind] = min(counts[kind], left // (len(counts) - k))
-        left -= out[kind]
-    return out
-
-
-def _sample(some: DataFrame, fit_rows: int) -> DataFrame:
-    """Distinct candidates, by a hash of what they are, about ``quotas`` of each kind; one ordered partition."""
-    key = ["text_key", "start", "kind"]
-    distinct = materialize(some.select(*key, "label", *FEATURES).dropDuplicates(key), "pii-distinct")
-    counts = {r["kind"]: r["n"] for r in distinct.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each kind
-    span = 1 << 40
-    upto = functools.reduce(lambda a, k: F.when(F.col("kind") == k[0], k[1] * span // counts[k[0]]).otherwise(a), quotas(counts, fit_rows).items(), F.lit(0).cast("long"))
-    taken = distinct.where(F.pmod(F.xxhash64(*key), F.lit(span)) < upto)
-    return materialize(taken.coalesce(1).sortWithinPartitions(*key), "pii-sample").coalesce(1)
-
-
-def _fit(sample: DataFrame, vector: VectorAssembler) -> GBTClassificationModel | None:
-    """The trees; none where the sample has one class only, as there is nothing to tell apart."""
-    if sample.select("label").distinct().count() < 2:
-        return None
-    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.5, seed=3).fit(vector.transform(sample).select("label", "features"))
-
-
-def _thresholds(judged: DataFrame, false_share: float) -> dict[str, float]:
-    """Each kind's smallest score, of 0.5 at least, above which at most ``false_share`` of its judged candidates fail."""
-    bins = judged.groupBy("kind", F.floor(F.col("chance") * 200).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("label")).alias("bad")).collect()
-    least: dict[str, float] = {}
-    n, bad = dict.fromkeys(EXTRA_KINDS, 0.0), dict.fromkeys(EXTRA_KINDS, 0.0)
-    for r in sorted(bins, key=lambda r: -r["bin"]):
-        k = r["kind"]
-        n[k], bad[k] = n[k] + r["n"], bad[k] + r["bad"]
-        if bad[k] <= false_share * n[k]:
-            least[k] = max(r["bin"] / 200, 0.5)
+@dataclass(frozen=True)
+class Judge:
+    """Fitted trees, each kind's calibrated chances over a grid of scores, and its threshold."""
+
+    trees: GBTClassificationModel | None
+    chances: dict[str, list[float]]
+    least: dict[str, float]
+
+    def scored(self, candidates: DataFrame) -> DataFrame:
+        """Candidates with features, and the calibrated ``chance`` that each is personal data."""
+        if self.trees is None:
+            return candidates.withColumn("chance", F.lit(0.0))
+        scored = self.trees.transform(_VECTOR().transform(candidates)).withColumn("score", vector_to_array("probability")[1])
+        place = F.floor(F.col("score") * GRID).cast("int")
+        of = lambda k: F.get(F.array(*(F.lit(x) for x in self.chances[k])), place)
+        chance = functools.reduce(lambda a, k: F.when(F.col("kind") == k, of(k)).otherwise(a), self.chances, F.lit(0.0))
+        return scored.withColumn("chance", chance).drop("features", "rawPrediction", "probability", "prediction")
+
+    def judged(self, candidates: DataFrame) -> DataFrame:
+        """Scored candidates with ``accepted``."""
+        bound = functools.reduce(lambda a, k: F.when(F.col("kind") == k, self.least[k]).otherwise(a), self.least, F.lit(NEVER))
+        return self.scored(candidates).withColumn("accepted", F.col("chance") >= bound)
+
+
+def _VECTOR() -> VectorAssembler:  # noqa: N802
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+
+
+def labelled_candidates(spark: SparkSession, n: int) -> DataFrame:
+    """Candidates of n made examples with features, ``label`` (1 for the planted span of a true example, whole) and ``held_out``."""
+    made = examples(spark, n, mod97).select("row", F.col("kind").alias("planted"), F.col("start").alias("from_"), F.col("stop").alias("to_"), "is_true", F.explode(_candidates(F.col("text"))).alias("c"))
+    own = F.col("is_true") & (F.col("kind") == F.col("planted")) & (F.col("start") == F.col("from_")) & (F.col("stop") == F.col("to_"))
+    return _features(made.select("*", "c.*")).select("row", "kind", own.cast("double").alias("label"), (F.pmod(F.xxhash64("row", F.lit("part")), F.lit(10)) >= 6).alias("held_out"), *FEATURES)
+
+
+_JUDGES: dict[tuple, Judge] = {}
+
+
+def judge(spark: SparkSession, n: int = FIT_ROWS, false_share: float = FALSE_SHARE) -> Judge:
+    """The judge of n made examples; as it depends on nothing else, it is fitted once in a session."""
+    key = (spark.sparkContext.applicationId, n, false_share)
+    if key not in _JUDGES:
+        _JUDGES[key] = _fitted(spark, n, false_share)
+    return _JUDGES[key]
+
+
+def _fitted(spark: SparkSession, n: int, false_share: float) -> Judge:
+    """Trees fitted on six tenths of n made examples, calibrated on the others; on one partition, so that nothing depends on the cluster."""
+    made = materialize(labelled_candidates(spark, n).coalesce(1), "pii-examples").coalesce(1).sortWithinPartitions("row", "kind")
+    fit = made.where("NOT held_out")
+    if fit.select("label").distinct().count() < 2:
+        return Judge(None, {}, {})
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3).fit(_VECTOR().transform(fit).select("label", "features"))
+    held = trees.transform(_VECTOR().transform(made.where("held_out"))).select("kind", "label", vector_to_array("probability")[1].alias("score"))
+    held = materialize(held, "pii-held-out")
+    chances = {k: _calibrated(held.where(F.col("kind") == k)) for k in EXTRA_KINDS}
+    known = Judge(trees, chances, {})
+    place = F.floor(F.col("score") * GRID).cast("int")
+    counts = held.groupBy("kind", place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("label")).alias("bad")).collect()  # a row for each kind and step
+    return Judge(trees, chances, {k: _threshold([(known.chances[k][r["place"]], r["n"], r["bad"]) for r in counts if r["kind"] == k], false_share) for k in EXTRA_KINDS})
+
+
+def _calibrated(held: DataFrame) -> list[float]:
+    """Isotonic chances at the steps of the grid, between the fitted points by their distance; none where nothing was held out."""
+    if held.isEmpty():
+        return [0.0] * (GRID + 1)
+    fitted = IsotonicRegression(featuresCol="score", labelCol="label").fit(held)
+    x, y = list(fitted.boundaries), list(fitted.predictions)
+
+    def at(v: float) -> float:
+        j = bisect.bisect_right(x, v)
+        if j == 0 or j == len(x):
+            return y[0] if j == 0 else y[-1]
+        return y[j - 1] + (y[j] - y[j - 1]) * (v - x[j - 1]) / (x[j] - x[j - 1])
+
+    return [float(at((k + 0.5) / GRID)) for k in range(GRID + 1)]
+
+
+def _threshold(steps: list[tuple[float, int, float]], false_share: float) -> float:
+    """Of (chance, examples, false ones) the smallest chance, of 0.5 at least, above which at most ``false_share`` are false."""
+    least, n, bad = NEVER, 0, 0.0
+    by: dict[float, list[float]] = {}
+    for chance, many, wrong in steps:
+        own = by.setdefault(chance, [0, 0.0])
+        own[0], own[1] = own[0] + many, own[1] + wrong
+    for chance in sorted(by, reverse=True):
+        n, bad = n + by[chance][0], bad + by[chance][1]
+        if chance >= 0.5 and bad <= false_share * n:
+            least = chance
     return least
 
 

@@ -22,7 +22,8 @@ from lectern.llm.labelled import fold_of  # noqa: E402
 from lectern.llm.license_scan import Automaton, license_scan  # noqa: E402
 from lectern.llm.minhash import minhash_dedup, near_duplicates, shingles, signatures  # noqa: E402
 from lectern.llm.packing import pack, pack_lengths  # noqa: E402
-from lectern.llm.pii import find_pii, quotas, redact  # noqa: E402
+from lectern.llm import pii  # noqa: E402
+from lectern.llm.pii import find_pii, redact  # noqa: E402
 from lectern.llm.quality import fit_quality, quality_filter, score_quality  # noqa: E402
 from lectern.llm.shards import kd_tree_shards  # noqa: E402
 from lectern.llm.substring_dedup import substring_dedup  # noqa: E402
@@ -325,10 +326,39 @@ def test_pii_that_no_base_pattern_finds(spark, n):
 def test_ibans_are_checked_and_partitioning_changes_nothing(spark):
     rows = [(i, planted_pii(i)[0]) for i in range(120)] + [(900, "pay to DE89 3704 0044 0532 0130 00 now"), (901, "part AB12 CDEF 3456 GHIJ 7890 here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    runs = [{r["doc_id"]: [tuple(s) for s in r["spans"]] for r in find_pii(x, fit_rows=60).collect()} for x in (df.repartition(1), df.repartition(7, "text"))]
+    runs = [{r["doc_id"]: [tuple(s) for s in r["spans"]] for r in find_pii(x).collect()} for x in (df.repartition(1), df.repartition(7, "text"))]
     assert runs[0] == runs[1]
     assert runs[0][900] == [("iban", 7, 34)] and runs[0][901] == []
-    assert quotas({"phone": 900, "ssn": 5, "card": 300}, 305) == {"ssn": 5, "card": 150, "phone": 150}
+
+
+def test_the_trees_decide_what_is_added(spark, monkeypatch):
+    texts = ["look at acme dot com now", "meet me at bob dot com", "jo7 at host7 dot com is mine", "ssn 219-09-9998 here", "a@b.org and 4111 1111 1111 1111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = lambda: {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in find_pii(df).collect()}
+    found = spans()
+    assert found[0] == found[1] == [] and found[2] == [("email", 0, 20)] and found[3] == [("ssn", 4, 15)] and len(found[4]) == 2
+    judge = pii.judge(spark)
+    monkeypatch.setattr(pii, "judge", lambda *_: pii.Judge(None, {}, {}))
+    assert spans() == {0: [], 1: [], 2: [], 3: [], 4: found[4]}  # without trees nothing is added to the base spans
+    monkeypatch.setattr(pii, "judge", lambda *_: pii.Judge(judge.trees, judge.chances, dict.fromkeys(judge.least, 0.0)))
+    assert spans()[0] and spans()[1]  # without thresholds look-alikes come through
+
+
+def test_added_spans_are_those_above_the_threshold_and_recall_is_high(spark):
+    judge = pii.judge(spark)
+    fresh = pii.labelled_candidates(spark, 17_000).where(f"row >= {pii.FIT_ROWS}")  # examples that neither trees nor thresholds have seen
+    rows = judge.judged(fresh).select("kind", "label", "chance", "accepted").collect()
+    for kind in pii.EXTRA_KINDS:
+        own = [r for r in rows if r["kind"] == kind]
+        assert all(r["accepted"] == (r["chance"] >= judge.least[kind]) for r in own)
+        true, taken = [r for r in own if r["label"] == 1], [r for r in own if r["accepted"]]
+        assert sum(r["accepted"] for r in true) >= 0.9 * len(true) and len(true) > 50, kind
+        assert sum(r["label"] for r in taken) >= 0.95 * len(taken), kind
+
+
+def test_thresholds_leave_few_false_ones():
+    steps = [(0.9, 50, 0.0), (0.8, 50, 1.0), (0.7, 10, 4.0), (0.3, 900, 0.0)]
+    assert pii._threshold(steps, 0.02) == 0.8 and pii._threshold([(0.4, 9, 0.0)], 0.02) == pii.NEVER
 
 
 # ---- 8: licences

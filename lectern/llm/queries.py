@@ -97,7 +97,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judge = fit_toxicity(docs, _table(spark, sf_dir, "labels"), folds=4, held_out=2)
     scored, score = score_toxicity(docs, judge)
-    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.3).cast("int").alias("predicted"), "chance")
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

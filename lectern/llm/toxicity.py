@@ -195,16 +195,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
 
 
 def score_toxicity(docs: DataFrame, judge: Judge, text_col: str = "text") -> tuple[DataFrame, str]:
-    """All columns of ``docs`` and a score from 0 to 1, and the score's name.
+    """All columns of ``docs``, a score from 0 to 1 and ``chance``, and the score's name.
 
+    The score is the isotonic value; ``chance`` is the trees' own probability, which also orders rows that share a step.
     Null and empty texts are scored by their (empty) features, texts of any length whole. Rows that repeat get
     the same score, so ties stay ties. An empty table gives an empty result. Extra columns pass through; the
     names of added columns avoid theirs.
     """
-    out = free_name(docs, "score")
+    out, own = free_name(docs, "score"), free_name(docs, "chance")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if judge.trees is None:
-        return docs.select(*columns, F.lit(float(judge.constant)).alias(out)), out
+        constant = F.lit(float(judge.constant))
+        return docs.select(*columns, constant.alias(out), constant.alias(own)), out
     row = free_name(docs, "feature_row")
     sent = docs.sparkSession.sparkContext.broadcast(judge.lexicon)  # at most ENTRIES
 
@@ -220,6 +222,5 @@ def score_toxicity(docs: DataFrame, judge: Judge, text_col: str = "text") -> tup
     chance = free_name(seen, "chance")
     steps = judge.steps.copy().setFeaturesCol(chance).setPredictionCol(calibrated)
     seen = steps.transform(seen.withColumn(chance, vector_to_array(odds)[1]))
-    # ties of the calibration's steps are ordered by the trees
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.98 * F.col(calibrated) + 0.02 * F.col(chance)))
-    return seen.select(*columns, score.alias(out)), out
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(calibrated)))
+    return seen.select(*columns, score.alias(out), F.col(chance).alias(own)), out

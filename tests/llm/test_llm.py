@@ -232,7 +232,7 @@ def test_toxicity_on_held_out_rows(classed, odd_docs, no_docs):
     scored, name = score_toxicity(docs, judge)
     assert held_out_accuracy(scored, name, labels, "toxic", 4, 2) > 0.95
     odd, name = score_toxicity(odd_docs, judge)
-    assert odd.columns == [*odd_docs.columns, name] and odd.where(f"{name} BETWEEN 0 AND 1").count() == len(texts())
+    assert odd.columns[:-1] == [*odd_docs.columns, name] and odd.columns[-1].startswith("chance") and odd.where(f"{name} BETWEEN 0 AND 1").count() == len(texts())
     assert score_toxicity(no_docs, judge)[0].count() == 0
     assert score_toxicity(docs, fit_toxicity(docs, labels.where("toxic = 0")))[0].where("score < 0.3").count() == 400
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.relational import merge
+from lectern.sources.versions import Versions
 
 
 class NotFound(LookupError):
@@ -28,13 +29,21 @@ def require_owned(rows: DataFrame, key: str, value, owner_col: str, owner) -> Da
     return own
 
 
+def start_verdicts(requests: DataFrame, sessions: DataFrame, key: str, wanted: str = "transcribed") -> DataFrame:
+    """Durability gate for many requests (key): (key, verdict), "ok" where the session has the wanted status, else why not."""
+    joined = requests.select(key).join(sessions.select(key, "status", F.lit(True).alias("known")), key, "left")
+    verdict = F.when(F.col("known").isNull(), "not found").when(F.col("status").eqNullSafe(F.lit(wanted)), "ok").otherwise(F.concat(F.lit("has status "), F.coalesce("status", F.lit("none"))))
+    return joined.select(key, verdict.alias("verdict"))
+
+
 def require_status(sessions: DataFrame, key: str, value, wanted: str = "transcribed") -> DataFrame:
     """Durability gate: the session's row if it has the wanted status; else an error, before anything downstream starts."""
-    found = sessions.where(F.col(key) == F.lit(value)).limit(1).collect()
-    if not found:
+    asked = sessions.sparkSession.range(1).select(F.lit(value).alias(key))
+    verdict = start_verdicts(asked, sessions, key, wanted).first()["verdict"]
+    if verdict == "not found":
         raise NotFound(f"{key} {value} not found")
-    if found[0]["status"] != wanted:
-        raise ValueError(f"{key} {value} has status {found[0]['status']}, expected {wanted}")
+    if verdict != "ok":
+        raise ValueError(f"{key} {value} {verdict}, expected {wanted}")
     return sessions.where(F.col(key) == F.lit(value))
 
 
@@ -87,21 +96,51 @@ def persist_sections(sections: DataFrame, provenance: DataFrame, known: DataFram
 
 
 class AppendOnly:
-    """A table that only grows: appends add rows, updates and deletes do nothing."""
+    """A table that only grows, in versions: appends add rows; a rewrite that would change or lose one is undone before anybody sees it.
+
+    ``rewrite`` takes the whole table as it should be. It is staged and compared with the current version: rows of that version,
+    by ``key`` and contents, must all be there. If one is not, nothing is published and 0 comes back, as an update or delete of such a table does nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.versions = Versions(spark, path)
+
+    def append(self, rows: DataFrame) -> int:
+        return self.versions.commit({"log": rows}, append=True)
 
-    def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+    def rewrite(self, rows: DataFrame) -> int:
+        def keeps_all(staged: dict[str, DataFrame]) -> None:
+            if not self.read().exceptAll(staged["log"]).isEmpty():
+                raise Rejected("a row would change or go")
 
-    def update(self, *_: object, **__: object) -> int:
-        return 0
+        try:
+            return self.versions.commit({"log": rows}, keeps_all)
+        except Rejected:
+            return 0
 
-    delete = update
+    def update(self, column: str, value: Column) -> int:
+        return self.rewrite(self.read().withColumn(column, value))
+
+    def delete(self, where: Column) -> int:
+        return self.rewrite(self.read().where(~where))
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.versions.read("log")
+
+
+def durable_sections(store: Versions, new: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("session", "topic", "ordinal")) -> int:
+    """``persist_sections`` on a store that has ``sections`` and ``provenance``: both change in one commit, or neither."""
+    based_on = store.latest()
+    sections, provenance = persist_sections(store.read("sections", based_on), store.read("provenance", based_on), known, new, keys)
+
+    def no_orphans(staged: dict[str, DataFrame]) -> None:
+        p, t = staged["provenance"].alias("p"), staged["sections"].alias("t")
+        if not p.join(t, [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys], "left_anti").isEmpty():
+            raise Rejected("a source has no section")
+        if not staged["sections"].groupBy(*keys).count().where("count > 1").isEmpty():
+            raise Rejected("two sections have one key")
+
+    return store.commit({"sections": sections, "provenance": provenance}, no_orphans, based_on=based_on)
 
 
 def capture(rows: DataFrame, edits: DataFrame, key: str, column: str, kind: str, flag: tuple[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import functions as F
 
 from lectern.operators import governance as G
@@ -10,35 +12,39 @@ from lectern.operators import study
 from lectern.plans.registry import query
 from lectern.session import scratch
 from lectern.sources.tables import sessions, table
+from lectern.sources.versions import Versions
 
 
-@query("d2_validated_upsert", """WITH new AS (SELECT l_suppkey % 5 AS session, CAST(NULL AS VARCHAR) AS topic, l_linenumber AS ordinal, l_partkey AS source FROM lineitem WHERE l_orderkey % 50 = 0),
+@query("d2_validated_upsert", """WITH new AS (SELECT l_suppkey % 5 AS session, CAST(NULL AS VARCHAR) AS topic, l_linenumber AS ordinal, l_partkey AS source FROM lineitem),
 old AS (SELECT s_suppkey % 5 AS session, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'x' END AS topic, 1 + s_suppkey % 9 AS ordinal, min(s_suppkey) AS source FROM supplier GROUP BY 1, 2, 3), w AS (SELECT DISTINCT session, topic, ordinal FROM new),
 kept AS (SELECT session, topic, ordinal, source, 'old' AS origin FROM old WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.session = old.session AND w.topic IS NOT DISTINCT FROM old.topic AND w.ordinal = old.ordinal))
 SELECT session, coalesce(topic, '-') AS topic, ordinal, count(DISTINCT source) AS n_sources, min(origin) AS origin FROM (SELECT * FROM kept UNION ALL SELECT DISTINCT session, topic, ordinal, source, 'new' FROM new) GROUP BY 1, 2, 3""")
 def _(spark, sf_dir):
-    """Sections and their sources replaced by null-safe keys, applied twice; unknown sources would refuse the whole write."""
-    new = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 5).alias("session"), F.lit(None).cast("string").alias("topic"), F.col("l_linenumber").cast("long").alias("ordinal"), F.col("l_partkey").alias("source"))
+    """Sections and their sources replaced by null-safe keys, in one commit, applied twice; a write that cites an unknown source leaves the table as it was."""
+    new = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("session"), F.lit(None).cast("string").alias("topic"), F.col("l_linenumber").cast("long").alias("ordinal"), F.col("l_partkey").alias("source"))
     new = new.groupBy("session", "topic", "ordinal").agg(F.collect_set("source").alias("sources")).withColumn("origin", F.lit("new"))
     key = F.col("s_suppkey")
     old = table(spark, sf_dir, "supplier").select((key % 5).alias("session"), F.when(key % 2 == 0, F.lit(None)).otherwise("x").alias("topic"), (1 + key % 9).alias("ordinal"), key.alias("source"))
     old = old.groupBy("session", "topic", "ordinal").agg(F.min("source").alias("source"))
     known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"))
-    sections, provenance = old.drop("source").withColumn("origin", F.lit("old")), old
+    store = Versions(spark, scratch(spark, "notes"))
+    store.commit({"sections": old.drop("source").withColumn("origin", F.lit("old")), "provenance": old})
     for _ in range(2):
-        sections, provenance = G.persist_sections(sections, provenance, known, new)
-    p = provenance.withColumn("topic", F.coalesce("topic", F.lit("-"))).groupBy("session", "topic", "ordinal").agg(F.countDistinct("source").alias("n_sources"))
-    return sections.withColumn("topic", F.coalesce("topic", F.lit("-"))).join(p, ["session", "topic", "ordinal"])
+        G.durable_sections(store, new, known)
+    with suppress(G.Rejected):
+        G.durable_sections(store, new.withColumns({"sources": F.array(F.lit(-1).cast("long")), "origin": F.lit("bad")}), known)
+    p = store.read("provenance").withColumn("topic", F.coalesce("topic", F.lit("-"))).groupBy("session", "topic", "ordinal").agg(F.countDistinct("source").alias("n_sources"))
+    return store.read("sections").withColumn("topic", F.coalesce("topic", F.lit("-"))).join(p, ["session", "topic", "ordinal"])
 
 
 @query("d5_append_only", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, sf_dir):
-    """A log that only grows: two appends add their rows, an update and a delete between them change nothing."""
+    """A log that only grows: rewrites between two appends that would change its rows, or lose some, change nothing."""
     log = G.AppendOnly(spark, scratch(spark, "log"))
     rows = table(spark, sf_dir, "events").select("event_id", "event_type")
     log.append(rows.where("event_id % 2 = 0"))
-    log.update("event_type", "gone")
-    log.delete("event_id % 2 = 0")
+    log.update("event_type", F.lit("gone"))
+    log.delete(F.col("event_id") % 4 == 0)
     log.append(rows.where("event_id % 2 = 1"))
     return log.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -90,10 +96,12 @@ def _(spark, sf_dir):
 
 @query("d11_write_guard", "SELECT item_id FROM benchmark")
 def _(spark, sf_dir):
-    """A guarded table, written by the one path that may."""
-    path = scratch(spark, "guarded")
+    """A guarded table, written by the one path that may; what another path tries to add is not in it."""
+    path, rows = scratch(spark, "guarded"), table(spark, sf_dir, "benchmark").select("item_id")
     with G.write_authority():
-        G.guarded_write(table(spark, sf_dir, "benchmark").select("item_id"), path)
+        G.guarded_write(rows, path)
+    with suppress(PermissionError):
+        G.guarded_write(rows.select((-F.col("item_id") - 1).alias("item_id")), path)
     return spark.read.parquet(path)
 
 

@@ -10,6 +10,7 @@ from lectern.functions import memory, scalar, syllabus, text
 from lectern.operators import cluster, governance, metrics, relational, search, sequence, study
 from lectern.operators.textindex import build_text_index
 from lectern.session import scratch
+from lectern.sources.versions import Conflict, Versions
 
 RNG = np.random.default_rng(11)
 
@@ -281,7 +282,48 @@ def test_only_the_writer_writes_and_logs_only_grow(spark, tmp_path):
         governance.guarded_write(spark.range(3), str(tmp_path / "g"))
     log = governance.AppendOnly(spark, str(tmp_path / "log"))
     log.append(spark.range(3))
-    assert log.update("id", 1) == log.delete("id") == 0 and log.read().count() == 3
+    assert log.update("id", F.lit(1)) == log.delete(F.col("id") == 1) == 0 and log.append(spark.range(3, 5)) == 2
+    assert sorted(r["id"] for r in log.read().collect()) == [0, 1, 2, 3, 4]
+    assert log.rewrite(log.read().unionByName(spark.range(9, 10))) == 3  # nothing is lost or changed
+
+
+def test_a_commit_is_all_or_nothing_wherever_it_is_killed(spark, tmp_path, monkeypatch):
+    store = Versions(spark, str(tmp_path / "s"))
+    pair = lambda n: {"a": spark.range(n), "b": spark.range(n, 2 * n)}
+    state = lambda: (store.latest(), *(sorted(r["id"] for r in store.read(t).collect()) for t in "ab"))
+    assert store.latest() == 0 and store.commit(pair(2)) == 1
+    old = state()
+    pinned = store.tables(1)
+
+    def killed(*_, **__):
+        raise KeyboardInterrupt
+
+    for step in ("stage", "publish"):
+        with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+            m.setattr(Versions, step, killed)
+            store.commit(pair(3))
+        assert state() == old
+    with pytest.raises(KeyboardInterrupt):
+        store.commit(pair(3), killed)  # in a check, after staging
+    fs, path = store._fs()
+    fs.create(path(str(tmp_path / "s" / "versions" / "_draft")), False).close()  # as left by a kill just before the rename
+    assert state() == old
+    assert store.commit({"b": spark.range(1)}) == 2 and state() == (2, [0, 1], [0])
+    with pytest.raises(Conflict):
+        store.publish(store.stage(pair(4)), based_on=1)
+    assert store.tables(1) == pinned and [sorted(r["id"] for r in store.read(t, 1).collect()) for t in "ab"] == [list(x) for x in old[1:]]
+
+
+def test_sections_and_sources_change_in_one_commit_or_not_at_all(spark, tmp_path):
+    store = Versions(spark, str(tmp_path / "n"))
+    store.commit({"sections": spark.createDataFrame([(1, None, 0, "old")], "session long, topic string, ordinal long, body string"), "provenance": spark.createDataFrame([(1, None, 0, 5)], "session long, topic string, ordinal long, source long")})
+    known = spark.createDataFrame([(5,), (6,)], "source long")
+    new = lambda *rows: spark.createDataFrame(list(rows), "session long, topic string, ordinal long, body string, sources array<long>")
+    assert governance.durable_sections(store, new((1, None, 0, "new", [6])), known) == 2
+    for bad in (new((1, None, 2, "bad", [99])), new((1, "t", 3, "x", [5]), (1, "t", 3, "y", [6]))):
+        with pytest.raises(governance.Rejected):
+            governance.durable_sections(store, bad, known)
+    assert store.latest() == 2 and [r["body"] for r in store.read("sections").collect()] == ["new"] and [r["source"] for r in store.read("provenance").collect()] == [6]
 
 
 def test_forgetting_a_user_cascades_and_keeps_corrections(spark):

@@ -10,8 +10,10 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.longscan import positioned
 from lectern.operators.search import BLOCK, Side, best_topic, compared
 from lectern.operators.sequence import mean_pool
+from lectern.session import scratch
 
 #: Segments of one session that are clustered together, at most: a task holds the square of their number.
 SESSION_MOST = 4096
@@ -148,52 +150,47 @@ def provisional_topics(rows: DataFrame, window_ms: int = 600_000, least: int = 5
     return found.groupBy("session", "topic").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"))
 
 
-def seeded_kmeans(rows: DataFrame, seeds: DataFrame | None = None, rounds: int = 20, least: int = 3, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """k-means by Lloyd's rounds from seeds: (id, cluster) of all rows, and (cluster, n, centroid) of the centers.
+def _nearest_center(data: DataFrame, centers: DataFrame, block: int) -> DataFrame:
+    """(id, cluster): each row's nearest center by Euclidean distance, rounded to nine digits; ties take the smaller cluster."""
+    wide = lambda df, key: df.select(F.col(key).alias("id"), F.concat("embedding", F.array(F.lit(1.0))).alias("embedding"))  # noqa: E731  no vector is without a length then
 
-    ``seeds`` has (id, embedding), its smallest ids come first; without seeds a third of the rows' number are drawn by a
-    hash of their id, ``block`` at most. Fewer than ``least`` rows make no clusters. Only centers, ``block`` at most,
-    reach the driver; tasks send sums by cluster. A cluster that loses all rows is left out; ties take the smaller one.
+    def near(a: Side, b: Side) -> dict[str, np.ndarray]:
+        order = np.argsort(b.ids, kind="stable")
+        x, c = a.units * a.lengths[:, None], (b.units * b.lengths[:, None])[order]
+        d = ((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None]).round(9)
+        at = d.argmin(axis=1) if len(a.ids) else np.zeros(0, np.int64)
+        return {"id": a.ids, "cluster": b.ids[order][at], "distance": d[np.arange(len(at)), at]}
+
+    found = compared(wide(data, "id"), wide(centers, "cluster"), near, "id long, cluster long, distance double", block=block)
+    return found.groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("best")).select("id", "best.cluster")
+
+
+def seeded_kmeans(rows: DataFrame, seeds: DataFrame | None = None, rounds: int = 300, least: int = 3, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """k-means by Lloyd's rounds from seeds, until no center moves: (id, cluster) of all rows, and (cluster, n, centroid) of the centers.
+
+    ``seeds`` has (id, embedding); clusters are numbered by their seeds' order. Without seeds a third of the rows' number are drawn by a
+    hash of their id. Fewer than ``least`` rows make no clusters. Rows meet centers in tiles and blocks, centers are means by cluster, both
+    written once a round: any number of centers will do, and none reaches the driver. A cluster that loses all rows is left out; ties
+    take the smaller one.
     """
     spark: SparkSession = rows.sparkSession
-    data = rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kept = lambda df, name: (df.write.parquet(path := scratch(spark, name)), spark.read.schema(df.schema).parquet(path))[1]
+    data = kept(rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL"), "points")
     n = data.count()
     if seeds is None:
-        seeds = data.orderBy(F.xxhash64("id"), "id").limit(max(1, min(n // 3, block)))
-    start = seeds.orderBy("id").limit(min(block, n) if n >= least else 0).select(F.col("embedding").cast("array<double>").alias("embedding")).collect()
-    centers = {k: np.array(r["embedding"], dtype=float) for k, r in enumerate(start)}
-
-    def sums(batches: Iterator[pd.DataFrame], assign: bool) -> Iterator[pd.DataFrame]:
-        ids = np.array(list(sent.value))
-        c = np.stack(list(sent.value.values()))
-        for pdf in batches:
-            x = np.stack(pdf["embedding"].to_numpy())
-            own = ids[((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None]).round(9).argmin(axis=1)]
-            if assign:
-                yield pd.DataFrame({"id": pdf["id"], "cluster": own})
-            else:
-                some = np.unique(own)
-                yield pd.DataFrame({"cluster": some, "n": [int((own == k).sum()) for k in some], "total": [x[own == k].sum(axis=0).tolist() for k in some]})
-
-    many: dict[int, int] = {}
-    for _ in range(rounds if centers else 0):
-        sent = spark.sparkContext.broadcast(centers)  # at most `block` centers
-        parts = data.mapInPandas(lambda it: sums(it, False), "cluster long, n long, total array<double>")
-        flat = parts.select("cluster", "n", F.posexplode("total").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-        found: dict[int, np.ndarray] = {k: np.zeros(len(v)) for k, v in centers.items()}
-        many = {}
-        for r in flat.collect():  # a row for each component of each center
-            found[r["cluster"]][r["i"]] = r["x"] / r["n"]
-            many[r["cluster"]] = r["n"]
-        before, centers = centers, {k: found[k] for k in sorted(many)}
-        sent.unpersist()
-        if before.keys() == centers.keys() and all(np.allclose(before[k], centers[k], rtol=0, atol=1e-12) for k in centers):
+        seeds = data.orderBy(F.xxhash64("id"), "id").limit(max(1, n // 3))
+    start = positioned(seeds.select(F.lit(0).alias("one"), F.col("id").alias("seed"), F.col("embedding").cast("array<double>").alias("embedding")), "one", "seed")
+    centers = kept(start.where(F.lit(n >= least)).select(F.col("position").alias("cluster"), F.lit(0).cast("long").alias("n"), "embedding"), "centers")
+    for _ in range(rounds):
+        assigned = _nearest_center(data, centers, block)
+        moved = kept(mean_pool(data.join(assigned, "id"), "cluster").withColumnRenamed("centroid", "embedding"), "centers")
+        gap = F.aggregate(F.zip_with(moved["embedding"], F.col("before"), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: F.greatest(s, x))
+        both = moved.join(centers.select("cluster", F.col("embedding").alias("before")), "cluster", "full")
+        still = both.agg(F.max(F.coalesce(gap, F.lit(1.0))).alias("gap")).first()["gap"]
+        centers = moved
+        if still is None or still <= 1e-12:
             break
-    table = spark.createDataFrame([(int(k), int(many[k]), v.tolist()) for k, v in centers.items()], "cluster long, n long, centroid array<double>")
-    if not centers:
-        return data.where("false").select("id", F.lit(0).cast("long").alias("cluster")), table
-    sent = spark.sparkContext.broadcast(centers)
-    return data.mapInPandas(lambda it: sums(it, True), "id long, cluster long"), table
+    return _nearest_center(data, centers, block), centers.withColumnRenamed("embedding", "centroid")
 
 
 def replaced_seeds(seeds: DataFrame, centers: DataFrame, least: float = 0.70, block: int = BLOCK) -> DataFrame:

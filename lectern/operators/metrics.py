@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.vector import unit
+from lectern.functions.vector import dot, unit
 from lectern.operators.search import BLOCK, Side, compared
-from lectern.operators.sequence import fixed_boundaries, mean_pool, random_boundaries
+from lectern.operators.sequence import fixed_boundaries, mean_pool, pooled, random_boundaries
 
 
 #: Labels of the smaller side that an assignment is solved for, at most.
@@ -130,18 +131,24 @@ def edit_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
-def error_rates(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """All columns, and ``word_edits``, ``n_words``, ``char_edits``, ``n_chars`` of each pair of texts.
+def word_edits(a: Column, b: Column) -> Column:
+    """Edits of words from one text to another: each distinct word of the pair becomes a character of its own, and the built-in distance counts those."""
+    split = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    words = F.struct(split(a).alias("a"), split(b).alias("b"))
 
-    Word edits run as a vectorised pandas UDF, character edits by the built-in Levenshtein distance.
-    """
+    def spelled(own: Column, known: Column) -> Column:
+        codes = F.transform(own, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0"))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+    known = F.transform(F.array(words), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("known")))
+    return F.element_at(F.transform(known, lambda p: F.levenshtein(spelled(p["a"], p["known"]), spelled(p["b"], p["known"])).cast("long")), 1)
 
-    @F.pandas_udf("long")
-    def words(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="int64")
 
+def error_rates(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """All columns, and ``word_edits``, ``n_words``, ``char_edits``, ``n_chars`` of each pair of texts, by the built-in Levenshtein distance; null texts are empty."""
     a, b = F.coalesce(reference, F.lit("")), F.coalesce(hypothesis, F.lit(""))
-    return rows.withColumns({"word_edits": words(a, b), "n_words": F.size(F.filter(F.split(a, r"\s+"), lambda w: w != "")).cast("long"), "char_edits": F.levenshtein(a, b).cast("long"), "n_chars": F.char_length(a).cast("long")})
+    n_words = F.size(F.filter(F.split(a, r"\s+"), lambda w: w != "")).cast("long")
+    return rows.withColumns({"word_edits": word_edits(a, b), "n_words": n_words, "char_edits": F.levenshtein(a, b).cast("long"), "n_chars": F.char_length(a).cast("long")})
 
 
 def rate(edits: Column, length: Column) -> Column:
@@ -207,25 +214,28 @@ def diversity(rows: DataFrame, key: str) -> DataFrame:
 
     The sum of all products is the squared length of the sum of unit vectors, so no pair is formed.
     """
-    units = rows.select(key, F.posexplode(unit(F.col("embedding"))).alias("i", "x"))
-    sums = units.groupBy(key, "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    n = F.max("n")
-    mean = (F.sum(F.col("x") * F.col("x")) - n) / (n * (n - 1))
+    sums = pooled(rows.withColumn("embedding", unit(F.col("embedding").cast("array<double>"))), Summarizer.sum, "total", key)
+    n = F.col("n")
+    mean = (dot(F.col("total"), F.col("total")) - n) / F.when(n > 1, n * (n - 1))
     value = F.when(n > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean))).otherwise(F.lit(0.0))
-    return sums.groupBy(key).agg(n.alias("n"), value.alias("diversity"))
+    return sums.select(key, "n", value.alias("diversity"))
 
 
-def snr_db(samples: np.ndarray, share: float = 0.05, offset: float = 15.0) -> float:
-    """Signal to noise from the spectrum: mean power of its strongest bins over the median of the rest, less a fixed bias; 0 for fewer than 8 samples or silence."""
-    if len(samples) < 8:
-        return 0.0
-    power = np.sort(np.abs(np.fft.rfft(samples)) ** 2)[::-1]
-    if power.sum() <= 0:
-        return 0.0
-    n = max(1, int(len(power) * share))
-    signal = power[:n].mean()
-    noise = np.median(power[n:]) if len(power) > n else signal
-    return float(10 * np.log10(max(signal, 1e-12) / max(noise, 1e-12)) - offset)
+# The share of the spectrum that counts as signal, and the bias of such estimates in decibels.
+SHARE, OFFSET = 0.05, 15.0
+
+
+def snr_db(samples: np.ndarray, share: float = SHARE, offset: float = OFFSET) -> np.ndarray:
+    """Signal to noise from the spectra along the last axis: mean power of the strongest bins over the median of the rest, less a fixed bias; 0 for fewer than 8 samples or silence."""
+    samples = np.asarray(samples, dtype=float)
+    if samples.shape[-1] < 8:
+        return np.zeros(samples.shape[:-1])
+    power = np.sort(np.abs(np.fft.rfft(samples, axis=-1)) ** 2, axis=-1)[..., ::-1]
+    n = max(1, int(power.shape[-1] * share))
+    signal = power[..., :n].mean(axis=-1)
+    noise = np.median(power[..., n:], axis=-1) if power.shape[-1] > n else signal
+    ratio = 10 * np.log10(np.maximum(signal, 1e-12) / np.maximum(noise, 1e-12)) - offset
+    return np.where(power.sum(axis=-1) > 0, ratio, 0.0)
 
 
 def by_condition(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ long for a task: they cut it into blocks of places, with halo rows at the edges.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,13 +112,18 @@ def members(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def mean_pool(rows: DataFrame, *keys: str) -> DataFrame:
-    """Element-wise mean of the embeddings of each group: (keys, n, centroid).
+    """Element-wise mean of the embeddings of each group: (keys, n, centroid), one vector of sums for each group and task.
 
-    Components are averaged as rows, with map-side partial sums, so no group is held in one place.
+    Null vectors are left out; those of a group have one width.
     """
-    parts = rows.select(*keys, F.posexplode("embedding").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    packed = parts.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("parts"))
-    return packed.select(*keys, "n", F.transform("parts", lambda p: p["x"]).alias("centroid"))
+    return pooled(rows, Summarizer.mean, "centroid", *keys)
+
+
+def pooled(rows: DataFrame, statistic: Callable[[Column], Column], name: str, *keys: str) -> DataFrame:
+    """(keys, n, ``name``): a statistic of the vectors of each group, kept as one running vector for each group and task."""
+    vectors = rows.where(F.col("embedding").isNotNull()).select(*keys, array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
+    found = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), statistic(F.col("vector")).alias("pooled"))
+    return found.select(*keys, "n", vector_to_array("pooled").alias(name))
 
 
 def cue_matches(rows: DataFrame, cues: dict[str, tuple[str, float]]) -> DataFrame:

@@ -21,12 +21,12 @@ def _(spark, sf_dir):
 
 
 _KW = " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in text.SYLLABUS_WORDS)
-_NOTE = "(CASE doc_id % 5 WHEN 0 THEN 'the syllabus and grading, ' WHEN 1 THEN 'a schedule; ' ELSE '' END || left(coalesce(text, ''), 300))"
+_NOTE = "(CASE doc_id % 5 WHEN 0 THEN 'the syllabus and grading, ' WHEN 1 THEN 'a schedule; ' ELSE '' END || coalesce(text, ''))"
 
 
 def _notes(spark, sf_dir):
     head = F.when(F.col("doc_id") % 5 == 0, "the syllabus and grading, ").when(F.col("doc_id") % 5 == 1, "a schedule; ").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.left(F.coalesce("text", F.lit("")), F.lit(300))).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
 
 
 _DENSITY = f"WITH x AS (SELECT doc_id, lower({_NOTE}) AS t FROM documents), d AS (SELECT doc_id, ({_KW}) / greatest(len(regexp_extract_all(t, '[a-z0-9_]+')), 1) AS d FROM x)"
@@ -45,7 +45,7 @@ def _(spark, sf_dir):
     return found.select("doc_id", "r.classification", "r.route_target", F.round("r.confidence", 6).alias("confidence"))
 
 
-_SAID = "(CASE turn % 4 WHEN 0 THEN 'First, hand it in by Friday. ' WHEN 1 THEN 'Week 3 is due on 4/12; finally ' ELSE '' END || left(text, 60))"
+_SAID = "(CASE turn % 4 WHEN 0 THEN 'First, hand it in by Friday. ' WHEN 1 THEN 'Week 3 is due on 4/12; finally ' ELSE '' END || text)"
 _STRUCT = f"""WITH u AS (SELECT conv_id, turn, {_SAID} AS t FROM conversations), j AS (SELECT conv_id AS session, string_agg(t, ' ' ORDER BY turn) AS joined, avg(CASE WHEN len(list_filter(regexp_split_to_array(trim(t), '\\s+'), lambda x: x <> '')) < 8 THEN 1.0 ELSE 0.0 END) AS short FROM u GROUP BY 1),
 s AS (SELECT session, len(regexp_extract_all(joined, '{text.LIST_MARKERS}')) * 0.15 + len(regexp_extract_all(joined, '{text.DATES}')) * 0.2 + short * 0.5 AS s FROM j)"""
 
@@ -54,7 +54,7 @@ s AS (SELECT session, len(regexp_extract_all(joined, '{text.LIST_MARKERS}')) * 0
 def _(spark, sf_dir):
     """List markers, dates and short utterances of each session."""
     head = F.when(F.col("seq") % 4 == 0, "First, hand it in by Friday. ").when(F.col("seq") % 4 == 1, "Week 3 is due on 4/12; finally ").otherwise("")
-    said = utterances(spark, sf_dir).select("session", "seq", F.concat(head, F.left("text", F.lit(60))).alias("t"))
+    said = utterances(spark, sf_dir).select("session", "seq", F.concat(head, "text").alias("t"))
     short = F.size(F.filter(F.split(F.trim("t"), r"\s+"), lambda w: w != "")) < 8
     whole = said.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"]), " ").alias("joined"), F.avg(short.cast("double")).alias("short"))
     scored = whole.select("session", text.structure_score(F.col("joined"), F.col("short")).alias("s"))
@@ -117,14 +117,14 @@ def _(spark, sf_dir):
     return drawn.withColumn("valid", text.valid_diagram(F.col("mermaid")))
 
 
-_BODY = "(CASE WHEN doc_id % 7 = 0 THEN 'Source utt_ids: [1, 2]' ELSE left(coalesce(text, ''), 100) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '```mermaid' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'graph TD' ELSE '  ' END || '```' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' $x$ $$y' ELSE '' END END)"
+_BODY = "(CASE WHEN doc_id % 7 = 0 THEN 'Source utt_ids: [1, 2]' ELSE coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '```mermaid' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'graph TD' ELSE '  ' END || '```' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' $x$ $$y' ELSE '' END END)"
 
 
 @query("f13_body_checks", f"WITH b AS (SELECT doc_id, {_BODY} AS b FROM documents) SELECT doc_id, doc_id % 7 = 0 OR doc_id % 3 <> 0 OR doc_id % 2 = 0 AS mermaid_ok, (length(replace(b, '$$', '')) - length(replace(replace(b, '$$', ''), '$', ''))) % 2 = 0 AS math_ok, doc_id % 7 <> 0 AS prose FROM b")
 def _(spark, sf_dir):
     key = F.col("doc_id")
     fence = F.when(key % 3 == 0, F.concat(F.lit("\n```mermaid\n"), F.when(key % 2 == 0, "graph TD").otherwise("  "), F.lit("```"))).otherwise("")
-    body = F.when(key % 7 == 0, "Source utt_ids: [1, 2]").otherwise(F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(100)), fence, F.when(key % 5 == 0, " $x$ $$y").otherwise("")))
+    body = F.when(key % 7 == 0, "Source utt_ids: [1, 2]").otherwise(F.concat(F.coalesce("text", F.lit("")), fence, F.when(key % 5 == 0, " $x$ $$y").otherwise("")))
     return table(spark, sf_dir, "documents").select("doc_id", text.body_checks(body).alias("c")).select("doc_id", "c.*")
 
 
@@ -135,11 +135,11 @@ def _(spark, sf_dir):
     return found.select("conv_id", "turn", "g.language", "g.phrase")
 
 
-@query("f5_cue_positions", "WITH c AS (SELECT conv_id, turn, text, length(left(text, 30)) AS n FROM conversations WHERE turn % 3 = 0) SELECT conv_id, turn, 'moving_on' AS cue, CAST(k.s + n AS INT) AS start, CAST(k.s + n + 12 AS INT) AS stop FROM c, (SELECT unnest([1, 15]) AS s) k")
+@query("f5_cue_positions", "WITH c AS (SELECT conv_id, turn, length(text) AS n FROM conversations) SELECT conv_id, turn, 'moving_on' AS cue, CAST(k.s + n AS INT) AS start, CAST(k.s + n + 12 AS INT) AS stop FROM c, (SELECT unnest([1, 15]) AS s) k")
 def _(spark, sf_dir):
     """Where cues stand in a text, in characters; the cue is put in twice, so that there are some."""
     cue = " moving on to;"
-    said = table(spark, sf_dir, "conversations").where("turn % 3 = 0").select("conv_id", "turn", F.concat(F.left("text", F.lit(30)), F.lit(cue + cue)).alias("t"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(cue + cue)).alias("t"))
     found = said.select("conv_id", "turn", F.explode(text.places(F.col("t"), "(?i)" + text.CUES["moving_on"][0])).alias("p"))
     return found.select("conv_id", "turn", F.lit("moving_on").alias("cue"), "p.start", "p.stop")
 
@@ -148,22 +148,25 @@ def _(spark, sf_dir):
 p AS (SELECT vec_id, re * re + im * im AS p, row_number() OVER (PARTITION BY vec_id ORDER BY re * re + im * im DESC) AS rank FROM f), q AS (SELECT vec_id, max(p) AS signal, median(p) FILTER (rank > 1) AS noise FROM p GROUP BY vec_id)
 SELECT s.vec_id, round(10 * log10(list_sum(list_transform(v, lambda x: x * x)) / len(v)), 4) AS rms_db, round(len(list_filter(v, lambda x: abs(x) >= 0.999)) / len(v), 6) AS clipping, round(10 * log10(greatest(signal, 1e-12) / greatest(noise, 1e-12)) - 15, 4) AS snr_db FROM s JOIN q USING (vec_id)""")
 def _(spark, sf_dir):
-    """Loudness, clipping and signal to noise of vectors taken as samples; the spectrum runs as a pandas UDF."""
+    """Loudness, clipping and signal to noise of vectors taken as samples; the spectra of a batch are one transform for each length."""
 
     @F.pandas_udf("double")
     def snr(samples: pd.Series) -> pd.Series:
-        return samples.map(lambda x: M.snr_db(np.asarray(x, dtype=float)))
+        out = pd.Series(np.nan, index=samples.index)
+        for _, own in samples.groupby(samples.map(len)):
+            out[own.index] = M.snr_db(np.stack(own.to_list()).astype(float))
+        return out
 
     v = F.col("embedding").cast("array<double>")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(scalar.rms_db(v), 4).alias("rms_db"), F.round(scalar.clipping_rate(v), 6).alias("clipping"), F.round(snr(v), 4).alias("snr_db"))
 
 
-_DEC = "d AS (SELECT user_id, event_id % 10 AS seq, value > 50 AS r, value / 100 AS c, event_id FROM events WHERE event_id % 100 < 20)"
+_DEC = "d AS (SELECT user_id, event_id % 10 AS seq, value > 50 AS r, value / 100 AS c, event_id FROM events)"
 
 
 def _payloads(spark, sf_dir):
     """Each user's decisions as the JSON text that a model would send."""
-    rows = table(spark, sf_dir, "events").where("event_id % 100 < 20")
+    rows = table(spark, sf_dir, "events")
     item = F.struct("event_id", F.struct((F.col("event_id") % 10).alias("seq"), (F.col("value") > 50).alias("is_relevant"), (F.col("value") / 100).alias("confidence")).alias("d"))
     listed = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
     return listed.select("user_id", F.to_json(F.transform("x", lambda x: x["d"])).alias("payload"), F.array_distinct(F.transform("x", lambda x: x["d"]["seq"])).alias("expected"))
@@ -252,9 +255,9 @@ UNION ALL SELECT session, seq, a, b, i + 1, list_transform(range(1, len(b) + 2),
 e AS (SELECT session, seq, len(a) AS n, line[len(b) + 1] AS edits FROM f WHERE i = len(a))"""
 
 
-def _spoken_pairs(spark, sf_dir):
+def _spoken_pairs(spark, sf_dir, ahead=1):
     plain = text.plain_text(F.col("text"))
-    rows = utterances(spark, sf_dir).withColumn("said", plain).withColumn("next", F.lead("said").over(sequence.ordered("session"))).where("next IS NOT NULL")
+    rows = utterances(spark, sf_dir).withColumn("said", plain).withColumn("next", F.lead("said", ahead).over(sequence.ordered("session"))).where("next IS NOT NULL")
     return M.error_rates(rows.select("session", "seq", "speaker", "said", "next"), "said", "next")
 
 
@@ -270,12 +273,17 @@ def _(spark, sf_dir):
     return _spoken_pairs(spark, sf_dir).groupBy("session").agg(F.sum("char_edits").alias("char_edits"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("a31_rates_by_condition", f"{_WER}, r AS (SELECT u.role AS condition, CASE WHEN n > 0 THEN edits / n WHEN edits > 0 THEN 1 ELSE 0 END AS rate, edits FROM e JOIN conversations u ON u.conv_id = e.session AND u.turn = e.seq) SELECT condition, count(*) AS n, round(avg(rate), 6) AS baseline, round(avg(rate / 2), 6) AS adapted, avg(rate / 2) < avg(rate) AS improved FROM r GROUP BY condition")
+_RATES = "SELECT session, seq, CASE WHEN n > 0 THEN edits / n WHEN edits > 0 THEN 1 ELSE 0 END AS rate FROM e"
+_WER2 = _WER.replace(") OVER (PARTITION BY conv_id ORDER BY turn) AS b", ", 2) OVER (PARTITION BY conv_id ORDER BY turn) AS b")
+
+
+@query("a31_rates_by_condition", f"SELECT u.role AS condition, count(*) AS n, round(avg(x.rate), 6) AS baseline, round(avg(y.rate), 6) AS adapted, avg(y.rate) < avg(x.rate) AS improved FROM ({_WER} {_RATES}) x JOIN ({_WER2} {_RATES}) y USING (session, seq) JOIN conversations u ON u.conv_id = x.session AND u.turn = x.seq GROUP BY 1")
 def _(spark, sf_dir):
-    """Error rates averaged over utterances, by speaker, before and after an adaptation (which here halves each rate)."""
-    rate = M.rate(F.col("word_edits"), F.col("n_words"))
-    rows = _spoken_pairs(spark, sf_dir).select(F.col("speaker").alias("condition"), rate.alias("baseline"), (rate / 2).alias("adapted"))
-    return M.by_condition(rows).withColumns({c: F.round(c, 6) for c in ("baseline", "adapted")})
+    """Error rates averaged over utterances, by speaker, of two guesses at each: the turn after it and the one after that."""
+    rate, keys = M.rate(F.col("word_edits"), F.col("n_words")), ["session", "seq"]
+    first = _spoken_pairs(spark, sf_dir).select(*keys, F.col("speaker").alias("condition"), rate.alias("baseline"))
+    second = _spoken_pairs(spark, sf_dir, 2).select(*keys, rate.alias("adapted"))
+    return M.by_condition(first.join(second, keys)).withColumns({c: F.round(c, 6) for c in ("baseline", "adapted")})
 
 
 @query("a20_purity_gate", "WITH n AS (SELECT vec_id % 3 AS run, vec_id // 50 AS c, label, count(*) AS n FROM embeddings GROUP BY 1, 2, 3), b AS (SELECT run, c, max(n) AS best, sum(n) AS n FROM n GROUP BY 1, 2), p AS (SELECT run, sum(best) / sum(n) AS purity FROM b GROUP BY run) SELECT round(max(purity), 6) AS best, max(purity) > 0.6 AS passed FROM p")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,8 @@ from lectern.operators.search import BLOCK, Side, best_topic, compared
 from lectern.operators.sequence import mean_pool
 from lectern.session import scratch
 
-#: Segments of one session that are clustered together, at most: a task holds the square of their number.
-SESSION_MOST = 4096
+#: Rows of a session that one task clusters, at most, as it holds the square of their number; rows of a tile of a larger one.
+SESSION_MOST, TILE = 4096, 2048
 
 
 def least_size(n: int, most: int = 5) -> int:
@@ -24,19 +24,45 @@ def least_size(n: int, most: int = 5) -> int:
     return max(2, min(most, -(-n // 3), n))
 
 
+def _joined(comp: np.ndarray, w: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round of Borůvka: of edges (w, lo, hi) that leave the component of ``comp[lo]`` or ``comp[hi]`` the chosen ones, and the components after."""
+    order = np.lexsort((hi, lo, w))
+    chosen: set[int] = set()
+    for ends in (comp[lo[order]], comp[hi[order]]):
+        chosen |= set(order[np.unique(ends, return_index=True)[1]].tolist())
+    best: dict[int, int] = {}
+    for e in sorted(chosen, key=lambda e: (w[e], lo[e], hi[e])):
+        for c in (int(comp[lo[e]]), int(comp[hi[e]])):
+            best.setdefault(c, e)
+    up = {int(c): int(c) for c in np.unique(comp)}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kept = []
+    for e in sorted(set(best.values())):
+        x, y = find(int(comp[lo[e]])), find(int(comp[hi[e]]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(e)
+    values, at = np.unique(comp, return_inverse=True)
+    return np.array(kept, dtype=np.int64), np.array([find(int(c)) for c in values])[at]
+
+
 def _spanning_tree(d: np.ndarray) -> np.ndarray:
-    """Edges (i, j, distance) of a minimum spanning tree of a full distance matrix, shortest first."""
+    """Edges (i, j, distance) of the minimum spanning tree of a full distance matrix, shortest first; ties go by i, then j."""
     n = len(d)
-    inside = np.zeros(n, bool)
-    inside[0] = True
-    near, link, edges = d[0].copy(), np.zeros(n, int), []
-    for _ in range(n - 1):
-        j = int(np.where(inside, np.inf, near).argmin())
-        edges.append((link[j], j, near[j]))
-        inside[j] = True
-        closer = d[j] < near
-        near[closer], link[closer] = d[j][closer], j
-    return np.array(sorted(edges, key=lambda e: e[2]))
+    comp, edges, rows = np.arange(n), [], np.arange(n)
+    while len(np.unique(comp)) > 1:
+        open_ = np.where(comp[:, None] == comp[None], np.inf, d)
+        j = open_.argmin(axis=1)  # the first of equal ones is also the first in the order of (i, j)
+        w, lo, hi = open_[rows, j], np.minimum(rows, j), np.maximum(rows, j)
+        kept, comp = _joined(comp, w, lo, hi)
+        edges += list(zip(lo[kept].tolist(), hi[kept].tolist(), w[kept].tolist(), strict=True))
+    return np.array(sorted(edges, key=lambda e: (e[2], e[0], e[1])))
 
 
 def density_labels(points: np.ndarray, size: int, samples: int) -> np.ndarray:
@@ -51,10 +77,14 @@ def density_labels(points: np.ndarray, size: int, samples: int) -> np.ndarray:
         return np.full(n, -1)
     d = np.sqrt(np.maximum(((points[:, None] - points[None]) ** 2).sum(axis=2), 0)) if n <= 256 else _distances(points)
     core = np.partition(d, min(samples, n) - 1, axis=1)[:, min(samples, n) - 1]
-    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
-    up, parts, count = list(range(n)), [[i] for i in range(n)], n
+    return tree_labels(_spanning_tree(np.maximum(np.maximum(d, core[:, None]), core[None])), n, size)
+
+
+def tree_labels(tree: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The labels that a spanning tree's edges (i, j, distance), shortest first, give its n points; memory is linear in them."""
+    up, count = list(range(n)), n
     at: dict[int, tuple[int, int, float]] = {}  # a merged part: its two parts and their distance
-    root = list(range(n))
+    root, many, first = list(range(n)), [1] * n, list(range(n))
 
     def find(x: int) -> int:
         while up[x] != x:
@@ -62,10 +92,11 @@ def density_labels(points: np.ndarray, size: int, samples: int) -> np.ndarray:
             x = up[x]
         return x
 
-    for i, j, w in _spanning_tree(reach).tolist():
+    for i, j, w in tree.tolist():
         a, b = root[find(int(i))], root[find(int(j))]
         at[count] = (a, b, w)
-        parts.append(parts[a] + parts[b])
+        many.append(many[a] + many[b])
+        first.append(min(first[a], first[b]))
         up[find(int(i))] = find(int(j))
         root[find(int(j))] = count
         count += 1
@@ -82,12 +113,12 @@ def density_labels(points: np.ndarray, size: int, samples: int) -> np.ndarray:
             children[parent].append(me)
         while node in at:
             a, b, w = at[node]
-            lam, big = density(w), [x for x in (a, b) if len(parts[x]) >= size]
+            lam, big = density(w), [x for x in (a, b) if many[x] >= size]
             if len(big) == 2:
-                mass[me] += len(parts[node]) * (lam - birth)
+                mass[me] += many[node] * (lam - birth)
                 start += [(x, lam, me) for x in big]
                 break
-            gone = sum(len(parts[x]) for x in (a, b) if x not in big)
+            gone = sum(many[x] for x in (a, b) if x not in big)
             mass[me] += gone * (lam - birth)
             if not big:
                 break
@@ -107,8 +138,14 @@ def density_labels(points: np.ndarray, size: int, samples: int) -> np.ndarray:
         else:
             todo += children[c]
     labels = np.full(n, -1)
-    for k, c in enumerate(sorted(chosen, key=lambda c: min(parts[born[c]]))):
-        labels[parts[born[c]]] = k
+    for k, c in enumerate(sorted(chosen, key=lambda c: first[born[c]])):
+        todo = [born[c]]
+        while todo:
+            node = todo.pop()
+            if node in at:
+                todo += at[node][:2]
+            else:
+                labels[node] = k
     return labels
 
 
@@ -117,25 +154,116 @@ def _distances(points: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares[:, None] + squares[None] - 2 * points @ points.T, 0))
 
 
-def session_topics(rows: DataFrame, most: int = SESSION_MOST) -> DataFrame:
+def session_topics(rows: DataFrame, most: int = SESSION_MOST, tile: int = TILE) -> DataFrame:
     """Density clusters of each session's vectors: (session, seq, topic, outlier_score).
 
     One vector is a topic of its own, and vectors without any dense part are one topic together; else rows outside the
-    clusters are noise (topic -1, outlier 1). A session is clustered in one task, so one of more than ``most`` rows is
-    refused: pool its rows into segments first. ``rows`` has (session, seq, embedding).
+    clusters are noise (topic -1, outlier 1). A session of up to ``most`` rows is clustered in one task; a longer one by tiles of rows, whose
+    pairs are many tasks' work. ``rows`` has (session, seq, embedding).
     """
-    counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("session")))
-    guarded = counted.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit(f"a session of more than {most} segments can't be clustered in one task")).cast("long")))
+    counted = rows.select("session", "seq", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("session")))
+    kind = rows.schema["session"].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", ignore_index=True)
         points = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        labels = density_labels(points, least_size(len(points)), least_size(len(points)))
-        if (labels < 0).all():
-            labels = np.zeros(len(points), int)
-        return pd.DataFrame({"session": pdf["session"], "seq": pdf["seq"], "topic": labels, "outlier_score": (labels < 0).astype(float)})
+        return _told(pdf, density_labels(points, least_size(len(points)), least_size(len(points))))
+
+    found = counted.where(F.col("n") <= most).groupBy("session").applyInPandas(run, f"session {kind}, seq long, topic long, outlier_score double")
+    large = counted.where(F.col("n") > most)
+    return found if large.isEmpty() else found.unionByName(_large_sessions(large, kind, tile))
 
-    return guarded.select("session", "seq", "embedding", "n").groupBy("session").applyInPandas(run, "session long, seq long, topic long, outlier_score double")
+
+def _told(pdf: pd.DataFrame, labels: np.ndarray) -> pd.DataFrame:
+    labels = np.zeros(len(labels), int) if (labels < 0).all() else labels
+    return pd.DataFrame({"session": pdf["session"], "seq": pdf["seq"], "topic": labels, "outlier_score": (labels < 0).astype(float)})
+
+
+def _met(points: DataFrame, tile: int, work: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``work(rows, columns, distances)`` says of each pair of tiles of a session; a tile meets each other one once, and itself."""
+    tiles, own = F.floor((F.col("n") - 1) / tile), F.floor(F.col("position") / tile)
+    a = points.withColumns({"side": F.lit(0), "ti": own}).withColumn("tj", F.explode(F.sequence(own, tiles)))
+    b = points.withColumns({"side": F.lit(1), "tj": own}).withColumn("ti", F.explode(F.sequence(F.lit(0).cast("long"), own)))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (pdf[pdf["side"] == k].sort_values("position", ignore_index=True) for k in (0, 1))
+        u, v = (np.stack(z["embedding"].to_numpy()) for z in (x, y))
+        d = np.sqrt(np.maximum((u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None] - 2 * u @ v.T, 0))
+        if x["position"].iloc[0] == y["position"].iloc[0]:
+            np.fill_diagonal(d, 0.0)
+        return work(x, y, d)
+
+    return a.unionByName(b.select(a.columns)).groupBy("session", "ti", "tj").applyInPandas(meet, schema)
+
+
+def _large_sessions(rows: DataFrame, kind: str, tile: int) -> DataFrame:
+    """``session_topics`` of sessions too large for a matrix: neighbours' distances and each round's shortest ways out of a component by pairs of tiles.
+
+    A session's spanning tree and components are a few numbers a row; they alone meet in one task.
+    """
+    spark = rows.sparkSession
+    kept = lambda df, name: (df.write.parquet(path := scratch(spark, name)), spark.read.schema(df.schema).parquet(path))[1]
+    points = kept(positioned(rows, "session", "seq"), "points")
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        k = least_size(int(x["n"].iloc[0]))
+        parts = [(x, np.sort(d, axis=1)[:, :k])] + ([(y, np.sort(d, axis=0).T[:, :k])] if x["position"].iloc[0] != y["position"].iloc[0] else [])
+        return pd.concat([pd.DataFrame({"session": z["session"], "position": z["position"], "near": list(near)}) for z, near in parts])
+
+    near = _met(points.select("session", "position", "n", "embedding"), tile, nearest, f"session {kind}, position long, near array<double>")
+    size = F.array_max(F.array(F.lit(2), F.array_min(F.array(F.lit(5).cast("long"), F.ceil(F.col("n") / 3)))))
+    core = near.groupBy("session", "position").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    points = points.join(core, ["session", "position"]).withColumn("core", F.get("near", (size - 1).cast("int"))).drop("near")
+    points = kept(points.withColumn("comp", F.col("position")), "points")
+    tree = None
+
+    def out(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+        reach = np.maximum(np.maximum(d, x["core"].to_numpy()[:, None]), y["core"].to_numpy()[None])
+        cx, cy = x["comp"].to_numpy(), y["comp"].to_numpy()
+        reach = np.where(cx[:, None] == cy[None], np.inf, reach)
+        px, py = x["position"].to_numpy(), y["position"].to_numpy()
+        j, i = reach.argmin(axis=1), reach.argmin(axis=0)
+        comp = np.concatenate([cx, cy])
+        w = np.concatenate([reach[np.arange(len(px)), j], reach[i, np.arange(len(py))]])
+        a, b = np.concatenate([px, px[i]]), np.concatenate([py[j], py])
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((hi, lo, w, comp))
+        first = order[np.append(True, comp[order][1:] != comp[order][:-1])]  # of each component the shortest way out of this pair of tiles
+        first = first[np.isfinite(w[first])]
+        return pd.DataFrame({"session": x["session"].iloc[0], "comp": comp[first], "w": w[first], "lo": lo[first], "hi": hi[first]})
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf[pdf["is_edge"] == 0].sort_values("position")
+        edges = pdf[pdf["is_edge"] == 1].drop_duplicates(["lo", "hi"])
+        comp = known["comp"].to_numpy()
+        w, lo, hi = (edges[c].to_numpy() for c in ("w", "lo", "hi"))
+        taken, now = _joined(comp, w, lo.astype(np.int64), hi.astype(np.int64))
+        moved = pd.DataFrame({"session": key[0], "is_edge": 0, "position": known["position"], "comp": now, "w": np.nan, "lo": -1, "hi": -1})
+        return pd.concat([moved, pd.DataFrame({"session": key[0], "is_edge": 1, "position": -1, "comp": -1, "w": w[taken], "lo": lo[taken], "hi": hi[taken]})])
+
+    state = "is_edge int, position long, comp long, w double, lo long, hi long"
+    while True:
+        ways = _met(points.select("session", "position", "n", "embedding", "core", "comp"), tile, out, f"session {kind}, comp long, w double, lo long, hi long")
+        ways = kept(ways.groupBy("session", "comp").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("session", "e.*"), "ways")
+        if ways.isEmpty():
+            break
+        none = lambda t: F.lit(-1).cast(t)
+        members = points.join(ways.select("session").distinct(), "session", "left_semi").select("session", F.lit(0).alias("is_edge"), "position", "comp", none("double").alias("w"), none("long").alias("lo"), none("long").alias("hi"))
+        edges = ways.select("session", F.lit(1).alias("is_edge"), none("long").alias("position"), none("long").alias("comp"), "w", "lo", "hi")
+        done = kept(members.unionByName(edges).groupBy("session").applyInPandas(merge, f"session {kind}, {state}"), "merged")
+        part = done.where("is_edge = 1").select("session", "w", "lo", "hi")
+        tree = part if tree is None else tree.unionByName(part)
+        now = done.where("is_edge = 0").select("session", "position", F.col("comp").alias("after"))
+        points = kept(points.join(now, ["session", "position"], "left").withColumn("comp", F.coalesce("after", "comp")).drop("after"), "points")
+
+    def label(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["is_edge"] == 0].sort_values("position", ignore_index=True)
+        edges = pdf[pdf["is_edge"] == 1].sort_values(["w", "lo", "hi"])
+        return _told(own, tree_labels(edges[["lo", "hi", "w"]].to_numpy(), len(own), least_size(len(own))))
+
+    listed = points.select("session", "seq", F.lit(0).alias("is_edge"), "position", F.lit(-1.0).alias("w"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"))
+    edges = tree.select("session", F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("is_edge"), F.lit(-1).cast("long").alias("position"), "w", "lo", "hi")
+    return listed.unionByName(edges).groupBy("session").applyInPandas(label, f"session {kind}, seq long, topic long, outlier_score double")
 
 
 def provisional_topics(rows: DataFrame, window_ms: int = 600_000, least: int = 5) -> DataFrame:

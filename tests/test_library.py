@@ -161,12 +161,19 @@ def test_session_topics_fall_back_and_refuse_long_sessions(spark):
     df = spark.createDataFrame(rows, "session long, seq long, embedding array<double>")
     assert {(r["session"], r["topic"], r["outlier_score"]) for r in cluster.session_topics(df).collect()} >= {(1, 0, 0.0)}
     assert all(r["topic"] >= -1 for r in cluster.session_topics(df).collect())
-    with pytest.raises(Exception, match="more than 2 segments"):
-        cluster.session_topics(df, most=2).collect()
     timed = df.withColumn("start_ms", F.col("seq") * 1000)
     assert cluster.provisional_topics(timed).count() == 0  # fewer than five rows
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_large_sessions_are_clustered_by_tiles_as_small_ones_in_a_task(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(s, i * 3, (rng.normal(size=2) * 0.2 + rng.integers(0, 4, 2) * (2 if s == 1 else 1)).tolist()) for s, n in ((1, 90), (2, 61), (3, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "session long, seq long, embedding array<double>")
+    one, tiled = (sorted(map(tuple, cluster.session_topics(df, most=most, tile=17).collect())) for most in (4096, 20))
+    assert one == tiled and len({t for s, _, t, _ in one if s == 1}) > 2
+
+
 @pytest.mark.parametrize("seeded", [True, False])
 def test_kmeans_equals_plain_rounds(spark, seeded):
     rows, df = vectors(spark, 40, 3)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.cluster import seeding_status
 from lectern.operators.relational import page
+from lectern.operators.replay import replayed
+from lectern.operators.search import hybrid_search
+from lectern.operators.textindex import TextIndex
 
 
 def transcript(rows: DataFrame, offset: int = 0, limit: int = 50, include_filtered: bool = False, speaker: str | None = None, search: str | None = None) -> DataFrame:
@@ -78,3 +82,39 @@ def overridden(rows: DataFrame, overrides: DataFrame, method: str = "operator_ov
     said = overrides.groupBy("session").agg(F.max("override").alias("override"))
     joined = rows.join(said, "session", "left")
     return joined.select("session", F.coalesce("override", "final_type").alias("final_type"), F.when(F.col("override").isNotNull(), F.lit(method)).otherwise(F.col("method")).alias("method"))
+
+
+def search(index: TextIndex, vectors: dict[str, DataFrame], spark: SparkSession, text: str, subject: str | None = None, embedding: list[float] | None = None, limit: int = 20) -> DataFrame:
+    """One search, within a subject where one is named: (source_type, id, lexical_rank, vector_rank, fused, rank). Without a vector it goes by words alone."""
+    one = spark.range(1).select(F.col("id").alias("query"), F.lit(text).alias("text"), F.lit(embedding).cast("array<double>").alias("embedding"), *([F.lit(subject).alias("scope")] if subject is not None else []))
+    return hybrid_search(index, vectors, one, limit).drop("query")
+
+
+def coverage_summary(statuses: DataFrame) -> DataFrame:
+    """(subject, total, covered, partial, uncovered, pct) from items (subject, status); pct is the share of covered ones."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    found = statuses.groupBy("subject").agg(F.count(F.lit(1)).alias("total"), n("covered").alias("covered"), n("partial").alias("partial"), n("uncovered").alias("uncovered"))
+    return found.withColumn("pct", F.round(100 * F.col("covered") / F.col("total"), 2))
+
+
+def next_card(cards: DataFrame, now: Column) -> DataFrame:
+    """(subject, card, due_at) of each subject: the card that has been due longest, else the one that is due next; ties take the smaller card."""
+    order = F.struct((F.col("due_at") > now).alias("later"), "due_at", "card")
+    return cards.groupBy("subject").agg(F.min(order).alias("c")).select("subject", "c.card", "c.due_at")
+
+
+def review(log: DataFrame, new: DataFrame) -> DataFrame:
+    """Cards after new reviews (card, review, at, rating) on top of their log: what ``replayed`` says of the last review of each."""
+    touched = log.join(new.select("card").distinct(), "card", "left_semi")
+    out = replayed(touched.unionByName(new))
+    return out.groupBy("card").agg(F.max_by(F.struct(*(c for c in out.columns if c != "card")), "n").alias("s")).select("card", "s.*")
+
+
+def cold_start_status(seeds: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(subject, seed_count, status, cadence) of subjects with their seeds (subject, replaced) and the number of their sessions (subject, sessions)."""
+    return seeding_status(seeds.join(sessions, "subject", "full"), "subject", F.coalesce("sessions", F.lit(0)))
+
+
+def sessions_by_subject(sessions: DataFrame, most: int = 50) -> DataFrame:
+    """The newest ``most`` sessions of each subject, with ``k``, their place from 1."""
+    return sessions.withColumn("k", _newest(sessions).cast("long")).where(F.col("k") <= most)

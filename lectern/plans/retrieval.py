@@ -7,7 +7,6 @@ are the first and last of their distinct words by order, their vector is their o
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern import api
@@ -262,8 +261,36 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The newest 50 sessions of each subject."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("session"), F.col("o_orderdate").alias("created_at"))
-    k = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("created_at"), F.desc("session")))
-    return orders.withColumn("k", k.cast("long")).where("k <= 50").drop("created_at")
+    return api.sessions_by_subject(orders).drop("created_at")
+
+
+@query("q_search", f"WITH {_SRC}, qs AS (SELECT 'en' AS scope, ['with'] AS asked), {_OCC}, lr AS (SELECT source_type, id, row_number() OVER (PARTITION BY source_type ORDER BY round({_OFTEN.format('ps')}, 9) DESC, id) AS rank FROM occ WHERE held_in = 'en'), h AS (SELECT *, row_number() OVER (ORDER BY round(1 / (60 + rank), 12) DESC, source_type, id) AS place FROM lr WHERE rank <= 50) SELECT source_type, id, rank AS lexical_rank, place AS rank FROM h WHERE place <= 20")
+def _(spark, sf_dir):
+    """One search of one subject by a word."""
+    found = api.search(text_index(spark, sf_dir), _vectors(spark, sf_dir), spark, "with", "en")
+    return _longs(found.select("source_type", "id", "lexical_rank", "rank"), "lexical_rank", "rank")
+
+
+@query("q_coverage", "SELECT o_custkey AS subject, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS covered, count(*) FILTER (o_orderstatus = 'P') AS partial, count(*) FILTER (o_orderstatus = 'O') AS uncovered, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 2) AS pct FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    """How much of each subject's syllabus is covered."""
+    kind = F.col("o_orderstatus")
+    return api.coverage_summary(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.when(kind == "F", "covered").when(kind == "P", "partial").otherwise("uncovered").alias("status")))
+
+
+@query("q_next_card", "WITH c AS (SELECT o_custkey AS subject, l_partkey AS card, l_shipdate AS due_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT subject, card, due_at FROM c QUALIFY row_number() OVER (PARTITION BY subject ORDER BY due_at > TIMESTAMP '1995-06-17', due_at, card) = 1")
+def _(spark, sf_dir):
+    """The card that each subject should study next."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), "o_orderkey")
+    cards = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("card"), F.col("l_shipdate").alias("due_at")).join(own, "o_orderkey").drop("o_orderkey")
+    return api.next_card(cards, F.lit("1995-06-17").cast("timestamp"))
+
+
+@query("q_cold_start", "WITH s AS (SELECT o_custkey AS subject, count(*) AS n, count(*) FILTER (o_orderstatus <> 'F') AS active FROM orders GROUP BY 1) SELECT c_custkey AS subject, coalesce(active, 0) AS seed_count, CASE WHEN n IS NULL THEN 'not_seeded' WHEN active > 0 THEN 'seeded' ELSE 'stabilized' END AS status, CASE WHEN c_nationkey < 5 AND active > 0 THEN 'tight' ELSE 'normal' END AS cadence FROM customer LEFT JOIN s ON c_custkey = subject")
+def _(spark, sf_dir):
+    """Which subjects still stand on their seeds."""
+    seeds = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), (F.col("o_orderstatus") == "F").alias("replaced"))
+    return api.cold_start_status(seeds, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_nationkey").alias("sessions")))
 
 
 @query("q_reclassified", "SELECT o_orderkey AS session, CASE WHEN l.session IS NOT NULL THEN 'syllabus' ELSE 'content' END AS final_type, CASE WHEN l.session IS NOT NULL THEN 'operator_override' ELSE 'ensemble' END AS method FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS session FROM lineitem WHERE l_quantity = 50) l ON o_orderkey = l.session")

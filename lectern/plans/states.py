@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern import api
 from lectern.functions.memory import LONGEST, WEIGHTS
 from lectern.operators import states
 from lectern.operators.relational import TRANSITIONS
@@ -86,3 +87,13 @@ def _(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("card"), F.col("event_id").alias("review"), F.col("ts").alias("at"), rating.alias("rating"))
     out = replayed(log).withColumns({c: F.round(c, 6) for c in ("stability", "difficulty", "recall")})
     return out.withColumn("due", F.col("due").cast("timestamp_ntz"))
+
+
+@query("q_review", f"{_REPLAY} SELECT card, review, k AS n, state, step, round(s, 6) AS stability, round(d, 6) AS difficulty, due FROM r WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY card ORDER BY k DESC) = 1")
+def _(spark, sf_dir):
+    """Each card's last review on top of its log before: the state that it leaves."""
+    rating = 1 + (F.col("event_id") * 7 + F.col("user_id")) % 4
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("card"), F.col("event_id").alias("review"), F.col("ts").alias("at"), rating.alias("rating"))
+    newest = log.groupBy("card").agg(F.max_by("review", F.struct("at", "review")).alias("review"))
+    out = api.review(log.join(newest, ["card", "review"], "left_anti"), log.join(newest, ["card", "review"], "left_semi")).drop("recall")
+    return out.withColumns({c: F.round(c, 6) for c in ("stability", "difficulty")}).withColumn("due", F.col("due").cast("timestamp_ntz"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalar import iou, overlap
-from lectern.operators.textindex import TextIndex, lexical_top
+from lectern.operators.textindex import TextIndex, kept, lexical_top
 
 #: Vectors of a side that goes to every task whole (their number is counted first), and rows that a task compares with them at once.
 BLOCK, TILE = 1024, 8192
@@ -174,6 +174,7 @@ def hybrid_search(index: TextIndex, vectors: dict[str, DataFrame], queries: Data
     and id. A query without a vector is answered by its words alone, a row without one is found by its words alone. Where
     queries have a scope, vectors have one too, and only rows of the query's scope are found.
     """
+    queries = kept(queries, "queries")  # words and vectors of both sources' searches come from it
     lexical = lexical_top(index, queries, pool)
     asked, found = queries.where("embedding IS NOT NULL"), None
     for name, rows in vectors.items():

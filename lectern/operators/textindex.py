@@ -299,7 +299,7 @@ def lexical_top(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     stop words or of forbidden words alone finds nothing.
     """
     spark = queries.sparkSession
-    asked = _kept(_asked(queries, index.language).where(F.size("terms") > 0), "asked")
+    asked = kept(_asked(queries, index.language).where(F.size("terms") > 0), "asked")
     terms = asked.select("query", F.col("scope").alias("wanted_scope"), F.explode("terms").alias("term"))
     postings = index.postings(spark)
     distinct = terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int"))
@@ -309,17 +309,17 @@ def lexical_top(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     heads = postings.select("term", "source", "scope", "block", "ids", "most").join(terms, "term").where(F.col("wanted_scope").isNull() | (F.col("wanted_scope") == F.col("scope")))
     order = Window.partitionBy("query", "source").orderBy(F.desc("bound"), "block", "scope")
     before = F.coalesce(F.sum(F.size("wanted")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = _kept(_candidates(heads, asked).withColumn("before", before), "blocks")
+    blocks = kept(_candidates(heads, asked).withColumn("before", before), "blocks")
     best = Window.partitionBy("query", "source").orderBy(F.desc(F.round("score", 9)), "id")
     first = _ranked(blocks.where(F.col("before") < k), postings, asked)
-    first = _kept(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "first")
+    first = kept(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "first")
     edge = first.where(F.col("rank") == k).select("query", "source", F.col("score").alias("edge"))
     rest = blocks.where(F.col("before") >= k).join(edge, ["query", "source"], "left").where(F.col("edge").isNull() | (F.col("bound") >= F.col("edge") - 1e-8))
     both = first.drop("rank").unionByName(_ranked(rest, postings, asked))
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     """Written and read again, as it is needed more than once."""
     df.write.parquet(path := scratch(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,6 +52,17 @@ def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True) -
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
+def read_database(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:
+    """A table of another database, by Spark's own JDBC source: filters and columns are pushed down to it.
+
+    With a whole-number ``key`` it is read in ``parts`` ranges of low to high, each by a task; rows outside of these go to the first and the last one.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if key is not None:
+        reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.load()
+
+
 def annotator_votes(wide: DataFrame, id_col: str) -> DataFrame:
     """Wide annotations (a column for each annotator) as long rows (id, annotator, label)."""
     return wide.unpivot([id_col], [c for c in wide.columns if c != id_col], "annotator", "label")

@@ -566,3 +566,19 @@ def test_versions_of_a_dataset_never_change(spark, tmp_path):
     write_versioned(spark.range(2), str(tmp_path / "d"), "v1")
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         write_versioned(spark.range(3), str(tmp_path / "d"), "v1")
+
+
+# ---- another database
+
+
+def test_a_foreign_table_is_read_in_ranges_with_its_filters_pushed_down(spark, tmp_path):
+    from lectern.sources.tables import read_database
+
+    url, driver = f"jdbc:derby:{tmp_path}/syllabus;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("id AS item", "'title ' || id AS title").write.format("jdbc").options(url=url, dbtable="items", driver=driver).save()
+    items = read_database(spark, url, "items", "item", 0, 100, 4, driver=driver)
+    assert items.rdd.getNumPartitions() == 4 and items.count() == 100
+    few = items.where("item >= 90 AND item <> 95").select("title")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual" in plan.upper() or ">= 90" in plan or "PushedFilters: [*" in plan
+    assert sorted(r["title"] for r in few.collect()) == [f"title {i}" for i in range(90, 100) if i != 95]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.prefix import ahead, let, prefixed, sum_of
+
 # Concept kinds in order of precedence, each with the words that speak for it.
 CONCEPTS = {
     "genuinely_pictorial": r"anatomy|heart|organ|geography|map of|apparatus|microscop|cell structure|skeleton|topograph",
@@ -162,12 +164,17 @@ def greeting(text: Column) -> Column:
 
 
 def places(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as array<struct<start, stop>>, in characters from 0: sums of the pieces between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    pairs = F.arrays_zip(F.transform(pieces, F.char_length).alias("gap"), F.transform(found, F.char_length).alias("size"))
-    upto = lambda i: F.aggregate(F.slice(pairs, 1, i), F.lit(0), lambda a, x: a + x["gap"] + x["size"])
-    return F.transform(pairs, lambda x, i: F.struct((upto(i) + x["gap"]).alias("start"), (upto(i) + x["gap"] + x["size"]).alias("stop")))
+    """Where a pattern matches: array<struct<start, stop>> in characters from 0, leftmost, not overlapping."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+
+    def placed(f: Column) -> Column:
+        gaps = F.transform(F.slice(f["p"], 1, F.size(f["m"])), lambda x: F.char_length(x))
+        widths = F.zip_with(gaps, F.transform(f["m"], lambda x: F.char_length(x)), lambda g, w: g + w)
+        known = F.struct(f["m"].alias("m"), gaps.alias("g"), prefixed(widths, sum_of, F.lit(0)).alias("w"))
+        start = lambda q, i: ahead(q["w"], i, sum_of, lambda x, y: x + y) + F.element_at(q["g"], i + 1)
+        return let(known, lambda q: F.transform(q["m"], lambda x, i: let(start(q, i), lambda at: F.struct(at.alias("start"), (at + F.char_length(x)).alias("stop")))))
+
+    return let(found, lambda f: F.when(F.size(f["m"]) > 0, placed(f)).otherwise(F.array().cast("array<struct<start:int,stop:int>>")))
 
 
 def steps(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.prefix import ahead, let, prefixed
 from lectern.functions.vector import cosine
 from lectern.operators.longscan import RANGE, looking, percentile, positioned, running_sum
 
@@ -165,15 +166,22 @@ def next_of_group(rows: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def clamp_words(words: Column) -> Column:
-    """Word times made monotone: a start is at least the previous end, an end at least its start plus 1."""
+    """Word times made monotone: a start is at least the previous end, an end at least its start plus 1.
 
-    def step(acc: Column, w: Column) -> Column:
-        start = F.greatest(w["start_ms"], acc["at"])
-        end = F.greatest(w["end_ms"], start + 1)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(w["word"].alias("word"), start.alias("start_ms"), end.alias("end_ms")))).alias("out"))
+    A word that begins and ends as told needs max(end, start + 1); each word before it may push it on by one more, so an end
+    less its place is a running maximum.
+    """
+    least = F.transform(words, lambda w, i: F.greatest(w["end_ms"], F.greatest(w["start_ms"], F.lit(0)) + 1).cast("bigint") - i)
+    none = F.lit(-(2**62)).cast("bigint")
+    most = lambda values: F.coalesce(F.array_max(values), none)
+
+    def clamped(p: Column) -> Column:
+        before = lambda i: ahead(p, i, most, lambda x, y: F.greatest(x, y))  # noqa: E731  the running maximum ahead of a word
+        start = lambda w, i: F.greatest(w["start_ms"], F.lit(0), F.when(i > 0, before(i) + i - 1))
+        end = lambda i: F.greatest(before(i), F.element_at(p["v"], i + 1)) + i
+        return F.transform(words, lambda w, i: F.struct(w["word"].alias("word"), start(w, i).cast("bigint").alias("start_ms"), end(i).cast("bigint").alias("end_ms")))
 
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint>>").alias("out"))
-    return F.aggregate(words, begin, step, lambda acc: acc["out"])
+    return let(prefixed(least, most, none), clamped)
 
 
 def renumbered(rows: DataFrame, session: str, *order: str) -> DataFrame:

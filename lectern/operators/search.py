@@ -174,7 +174,7 @@ def hybrid_search(index: TextIndex, vectors: dict[str, DataFrame], queries: Data
     and id. A query without a vector is answered by its words alone, a row without one is found by its words alone. Where
     queries have a scope, vectors have one too, and only rows of the query's scope are found.
     """
-    queries = kept(queries, "queries")  # words and vectors of both sources' searches come from it
+    queries = kept(queries, "queries")  # what is asked of words and of both sources' vectors comes from it
     lexical = lexical_top(index, queries, pool)
     asked, found = queries.where("embedding IS NOT NULL"), None
     for name, rows in vectors.items():

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from lectern.functions.stem import stem
 from lectern.session import scratch
 
-#: Documents and words of a block, at most (a longer document is a block of its own); distinct terms up to which a search names them in its scan's filter.
-BLOCK_DOCS, BLOCK_WORDS, NAMED_TERMS = 512, 1 << 18, 1000
+#: Documents and words of a block, at most (a longer document is a block of its own); queries and distinct terms up to which a search names its terms in its scan's filter.
+BLOCK_DOCS, BLOCK_WORDS, NAMED_QUERIES, NAMED_TERMS = 512, 1 << 18, 1000, 1000
 # Fixed values of the rank: the weight of a word, the limit of the sum of 1 / n^2, and how nearness counts at a distance in words.
 WEIGHT, LIMIT, REACH = 0.1, 1.64493406685, 100
 NEAR = 1 / (1.005 + 0.05 * np.exp(np.arange(REACH + 1) / 1.5 - 2))
@@ -299,24 +299,31 @@ def lexical_top(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     stop words or of forbidden words alone finds nothing.
     """
     spark = queries.sparkSession
-    asked = kept(_asked(queries, index.language).where(F.size("terms") > 0), "asked")
+    asked = _asked(queries, index.language).where(F.size("terms") > 0)
+    asked = asked.withColumn("buckets", F.transform("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(index.buckets)).cast("int")))
+    postings, few = index.postings(spark), asked.limit(NAMED_QUERIES + 1).toArrow()
+    named = set(few.column("terms").combine_chunks().flatten().to_pylist()) if few.num_rows <= NAMED_QUERIES else set()
+    if few.num_rows <= NAMED_QUERIES and len(named) <= NAMED_TERMS:  # few terms: their files and rows alone are read; more are met by the join below, whole
+        asked, often = spark.createDataFrame(few, schema=asked.schema), not all(few.column("near").to_pylist())
+        buckets = sorted(set(few.column("buckets").combine_chunks().flatten().to_pylist()))
+        postings = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(named)))
+    else:
+        asked, often = kept(asked, "asked"), True
     terms = asked.select("query", F.col("scope").alias("wanted_scope"), F.explode("terms").alias("term"))
-    postings = index.postings(spark)
-    distinct = terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int"))
-    named = distinct.limit(NAMED_TERMS + 1).collect()
-    if len(named) <= NAMED_TERMS:  # few terms: their files and rows alone are read; more are met by the join below, whole
-        postings = postings.where(F.col("bucket").isin(sorted({r["bucket"] for r in named})) & F.col("term").isin([r["term"] for r in named]))
     heads = postings.select("term", "source", "scope", "block", "ids", "most").join(terms, "term").where(F.col("wanted_scope").isNull() | (F.col("wanted_scope") == F.col("scope")))
+    blocks = _candidates(heads, asked)
+    best = Window.partitionBy("query", "source").orderBy(F.desc(F.round("score", 9)), "id")
+    top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if not often:  # ranks by nearness have loose bounds, which leave no block out
+        return top(_ranked(blocks, postings, asked))
     order = Window.partitionBy("query", "source").orderBy(F.desc("bound"), "block", "scope")
     before = F.coalesce(F.sum(F.size("wanted")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = kept(_candidates(heads, asked).withColumn("before", before), "blocks")
-    best = Window.partitionBy("query", "source").orderBy(F.desc(F.round("score", 9)), "id")
-    first = _ranked(blocks.where(F.col("before") < k), postings, asked)
-    first = kept(first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "first")
+    blocks = kept(blocks.withColumn("before", before), "blocks")
+    at_once = F.col("before") < k
+    first = kept(top(_ranked(blocks.where(at_once), postings, asked)), "first")
     edge = first.where(F.col("rank") == k).select("query", "source", F.col("score").alias("edge"))
-    rest = blocks.where(F.col("before") >= k).join(edge, ["query", "source"], "left").where(F.col("edge").isNull() | (F.col("bound") >= F.col("edge") - 1e-8))
-    both = first.drop("rank").unionByName(_ranked(rest, postings, asked))
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    rest = blocks.where(~at_once).join(edge, ["query", "source"], "left").where(F.col("edge").isNull() | (F.col("bound") >= F.col("edge") - 1e-8))
+    return top(first.drop("rank").unionByName(_ranked(rest, postings, asked)))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -582,3 +582,30 @@ def test_a_foreign_table_is_read_in_ranges_with_its_filters_pushed_down(spark, t
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual" in plan.upper() or ">= 90" in plan or "PushedFilters: [*" in plan
     assert sorted(r["title"] for r in few.collect()) == [f"title {i}" for i in range(90, 100) if i != 95]
+
+
+# ---- arrays without quadratic steps
+
+
+def test_multisets_places_and_word_times_equal_plain_loops(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    pairs = [([f"w{k}" for k in rng.integers(0, 9, int(rng.integers(0, 40)))], [f"w{k}" for k in rng.integers(0, 9, int(rng.integers(0, 40)))]) for _ in range(20)] + [([], []), ([], ["a"])]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    for a, b, f1 in df.select("a", "b", study.token_f1(F.col("a"), F.col("b"))).collect():
+        assert f1 == pytest.approx(2 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if a or b else 1.0)
+    times = [[(f"w{i}", int(s), int(s + d)) for i, (s, d) in enumerate(zip(rng.integers(-3, 60, n), rng.integers(-5, 9, n), strict=True))] for n in (0, 1, 2, 9, 16, 50)]
+    words = spark.createDataFrame([(t,) for t in times], "w array<struct<word:string,start_ms:bigint,end_ms:bigint>>")
+    for told, out in words.select("w", sequence.clamp_words(F.col("w"))).collect():
+        at, want = 0, []
+        for w, s, e in told:
+            s = max(s, at)
+            at = max(e, s + 1)
+            want.append((w, s, at))
+        assert [tuple(x) for x in out] == want
+    texts = ["aab baab", "", "b", "éab ab aab"]
+    for t, found in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.places(F.col("t"), "a+b")).collect():
+        import re
+
+        assert [tuple(p) for p in found] == [m.span() for m in re.finditer("a+b", t)]

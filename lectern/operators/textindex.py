@@ -1,10 +1,10 @@
-"""A full-text index as a table: posting lists by term and block of documents, with positions and block maxima.
+"""A full-text index as a table: posting lists by term and block of documents, with positions.
 
 A posting row holds, for one term and one block of documents of one scope, the ids, and each one's
-positions of the term. Rows lie in files by a hash of the term, sorted, so that a search reads the
-files of its terms alone, and of them first only ids and maxima. Ids are intersected block by
-block; then blocks are ranked in two waves: those whose bound on the rank is highest give each query a k-th
-best rank, and of the others only the blocks whose bound reaches it are read.
+positions of the term, as differences in as many bytes as they need. Rows lie in files by a hash of the
+term, sorted, so that a search of few terms reads their files alone. Queries that ask the same are asked
+once. The postings of the asked terms are dealt out by block once for all queries (of a tile of them), the queries go
+to every part of the blocks, and a part gives each query the best k of its documents.
 
 Ranks weigh terms by how close together they stand (all terms asked), or by how often they occur (one term, or
 alternatives).
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,15 +31,15 @@ from lectern.functions.stem import stem
 from lectern.session import scratch
 
 #: Documents and words of a block, at most (a longer document is a block of its own); queries and distinct terms up to which a search names its terms in its scan's filter.
-BLOCK_DOCS, BLOCK_WORDS, NAMED_QUERIES, NAMED_TERMS = 512, 1 << 18, 1000, 1000
+BLOCK_DOCS, BLOCK_WORDS, NAMED_QUERIES, NAMED_TERMS = 4096, 1 << 21, 1000, 1000
+#: Distinct queries of a tile, parts of the blocks that each tile meets, and asked terms up to which all tasks get their list.
+TILE_ASKS, PARTS, SENT_TERMS = 4096, 64, 100_000
 # Fixed values of the rank: the weight of a word, the limit of the sum of 1 / n^2, and how nearness counts at a distance in words.
 WEIGHT, LIMIT, REACH = 0.1, 1.64493406685, 100
 NEAR = 1 / (1.005 + 0.05 * np.exp(np.arange(REACH + 1) / 1.5 - 2))
 #: Logarithm of what a pair of words at each distance leaves of 1 - rank.
 _LEFT = np.log1p(-WEIGHT * np.sqrt(NEAR))
-#: The same for all places around one word, on both sides.
-_AROUND = float(2 * _LEFT[1:].sum())
-_POSTINGS = "term string, source string, scope string, block long, ids array<long>, most int, positions array<array<int>>, bucket int"
+_POSTINGS = "term string, source string, scope string, block long, ids binary, sizes binary, places binary, bucket int"
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -59,6 +60,47 @@ def _term(word: str, language: str, stops: frozenset[str]) -> str | None:
     return None if word in stops else stem(word)
 
 
+def packed(values: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Whole numbers as bytes of seven bits each, a binary value for each run of them between ``rows``."""
+    values = values.astype(np.uint64)
+    size = np.ones(len(values), np.int64)
+    for k in range(7, 64, 7):
+        size += values >= np.uint64(1 << k)
+    stop = np.append(0, np.cumsum(size))
+    out = np.zeros(stop[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
+        out[stop[own] + k] = ((values[own] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(size[own] > k + 1, 128, 0).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer(stop[rows].astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of ``packed``, and where each row's begin and end."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    upto = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[upto[0] : upto[-1]] if upto[-1] > upto[0] else np.zeros(0, np.uint8)
+    stop = np.flatnonzero(data < 128) + 1
+    start = np.append(0, stop[:-1])[: len(stop)]
+    values = np.zeros(len(stop), np.uint64)
+    for k in range(int((stop - start).max(initial=0))):
+        own = np.flatnonzero(stop - start > k)
+        values[own] |= (data[start[own] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return values, np.searchsorted(stop, upto - upto[0], side="right")
+
+
+def _gaps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences to the value before, the values themselves where ``first``."""
+    values = values.astype(np.int64).view(np.uint64)
+    return np.where(first, values, values - np.append(np.uint64(0), values[:-1])[: len(values)])
+
+
+def _summed(gaps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Undoes ``_gaps`` where each run of gaps, which aren't empty, begins with a value."""
+    total = np.cumsum(gaps, dtype=np.uint64)
+    begin = runs[:-1]
+    return (total - np.repeat(total[begin] - gaps[begin], np.diff(runs))).view(np.int64)
+
+
 def _post(batches: Iterator[pa.RecordBatch], language: str, stops: frozenset[str], block_docs: int) -> Iterator[pa.RecordBatch]:
     """(id, source, scope, words) to posting rows; a block is what one batch holds of up to ``block_docs`` documents and ``BLOCK_WORDS`` words."""
     block = TaskContext.get().partitionId() << 32
@@ -78,9 +120,9 @@ def _posted(batch: pa.RecordBatch, block: int, language: str, stops: frozenset[s
     coded = column.flatten().dictionary_encode()
     terms = pa.array([_term(w, language, stops) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
     code = np.asarray(terms.indices.fill_null(-1))[np.asarray(coded.indices)].astype(np.int64) if len(coded) else np.zeros(0, np.int64)
-    places = pa.StructArray.from_arrays([batch.column("source"), batch.column("scope")], ["source", "scope"])
-    groups = {p: k for k, p in enumerate(dict.fromkeys((x["source"], x["scope"]) for x in places.to_pylist()))}
-    group = np.array([groups[x["source"], x["scope"]] for x in places.to_pylist()], np.int64)
+    held_in = list(zip(batch.column("source").to_pylist(), batch.column("scope").to_pylist(), strict=True))
+    groups = {p: k for k, p in enumerate(dict.fromkeys(held_in))}
+    group = np.array([groups[p] for p in held_in], np.int64)
     doc = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size) + 1
     own = np.flatnonzero(code >= 0)
@@ -92,13 +134,13 @@ def _posted(batch: pa.RecordBatch, block: int, language: str, stops: frozenset[s
     term_at, doc_at = np.flatnonzero(new_term), np.flatnonzero(new_doc)
     counts = np.diff(np.append(doc_at, len(own)))
     of_term = np.searchsorted(doc_at, np.append(term_at, len(own))).astype(np.int32)  # the first document of each term
-    positions = pa.ListArray.from_arrays(pa.array(np.append(doc_at, len(own)).astype(np.int32)), pa.array(place.astype(np.int32)))
-    ids = pa.ListArray.from_arrays(pa.array(of_term), batch.column("id").take(pa.array(doc[doc_at])))
+    own_id = np.asarray(batch.column("id"))[doc[doc_at]]
+    ids, sizes = packed(_gaps(own_id, np.isin(doc_at, term_at, assume_unique=True)), of_term), packed(counts, of_term)
+    places = packed(_gaps(place, new_doc), np.append(term_at, len(own)))
     term = terms.dictionary.take(pa.array(key[term_at] // max(1, len(groups))))
     named = list(groups)
     source, scope = (pa.array([named[k][c] for k in key[term_at] % max(1, len(groups))], pa.string()) for c in range(2))
-    most = np.maximum.reduceat(counts, of_term[:-1]) if len(term_at) else counts
-    return pa.record_batch([term, source, scope, pa.array(np.full(len(term_at), block, np.int64)), ids, pa.array(most.astype(np.int32)), pa.ListArray.from_arrays(pa.array(of_term), positions)], ["term", "source", "scope", "block", "ids", "most", "positions"])
+    return pa.record_batch([term, source, scope, pa.array(np.full(len(term_at), block, np.int64)), ids, sizes, places], ["term", "source", "scope", "block", "ids", "sizes", "places"])
 
 
 @dataclass(frozen=True)
@@ -157,19 +199,18 @@ def parse_query(text: str | None, language: str, stops: frozenset[str]) -> dict:
 
 
 def _asked(queries: DataFrame, language: str) -> DataFrame:
-    """(query, scope, rule, terms, needs): the rule as JSON, the terms of each alternative that a document must hold."""
+    """(query, scope, rule, terms): the rule as JSON."""
     stops = _stops() if language == "english" else frozenset()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rules = [parse_query(t, language, stops) for t in batch.column("text").to_pylist()]
-            needs = [[sorted({t for c in o["all"] for _, t in c}) for o in r["any"]] for r in rules]
-            columns = [pa.array([json.dumps(r) for r in rules], pa.string()), pa.array([r["terms"] for r in rules], pa.list_(pa.string())), pa.array(needs, pa.list_(pa.list_(pa.string()))), pa.array([r["near"] for r in rules], pa.bool_())]
-            yield pa.record_batch([batch.column("query"), batch.column("scope"), *columns], ["query", "scope", "rule", "terms", "needs", "near"])
+            columns = [pa.array([json.dumps(r) for r in rules], pa.string()), pa.array([r["terms"] for r in rules], pa.list_(pa.string()))]
+            yield pa.record_batch([batch.column("query"), batch.column("scope"), *columns], ["query", "scope", "rule", "terms"])
 
     scope = F.col("scope").cast("string") if "scope" in queries.columns else F.lit(None).cast("string")
     asked = queries.select(F.col("query").cast("long").alias("query"), scope.alias("scope"), F.col("text").cast("string").alias("text"))
-    return asked.mapInArrow(run, "query long, scope string, rule string, terms array<string>, needs array<array<string>>, near boolean")
+    return asked.mapInArrow(run, "query long, scope string, rule string, terms array<string>")
 
 
 # ---- what a document answers
@@ -183,25 +224,39 @@ def occurrence_rank(counts: list[int], n_terms: int) -> float:
 class Block:
     """Places of terms in the documents of a block, in one row: a document's places are moved on by ``stride`` times its number."""
 
-    def __init__(self, terms: list[str], ids: list[np.ndarray], sizes: list[np.ndarray], places: list[np.ndarray], wanted: np.ndarray):
+    def __init__(self, terms: list[str], ids: list[np.ndarray], sizes: list[np.ndarray], places: list[np.ndarray], wanted: np.ndarray, slack: int = REACH):
         self.ids = np.unique(wanted)
-        self.stride = REACH + 1 + max((int(p.max()) for p in places if len(p)), default=0)
+        self.stride = max(REACH, slack) + 1 + max((int(p.max()) for p in places if len(p)), default=0)
         self.places: dict[str, np.ndarray] = {}
+        self.held: dict[str, np.ndarray] = {}
+        self.counted: dict[str, np.ndarray] = {}
         for term, own, size, place in zip(terms, ids, sizes, places, strict=True):
             doc = np.searchsorted(self.ids, own)
             held = (doc < len(self.ids)) & (self.ids[np.minimum(doc, len(self.ids) - 1)] == own)
             spread = np.repeat(held, size)
-            self.places[term] = np.repeat(doc, size)[spread] * self.stride + place[spread]
+            at = np.repeat(doc, size)[spread] * self.stride + place[spread]
+            self.places[term] = np.sort(np.append(self.places[term], at)) if term in self.places else at
 
     def at(self, term: str) -> np.ndarray:
         return self.places.get(term, np.zeros(0, np.int64))
 
+    def having(self, term: str) -> np.ndarray:
+        """Which documents have a term."""
+        if term not in self.held:
+            self.held[term] = np.zeros(len(self.ids), bool)
+            self.held[term][self.at(term) // self.stride] = True
+        return self.held[term]
+
     def holding(self, clause: list) -> np.ndarray:
         """Which documents have the words of a clause where its offsets want them."""
-        starts = None
-        for offset, term in clause:
-            own = self.at(term) - offset
-            starts = own if starts is None else starts[np.isin(starts, own, assume_unique=True)]
+        if len(clause) == 1:
+            return self.having(clause[0][1])
+        first, *others = sorted(clause, key=lambda c: len(self.at(c[1])))
+        starts = self.at(first[1]) - first[0]
+        for offset, term in others:
+            own = self.at(term)
+            place = np.searchsorted(own, starts + offset)
+            starts = starts[(place < len(own)) & (own[np.minimum(place, len(own) - 1)] == starts + offset)] if len(own) else own
         held = np.zeros(len(self.ids), bool)
         held[starts // self.stride] = True
         return held
@@ -212,7 +267,7 @@ class Block:
             all_ = np.ones(len(self.ids), bool)
             for clause in option["all"]:
                 all_ &= self.holding(clause)
-            for clause in option["none"]:
+            for clause in option["none"] if all_.any() else ():
                 all_ &= ~self.holding(clause)
             any_ |= all_
         return any_
@@ -221,17 +276,19 @@ class Block:
         """Rank by how often the terms occur: each further occurrence counts less."""
         total = np.zeros(len(self.ids))
         for term in terms:
-            n = np.bincount(self.at(term) // self.stride, minlength=len(self.ids))
-            total += np.append(0.0, np.cumsum(1.0 / np.arange(1, n.max(initial=0) + 1, dtype=float) ** 2))[n]
+            if term not in self.counted:
+                n = np.bincount(self.at(term) // self.stride, minlength=len(self.ids))
+                self.counted[term] = np.append(0.0, np.cumsum(1.0 / np.arange(1, n.max(initial=0) + 1, dtype=float) ** 2))[n]
+            total += self.counted[term]
         return total * WEIGHT / LIMIT / len(terms)
 
-    def near(self, terms: list[str]) -> np.ndarray:
-        """Rank by how near the terms stand to one another: all pairs of places of two terms up to ``REACH`` words apart."""
+    def near(self, terms: list[str], wanted: np.ndarray | None = None) -> np.ndarray:
+        """Rank by how near the terms stand to one another: all pairs of places of two terms up to ``REACH`` words apart; of the ``wanted`` documents alone."""
         left = np.zeros(len(self.ids))
         for i, x in enumerate(terms):
-            b = self.at(x)
             for y in terms[:i]:
-                a = self.at(y)
+                a, b = sorted((self.at(x), self.at(y)), key=len)
+                a = a if wanted is None else a[wanted[a // self.stride]]
                 lo, hi = np.searchsorted(b, a - REACH), np.searchsorted(b, a + REACH, side="right")
                 for some in np.array_split(np.arange(len(a)), max(1, int((hi - lo).sum() >> 20))):  # a million pairs at once
                     n = (hi - lo)[some]
@@ -241,62 +298,106 @@ class Block:
         return -np.expm1(left) + 0.0
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query, source, rule, wanted, hits of each term) of blocks to (query, source, id, score) of the documents that match."""
-    for batch in batches:
-        ids, scores = [], []
-        for k in range(batch.num_rows):
-            rule, hits = json.loads(batch.column("rule")[k].as_py()), batch.column("hits")[k].values
-            lists = [hits.field("positions")[j].values for j in range(len(hits))]
-            block = Block(
-                hits.field("term").to_pylist(),
-                [np.asarray(hits.field("ids")[j].values) for j in range(len(hits))],
-                [np.asarray(x.value_lengths()) for x in lists],
-                [np.asarray(x.flatten()).astype(np.int64) for x in lists],
-                np.asarray(batch.column("wanted")[k].values),
-            )
-            ok = np.flatnonzero(block.matching(rule))
-            score = block.near(rule["terms"]) if rule["near"] else block.often(rule["terms"])
-            ids.append(block.ids[ok])
-            scores.append(score[ok])
-        if ids:
-            row = pa.array(np.repeat(np.arange(len(ids)), [len(x) for x in ids]))
-            yield pa.record_batch([batch.column("query").take(row), batch.column("source").take(row), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query", "source", "id", "score"])
+class Asks:
+    """The distinct queries of a tile, each alternative found by that term of it which fewest queries ask."""
 
+    def __init__(self, table: pa.Table):
+        self.ids, self.scopes = table.column("ask").to_pylist(), table.column("scope").to_pylist()
+        self.rules = [json.loads(r) for r in table.column("rule").to_pylist()]
+        self.slack = max((k for r in self.rules for o in r["any"] for c in (*o["all"], *o["none"]) for k, _ in c), default=0)
+        needs = [(n, {t for c in o["all"] for _, t in c}) for n, r in enumerate(self.rules) for o in r["any"]]
+        often = Counter(t for _, own in needs for t in own)
+        self.by_term: dict[str, list[tuple[int, set[str]]]] = {}
+        for n, own in needs:
+            self.by_term.setdefault(min(own, key=lambda t: (often[t], t)), []).append((n, own))
 
-# ---- search
+    def of(self, terms: set[str]) -> list[int]:
+        """The queries of which some alternative can be met by these terms."""
+        return sorted({n for t in terms for n, own in self.by_term.get(t, ()) if own <= terms})
 
 
-def _candidates(heads: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, scope, block, ids, bound): the documents of each block that hold all terms of some alternative, and the most that one can rank."""
-    found = heads.groupBy("query", "source", "scope", "block").agg(F.map_from_entries(F.collect_list(F.struct("term", "ids"))).alias("ids"), F.map_from_entries(F.collect_list(F.struct("term", "most"))).alias("most"))
-    met = found.join(asked.select("query", "needs", "terms", "near"), "query")
-    none = F.array().cast("array<bigint>")
-    own = lambda t: F.coalesce(F.element_at("ids", t), none)
-    both = lambda need: F.aggregate(F.slice(need, F.lit(2), F.size(need)), own(need[0]), lambda acc, t: F.array_intersect(acc, own(t)))
-    ids = F.array_distinct(F.flatten(F.transform("needs", both)))
-    count = lambda t: F.coalesce(F.element_at("most", t), F.lit(0))
-    often = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + F.when(count(t) > 0, WEIGHT * F.least(F.lit(1.0), (2.0 - 1.0 / count(t)) / LIMIT)).otherwise(F.lit(0.0))) / F.size("terms")
-    pairs = F.transform("terms", lambda a: F.aggregate("terms", F.lit(0.0), lambda acc, b: acc + F.when(a < b, F.least(count(a), count(b))).otherwise(F.lit(0))))
-    near = -F.expm1(F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) * _AROUND)
-    return met.select("query", "source", "scope", "block", ids.alias("wanted"), F.when(F.col("near"), near).otherwise(often).alias("bound")).where(F.size("wanted") > 0)
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows that are alike in ``names``, with their values there."""
+    held, at_hand = [], None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+        lo = 0
+        for hi in range(1, len(keys) + 1):
+            if hi < len(keys) and keys[hi] == keys[lo]:
+                continue
+            if held and keys[lo] != at_hand:
+                yield at_hand, pa.Table.from_batches(held)
+                held = []
+            at_hand = keys[lo]
+            held.append(batch.slice(lo, hi - lo))
+            lo = hi
+    if held:
+        yield at_hand, pa.Table.from_batches(held)
+
+
+def _cut(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, ties by id."""
+    if len(ids) <= k:
+        return ids, scores
+    value = np.round(scores, 9)
+    own = np.flatnonzero(value >= np.partition(value, len(value) - k)[len(value) - k])
+    own = own[np.lexsort((ids[own], -value[own]))[:k]]
+    return ids[own], scores[own]
+
+
+def _answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Of each part the queries of a tile, then postings by block: (ask, source, id, score) of the best k of each query and source in the part."""
+    asks, best = None, {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        if best:
+            n = [len(ids) for ids, _ in best.values()]
+            ask, source = (np.repeat(np.array([key[c] for key in best], kind), n) for c, kind in ((0, np.int64), (1, object)))
+            ids, scores = (np.concatenate([x[c] for x in best.values()]) for c in range(2))
+            yield pa.record_batch([pa.array(ask), pa.array(source, pa.string()), pa.array(ids), pa.array(scores)], ["ask", "source", "id", "score"])
+
+    for (_, _, block, source), table in _runs(batches, ["tile", "part", "block", "in_source"]):
+        if block is None:
+            yield from told()
+            asks, best = Asks(table), {}
+            continue
+        terms, scopes = table.column("term").to_pylist(), table.column("scope").to_pylist()
+        (gaps, of_term), (sizes, _), (moved, _) = (unpacked(table.column(c)) for c in ("ids", "sizes", "places"))
+        sizes = sizes.astype(np.int64)
+        upto = np.append(0, np.cumsum(sizes))
+        ids, places = _summed(gaps, of_term), _summed(moved, upto)
+        cut = lambda x, at: np.split(x, at[1:-1])
+        held = Block(terms, cut(ids, of_term), cut(sizes, of_term), cut(places, upto[of_term]), ids, asks.slack)
+        inside: dict[str | None, np.ndarray] = {}
+        for scope in set(scopes):
+            of_scope = np.array([s == scope for s in scopes])
+            inside[scope] = np.isin(held.ids, ids[np.repeat(of_scope, np.diff(of_term))])
+        for n in asks.of(set(terms)):
+            rule, scope = asks.rules[n], asks.scopes[n]
+            if scope is not None and scope not in inside:
+                continue
+            wanted = held.matching(rule)
+            wanted = wanted if scope is None else wanted & inside[scope]
+            own = np.flatnonzero(wanted)
+            if not len(own):
+                continue
+            score = (held.near(rule["terms"], wanted) if rule["near"] else held.often(rule["terms"]))[own]
+            found, key = (held.ids[own], score), (asks.ids[n], source)
+            if key in best:
+                found = tuple(np.concatenate(x) for x in zip(best[key], found, strict=True))
+            best[key] = _cut(*found, k)
+    yield from told()
 
 
-def _ranked(wave: DataFrame, postings: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, source, id, score) of the matching documents of some blocks; what a task gets at once is the postings of one block."""
-    terms = asked.select("query", "rule", F.explode("terms").alias("asked"))
-    met = wave.select("query", F.col("source").alias("in_source"), F.col("scope").alias("in_scope"), F.col("block").alias("in_block"), "wanted").join(terms, "query")
-    same = F.col("scope").eqNullSafe(F.col("in_scope")) & (F.col("source") == F.col("in_source")) & (F.col("block") == F.col("in_block"))
-    met = met.join(postings, (F.col("term") == F.col("asked")) & same)
-    whole = met.groupBy("query", "in_source", "in_scope", "in_block").agg(F.first("rule").alias("rule"), F.first("wanted").alias("wanted"), F.collect_list(F.struct("term", "ids", "positions")).alias("hits"))
-    return whole.select("query", F.col("in_source").alias("source"), "rule", "wanted", "hits").mapInArrow(_answers, "query long, source string, id long, score double")
+# ---- search
 
 
 def lexical_top(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query, source, id, score, rank): of each source the best k documents for each query (query, text, and maybe scope); ties take the smaller id.
 
     A query without scope is asked of all scopes. Its alternatives need a term that must occur; a query of none, of
-    stop words or of forbidden words alone finds nothing.
+    stop words or of forbidden words alone finds nothing. Queries that ask the same of the same scope are one; a posting is
+    sent once to each tile of queries that ask its term, and what comes back is k rows of a query for each part of the blocks at most.
     """
     spark = queries.sparkSession
     asked = _asked(queries, index.language).where(F.size("terms") > 0)
@@ -304,26 +405,29 @@ def lexical_top(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     postings, few = index.postings(spark), asked.limit(NAMED_QUERIES + 1).toArrow()
     named = set(few.column("terms").combine_chunks().flatten().to_pylist()) if few.num_rows <= NAMED_QUERIES else set()
     if few.num_rows <= NAMED_QUERIES and len(named) <= NAMED_TERMS:  # few terms: their files and rows alone are read; more are met by the join below, whole
-        asked, often = spark.createDataFrame(few, schema=asked.schema), not all(few.column("near").to_pylist())
+        asked = spark.createDataFrame(few, schema=asked.schema)
         buckets = sorted(set(few.column("buckets").combine_chunks().flatten().to_pylist()))
         postings = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(named)))
     else:
-        asked, often = kept(asked, "asked"), True
-    terms = asked.select("query", F.col("scope").alias("wanted_scope"), F.explode("terms").alias("term"))
-    heads = postings.select("term", "source", "scope", "block", "ids", "most").join(terms, "term").where(F.col("wanted_scope").isNull() | (F.col("wanted_scope") == F.col("scope")))
-    blocks = _candidates(heads, asked)
-    best = Window.partitionBy("query", "source").orderBy(F.desc(F.round("score", 9)), "id")
-    top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    if not often:  # ranks by nearness have loose bounds, which leave no block out
-        return top(_ranked(blocks, postings, asked))
-    order = Window.partitionBy("query", "source").orderBy(F.desc("bound"), "block", "scope")
-    before = F.coalesce(F.sum(F.size("wanted")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = kept(blocks.withColumn("before", before), "blocks")
-    at_once = F.col("before") < k
-    first = kept(top(_ranked(blocks.where(at_once), postings, asked)), "first")
-    edge = first.where(F.col("rank") == k).select("query", "source", F.col("score").alias("edge"))
-    rest = blocks.where(~at_once).join(edge, ["query", "source"], "left").where(F.col("edge").isNull() | (F.col("bound") >= F.col("edge") - 1e-8))
-    return top(first.drop("rank").unionByName(_ranked(rest, postings, asked)))
+        asked = kept(asked, "asked")
+    asks = asked.groupBy("scope", "rule").agg(F.first("terms").alias("terms")).withColumn("ask", F.monotonically_increasing_id())
+    asks = kept(asks, "asks")
+    tiles = max(1, -(-asks.count() // TILE_ASKS))
+    asks = asks.withColumn("tile", F.pmod(F.xxhash64("ask"), F.lit(tiles)).cast("int"))
+    terms = asks.select("tile", F.explode("terms").alias("term"), "scope").groupBy("tile", "term").agg(F.max(F.col("scope").isNull()).alias("anywhere"), F.collect_set("scope").alias("scopes"))
+    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
+    met = postings.join(terms, "term").where(F.col("anywhere") | F.array_contains("scopes", F.col("scope")))
+    part = F.pmod(F.xxhash64("block", "source"), F.lit(PARTS)).cast("int").alias("part")
+    met = met.select("tile", part, "block", F.col("source").alias("in_source"), "scope", "term", "ids", "sizes", "places")
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    both = asks.select("tile", every, "scope", "ask", "rule").unionByName(met, allowMissingColumns=True)
+    # queries have no block, and come first
+    dealt = both.repartition(tiles * PARTS, "tile", "part").sortWithinPartitions("tile", "part", F.asc_nulls_first("block"), F.asc_nulls_first("in_source"))
+    found = dealt.mapInArrow(lambda it: _answers(it, k), "ask long, source string, id long, score double")
+    best = Window.partitionBy("ask", "source").orderBy(F.desc(F.round("score", 9)), "id")
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    own = asked.join(asks.select(F.col("scope").alias("in_scope"), F.col("rule").alias("same"), "ask"), (F.col("rule") == F.col("same")) & F.col("scope").eqNullSafe(F.col("in_scope")))
+    return top.join(own.select("query", "ask"), "ask").select("query", "source", "id", "score", "rank")
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

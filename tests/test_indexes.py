@@ -122,6 +122,54 @@ def test_text_search_of_nothing_and_what_it_reads(spark):
     assert lexical_top(nothing, asked, 3).count() == 0 and lexical_top(index, asked.limit(0), 3).count() == 0
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("text", ["apple pear", "apple or pear -x1"])
+def test_postings_of_common_words_are_not_sent_once_for_each_query(spark, text):
+    index = build_text_index(spark.createDataFrame(texts(3000, 5), "id long, scope string, text string"), scratch(spark, "common"))
+    cost = []
+    for n in (4, 400):
+        asked = spark.createDataFrame([(i, f"{text} -w{i % 4}") for i in range(n)], "query long, text string")
+        before = shuffled(spark)
+        found = lexical_top(index, asked, 5).collect()
+        cost.append(shuffled(spark) - before)
+        assert len(found) == 5 * n
+    assert cost[1] < 3 * cost[0] + 100_000
+
+
+def test_text_search_by_tiles_and_parts_equals_reading_every_document(spark, monkeypatch):
+    for name, value in (("TILE_ASKS", 3), ("PARTS", 5), ("NAMED_QUERIES", 2), ("SENT_TERMS", 1)):
+        monkeypatch.setattr(textindex, name, value)
+    rows = texts(160, 3)
+    index = build_text_index(spark.createDataFrame(rows, "id long, scope string, text string"), scratch(spark, "parts"), block_docs=9)
+    twice = [(q + 10 * again, s, t, o) for again in range(2) for q, s, t, o in ASKED]
+    asked = spark.createDataFrame([r[:3] for r in twice], "query long, scope string, text string")
+    found = [(r["query"], r["id"], r["score"]) for r in lexical_top(index, asked, 6).orderBy("query", "rank").collect()]
+    assert found == plain_search(rows, [(q, s, o) for q, s, _, o in twice], 6, "simple")
+
+
+def test_long_phrases_stay_inside_a_document(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, "a", " ".join(words)), (2, "a", " ".join(words[:150])), (3, "a", " ".join(words[150:]))]
+    index = build_text_index(spark.createDataFrame(rows, "id long, scope string, text string"), scratch(spark, "long"))
+    asked = spark.createDataFrame([(7, '"' + " ".join(words[100:]) + '"')], "query long, text string")
+    assert [r["id"] for r in lexical_top(index, asked, 5).collect()] == [1]
+
+
+def test_packed_numbers_come_back():
+    values = np.array([0, 127, 128, 300, 2**14, 2**35, 2**64 - 1, 5], np.uint64)
+    rows = np.array([0, 0, 3, 8, 8])
+    back, at = textindex.unpacked(textindex.packed(values, rows))
+    assert (back == values).all() and at.tolist() == rows.tolist()
+    part, at = textindex.unpacked(textindex.packed(values, rows).slice(2, 2))
+    assert (part == values[3:]).all() and at.tolist() == [0, 5, 5]
+
+
 def test_nearness_counts_all_pairs_in_reach_of_each_document():
     rng = np.random.default_rng(0)
     docs = [[np.sort(rng.choice(400, n, replace=False)) for n in (40, 25, 3)] for _ in range(5)]

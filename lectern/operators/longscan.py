@@ -7,11 +7,14 @@ cut a key into blocks of equal length, with halo rows where a window looks beyon
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.session import scratch
 
@@ -76,13 +79,31 @@ def percentile(rows: DataFrame, key: str, value: str, share: float, most: int =
     return ends.select(key, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("percentile"))
 
 
+def _walked(step: np.ndarray, begin: np.ndarray, first: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
+    """The state before each row, and after the last one: ``step`` has each row's next state of every state; runs begin at ``first`` with ``begin``."""
+    n = len(step)
+    run = np.maximum.accumulate(np.where(first, np.arange(n), 0))  # the first row of each row's run that is here
+    upto, reach = step.copy(), 1  # what the last rows of the run do to every state, up to and including each row
+    deep = np.arange(n) - run
+    while (own := np.flatnonzero(deep >= reach)).size:
+        upto[own] = np.take_along_axis(upto[own], upto[own - reach], axis=1)
+        reach *= 2
+    at_first = np.where(first[run], begin[run], carried)
+    after = upto[np.arange(n), at_first]
+    return np.where(deep > 0, np.append(0, after[:-1]), at_first), int(after[-1])
+
+
 def folded(rows: DataFrame, key: str, n_states: int, step: Column, start: Column, length: int = RANGE) -> DataFrame:
     """Positioned rows with ``state_before`` of a finite automaton that goes through each key's rows from ``start`` (a column of the key's rows).
 
-    ``step`` is, for each row, the array of the next state of every state (from 0). A block of rows is first folded for every
-    state it could begin in; those results, a few for each key, are chained; then each block goes on from the state it does begin in.
+    ``step`` is, for each row, the array of the next state of every state (from 0). A key of one block begins at its start. A longer
+    key's blocks are first folded for every state they could begin in; those results, of which there are fewer than rows by ``length``, are
+    chained; then each block goes on from the state it does begin in. Steps of a run are composed by doubling, batch by batch.
     """
+    rows.write.parquet(path := scratch(rows.sparkSession, "placed"))  # places are looked at three times
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     rows = rows.withColumns({"block": F.floor(F.col("position") / length), "step": step, "start": start})
+    names = [c for c in rows.columns if c not in ("block", "step", "start")]
 
     def summed(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         now = list(range(n_states))
@@ -91,21 +112,26 @@ def folded(rows: DataFrame, key: str, n_states: int, step: Column, start: Column
         return pd.DataFrame({key: [key_[0]], "block": [key_[1]], "map": [now], "start": [pdf["start"].iloc[0]]})
 
     kind = rows.schema[key].dataType.simpleString()
-    maps = rows.select(key, "block", "position", "step", "start").groupBy(key, "block").applyInPandas(summed, f"{key} {kind}, block long, map array<int>, start int")
+    long = F.broadcast(rows.where(F.col("position") == length).select(F.col(key).alias("long_key")))  # at most one key in `length` rows
+    several = rows.select(key, "block", "position", "step", "start").join(long, F.col(key).eqNullSafe(F.col("long_key"))).drop("long_key")
+    maps = several.groupBy(key, "block").applyInPandas(summed, f"{key} {kind}, block long, map array<int>, start int")
     chained = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "map", "start"))).alias("blocks"))
     # a few entries for each key: one for each block
     begins = F.aggregate("blocks", F.struct(F.array().cast("array<struct<of_block:bigint,begins_at:int>>").alias("out"), F.get("blocks", F.lit(0))["start"].alias("at")), lambda acc, b: F.struct(F.concat(acc["out"], F.array(F.struct(b["block"].alias("of_block"), acc["at"].alias("begins_at")))).alias("out"), F.get(b["map"], acc["at"]).alias("at")), lambda acc: acc["out"])
-    begins = chained.select(F.col(key).alias("key_of_block"), F.explode(begins).alias("b")).select("key_of_block", "b.*")
-    met = rows.join(begins, (F.col("block") == F.col("of_block")) & F.col(key).eqNullSafe(F.col("key_of_block"))).drop("of_block", "key_of_block", "start")
-
-    def gone(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        now, out = int(pdf["begins_at"].iloc[0]) if len(pdf) else 0, []
-        for nxt in pdf["step"]:
-            out.append(now)
-            now = int(nxt[now])
-        return pdf.assign(state_before=out)[names]
-
-    names = [c for c in rows.columns if c not in ("block", "step", "start")] + ["state_before"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names) + ", state_before int"
-    return met.groupBy(key, "block").applyInPandas(gone, schema)
+    begins = F.broadcast(chained.select(F.col(key).alias("key_of_block"), F.explode(begins).alias("b")).select("key_of_block", "b.*"))
+    met = rows.join(begins, (F.col("block") == F.col("of_block")) & F.col(key).eqNullSafe(F.col("key_of_block")), "left")
+    met = met.withColumn("begins_at", F.coalesce("begins_at", "start")).select(*names, "block", "step", "begins_at")
+
+    def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            steps = np.asarray(batch.column("step").flatten()).reshape(-1, n_states)
+            first = np.asarray(batch.column("position")) % length == 0
+            before, now = _walked(steps, np.asarray(batch.column("begins_at")), first, now)
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(before.astype(np.int32))], [*names, "state_before"])
+
+    schema = StructType([*(rows.schema[c] for c in names), StructField("state_before", IntegerType())])
+    # positions of a key have no gaps, so that a run of a key's block begins where the position says so
+    return met.repartition(key, "block").sortWithinPartitions(key, "block", "position").mapInArrow(gone, schema)

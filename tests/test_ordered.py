@@ -140,3 +140,28 @@ def test_sequence_operators_on_long_sessions_equal_the_plain_ones(spark):
 
 
 SEGMENT = ("session", "segment", "start_seq", "end_seq", "n", "boundary_score", "confidence")
+
+
+def test_steps_composed_by_doubling_equal_a_plain_walk():
+    rng = np.random.default_rng(2)
+    step, first = rng.integers(0, 4, (300, 4)).astype(np.int32), rng.random(300) < 0.05
+    begin = np.full(300, 3)
+    want, now = [], 2
+    for k in range(300):
+        now = 3 if first[k] else now
+        want.append(now)
+        now = int(step[k][now])
+    got, carried = [], 2
+    for lo in range(0, 300, 70):
+        own = slice(lo, lo + 70)
+        before, carried = longscan._walked(step[own], begin[own], first[own], carried)
+        got += before.tolist()
+    assert got == want and carried == now
+
+
+def test_sessions_are_not_folded_one_python_group_each(spark):
+    rows = spark.createDataFrame([(i % 50, i, i, "recording", "r", "s") for i in range(500)], "session long, at long, attempt long, to_status string, reason string, stage string")
+    begins = spark.createDataFrame([(i, "created") for i in range(50)], "session long, status string")
+    plan = states.apply_transitions(rows, begins)._jdf.queryExecution().optimizedPlan().toString()
+    walk = plan[: plan.index("Join")]  # what comes after the blocks of long keys
+    assert "MapInArrow" in walk and "FlatMapGroupsInPandas" not in walk

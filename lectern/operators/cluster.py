@@ -294,7 +294,7 @@ def _nearest_center(data: DataFrame, centers: DataFrame, block: int) -> DataFram
 
 
 def seeded_kmeans(rows: DataFrame, seeds: DataFrame | None = None, rounds: int = 300, least: int = 3, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """k-means by Lloyd's rounds from seeds, until no center moves: (id, cluster) of all rows, and (cluster, n, centroid) of the centers.
+    """k-means by Lloyd's rounds from seeds, until no center moves or ``rounds`` are done: (id, cluster) of all rows, and (cluster, n, centroid) of the centers.
 
     ``seeds`` has (id, embedding); clusters are numbered by their seeds' order. Without seeds a third of the rows' number are drawn by a
     hash of their id. Fewer than ``least`` rows make no clusters. Rows meet centers in tiles and blocks, centers are means by cluster, both

@@ -200,3 +200,10 @@ def test_wide_counters_do_not_run_over():
     for m in range(32):
         steps = [unpack(wide[o][m]).reshape(120, 5) for o in ("kept", "removed", "redundant")]
         assert (steps[1].sum(axis=1) == (m > 0)).all() and (steps[0][:, 4] == (m == 0)).all() and ((steps[1] + steps[2]).sum(axis=1) == m.bit_count()).all()
+
+
+def test_the_loss_is_read_where_the_prefix_of_each_example_ends(spark):
+    rows = [(1, 0, "user", "a </s> ü"), (1, 1, "assistant", "x\\y 𝄞 <s>"), (1, 2, "user", "b"), (1, 3, "assistant", "zz")]
+    turns = chat.format_turns(said(spark, rows)).withColumn("target", F.regexp_replace("target", ".", "#"))
+    (got,) = chat.read_back(turns).collect()
+    assert got["loss_text"] == "x\\y 𝄞 <s>zz" and got["n_examples"] == 2

@@ -214,8 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = first.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
     tested = _verified(first, texts, threshold)
     sizes = classes.select("cid", "size")
+    found = connected_components(tested.where("linked"))
     for step in ("across", "rest"):
-        found = connected_components(tested.where("linked"))
         state = members.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         split = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         state = state.join(split.select("bucket"), "bucket")
@@ -230,9 +230,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.join(sizes.withColumnsRenamed({"cid": "a", "size": "size_a"}), "a").join(sizes.withColumnsRenamed({"cid": "b", "size": "size_b"}), "b")
         # of different sizes, a similarity of the threshold is out of reach
         pairs = pairs.where(F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9).select("a", "b")
-        tested = tested.unionByName(_verified(pairs, texts, threshold))
+        more = _verified(pairs, texts, threshold)
+        tested = tested.unionByName(more)
+        if not more.where("linked").isEmpty():  # what is joined already goes on as stars
+            stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = connected_components(stars.unionByName(more.where("linked").select("a", "b")))
     links = materialize(tested.where("linked").select("a", "b"), "near-links")
-    found = connected_components(links).withColumnRenamed("node", "cid")
+    found = found.withColumnRenamed("node", "cid")
     counts = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("cid")).agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.select("cid", "k1", "k2", "id").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min_by(F.struct("id", "cid"), F.struct("id", "k1", "k2")).alias("least"))

@@ -20,13 +20,21 @@ WINDOW, LEAST, COOLDOWN_S = 5, 3, 30.0
 ALERT = "session long, event long, at double, score double"
 
 
+def rising(values: list[float]) -> float:
+    """Sum with linearly rising weights, added plainly as the batch form does: Python's ``sum`` corrects its rounding since 3.12, and a score at the threshold then falls on the other side."""
+    total = 0.0
+    for n, value in enumerate(values, 1):
+        total += value * n
+    return total
+
+
 def fold(rows: list[tuple[int, float, float]], recent: list[float], seen: int, fired: float | None, threshold: float, cooldown: float) -> tuple[list[tuple[int, float, float]], list[float], int, float | None]:
     """Alerts of (event, at, value) rows in order, and the state after them."""
     out = []
     for event, at, value in rows:
         recent = [*recent, value][-WINDOW:]
         seen += 1
-        score = sum(v * (i + 1) for i, v in enumerate(recent)) / (len(recent) * (len(recent) + 1) / 2)
+        score = rising(recent) / (len(recent) * (len(recent) + 1) / 2)
         if seen >= LEAST and score < threshold and (fired is None or at - fired >= cooldown):
             fired = at
             out.append((event, at, score))

@@ -165,3 +165,25 @@ def test_sessions_are_not_folded_one_python_group_each(spark):
     plan = states.apply_transitions(rows, begins)._jdf.queryExecution().optimizedPlan().toString()
     walk = plan[: plan.index("Join")]  # what comes after the blocks of long keys
     assert "MapInArrow" in walk and "FlatMapGroupsInPandas" not in walk
+
+
+# ---- alerts
+
+
+def test_scores_at_the_threshold_are_summed_as_the_batch_form_and_sql_sum_them():
+    from lectern.streaming.quality import fold
+
+    rng, told = np.random.default_rng(5), []
+    for _ in range(2000):  # five values of two decimals whose exact score is the threshold, 25
+        cents = [int(x) for x in rng.integers(1, 4000, 4)]
+        last, rest = divmod(37500 - sum(c * n for n, c in enumerate(cents, 1)), 5)
+        if rest or last < 0:
+            continue
+        values = [c / 100 for c in (*cents, last)]
+        plain = 0.0
+        for n, v in enumerate(values, 1):
+            plain = plain + v * n
+        fired = fold([(0, 0.0, values[-1])], values[:-1], 4, None, 25.0, 30.0)[0]
+        assert bool(fired) == (plain / 15 < 25.0)
+        told.append((plain / 15 < 25.0, sum(v * n for n, v in enumerate(values, 1)) / 15 < 25.0))
+    assert any(plain != corrected for plain, corrected in told)  # the case is there

@@ -1,9 +1,9 @@
 """A full-text index as a table: posting lists by term and block of documents, with positions.
 
 A posting row holds, for one term and one block of documents of one scope, the ids, and each one's
-positions of the term, as differences in as many bytes as they need. Rows lie in files by a hash of the
-term, sorted, so that a search of few terms reads their files alone. Queries that ask the same are asked
-once. The postings of the asked terms are dealt out by block once for all queries (of a tile of them), the queries go
+positions of the term, as differences in as many bytes as they need. Each task writes the rows of its own
+documents as a segment of the index, in files by a hash of the term, sorted: the build shuffles nothing, and a
+search of few terms reads their files alone. Queries that ask the same are asked once. The postings of the asked terms are dealt out by block once for all queries (of a tile of them), the queries go
 to every part of the blocks, and a part gives each query the best k of its documents.
 
 Ranks weigh terms by how close together they stand (all terms asked), or by how often they occur (one term, or
@@ -33,14 +33,16 @@ from lectern.session import scratch
 #: Documents and words of a block, at most (a longer document is a block of its own); queries and distinct terms up to which a search names its terms in its scan's filter.
 BLOCK_DOCS, BLOCK_WORDS, NAMED_QUERIES, NAMED_TERMS = 4096, 1 << 21, 1000, 1000
 #: Distinct queries of a tile, parts of the blocks that each tile meets, and asked terms up to which all tasks get their list.
-TILE_ASKS, PARTS, SENT_TERMS = 4096, 64, 100_000
+TILE_ASKS, PARTS, SENT_TERMS = 32_768, 64, 100_000
+#: Rows that the parts may return of a query and source in all; a search of more rows each has fewer parts, but ``LEAST_PARTS`` at least.
+PART_ROWS, LEAST_PARTS = 1600, 24
 # Fixed values of the rank: the weight of a word, the limit of the sum of 1 / n^2, and how nearness counts at a distance in words.
 WEIGHT, LIMIT, REACH = 0.1, 1.64493406685, 100
 NEAR = 1 / (1.005 + 0.05 * np.exp(np.arange(REACH + 1) / 1.5 - 2))
 #: Logarithm of what a pair of words at each distance leaves of 1 - rank.
 _LEFT = np.log1p(-WEIGHT * np.sqrt(NEAR))
 _POSTINGS = "term string, source string, scope string, block long, ids binary, sizes binary, places binary, bucket int"
-_WORD = r"[\p{L}\p{N}]+"
+_WORD, _GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
 
 def words_of(text: Column) -> Column:
@@ -102,28 +104,35 @@ def _summed(gaps: np.ndarray, runs: np.ndarray) -> np.ndarray:
 
 
 def _post(batches: Iterator[pa.RecordBatch], language: str, stops: frozenset[str], block_docs: int) -> Iterator[pa.RecordBatch]:
-    """(id, source, scope, words) to posting rows; a block is what one batch holds of up to ``block_docs`` documents and ``BLOCK_WORDS`` words."""
+    """(id, source, scope, text in lower case) to posting rows; a block is what one batch holds of up to ``block_docs`` documents and ``BLOCK_WORDS`` words."""
     block = TaskContext.get().partitionId() << 32
     for whole in batches:
-        upto = np.concatenate([[0], np.cumsum(np.asarray(whole.column("words").value_lengths().fill_null(0)).astype(np.int64))])
+        words = pc.split_pattern_regex(whole.column("text"), _GAP)  # what lies between the gaps; empty at an end that is a gap
+        upto = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths()).astype(np.int64))])
         lo = 0
         while lo < whole.num_rows:
             hi = min(lo + block_docs, whole.num_rows, max(lo + 1, int(np.searchsorted(upto, upto[lo] + BLOCK_WORDS, side="right")) - 1))
-            yield _posted(whole.slice(lo, hi - lo), block, language, stops)
+            yield _posted(whole.slice(lo, hi - lo), words.slice(lo, hi - lo), block, language, stops)
             block, lo = block + 1, hi
 
 
-def _posted(batch: pa.RecordBatch, block: int, language: str, stops: frozenset[str]) -> pa.RecordBatch:
-    batch = batch.take(pc.sort_indices(batch.column("id")))
-    column = batch.column("words")
-    size = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
-    coded = column.flatten().dictionary_encode()
-    terms = pa.array([_term(w, language, stops) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
-    code = np.asarray(terms.indices.fill_null(-1))[np.asarray(coded.indices)].astype(np.int64) if len(coded) else np.zeros(0, np.int64)
+def _posted(batch: pa.RecordBatch, words: pa.ListArray, block: int, language: str, stops: frozenset[str]) -> pa.RecordBatch:
+    order = pc.sort_indices(batch.column("id"))
+    batch, words = batch.select(["id", "source", "scope"]).take(order), words.take(order)
+    coded = words.flatten().dictionary_encode()
+    index = np.asarray(coded.indices).astype(np.int64)
+    doc = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths()).astype(np.int64))
+    real = index != pc.index(coded.dictionary, "").as_py()
+    index, doc = index[real], doc[real]
+    size = np.bincount(doc, minlength=len(words))
+    if language == "simple":
+        terms, code = coded.dictionary, index
+    else:
+        stems = pa.array([_term(w, language, stops) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        terms, code = stems.dictionary, np.asarray(stems.indices.fill_null(-1)).astype(np.int64)[index]
     held_in = list(zip(batch.column("source").to_pylist(), batch.column("scope").to_pylist(), strict=True))
     groups = {p: k for k, p in enumerate(dict.fromkeys(held_in))}
     group = np.array([groups[p] for p in held_in], np.int64)
-    doc = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size) + 1
     own = np.flatnonzero(code >= 0)
     key = code[own] * len(groups) + group[doc[own]]
@@ -137,7 +146,7 @@ def _posted(batch: pa.RecordBatch, block: int, language: str, stops: frozenset[s
     own_id = np.asarray(batch.column("id"))[doc[doc_at]]
     ids, sizes = packed(_gaps(own_id, np.isin(doc_at, term_at, assume_unique=True)), of_term), packed(counts, of_term)
     places = packed(_gaps(place, new_doc), np.append(term_at, len(own)))
-    term = terms.dictionary.take(pa.array(key[term_at] // max(1, len(groups))))
+    term = terms.take(pa.array(key[term_at] // max(1, len(groups))))
     named = list(groups)
     source, scope = (pa.array([named[k][c] for k in key[term_at] % max(1, len(groups))], pa.string()) for c in range(2))
     return pa.record_batch([term, source, scope, pa.array(np.full(len(term_at), block, np.int64)), ids, sizes, places], ["term", "source", "scope", "block", "ids", "sizes", "places"])
@@ -160,17 +169,16 @@ def build_text_index(docs: DataFrame, path: str, language: str = "simple", bucke
 
     Positions count all words from 1. Ids are distinct in a source; a null text has no words, and then no posting. A scope (a
     subject) may be null. A block is a run of up to ``block_docs`` documents as they are read, so the rows of a very common term are
-    many, each of one block; one shuffle sorts them into files by bucket and term.
+    many, each of one block. Each task sorts and writes those of its own documents, by bucket and term, and nothing is shuffled.
     """
     if language not in ("simple", "english"):
         raise ValueError("language is simple or english")
     stops = _stops() if language == "english" else frozenset()
     source = F.col("source") if "source" in docs.columns else F.lit("")
-    words = docs.select(F.col("id").cast("long").alias("id"), source.alias("source"), F.col("scope").cast("string").alias("scope"), words_of(F.col("text")).alias("words"))
-    lists = words.mapInArrow(lambda it: _post(it, language, stops, block_docs), _POSTINGS.removesuffix(", bucket int"))
+    texts = docs.select(F.col("id").cast("long").alias("id"), source.alias("source"), F.col("scope").cast("string").alias("scope"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    lists = texts.mapInArrow(lambda it: _post(it, language, stops, block_docs), _POSTINGS.removesuffix(", bucket int"))
     rows = lists.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    # a bucket is dealt to several files by block, so that a common term doesn't fill one task
-    rows.repartition("bucket", F.col("block") % 4).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(path)
+    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return TextIndex(path, language, buckets)
 
 
@@ -417,12 +425,13 @@ def lexical_top(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     terms = asks.select("tile", F.explode("terms").alias("term"), "scope").groupBy("tile", "term").agg(F.max(F.col("scope").isNull()).alias("anywhere"), F.collect_set("scope").alias("scopes"))
     terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
     met = postings.join(terms, "term").where(F.col("anywhere") | F.array_contains("scopes", F.col("scope")))
-    part = F.pmod(F.xxhash64("block", "source"), F.lit(PARTS)).cast("int").alias("part")
+    parts = min(PARTS, max(LEAST_PARTS, PART_ROWS // max(1, k)))
+    part = F.pmod(F.xxhash64("block", "source"), F.lit(parts)).cast("int").alias("part")
     met = met.select("tile", part, "block", F.col("source").alias("in_source"), "scope", "term", "ids", "sizes", "places")
-    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     both = asks.select("tile", every, "scope", "ask", "rule").unionByName(met, allowMissingColumns=True)
     # queries have no block, and come first
-    dealt = both.repartition(tiles * PARTS, "tile", "part").sortWithinPartitions("tile", "part", F.asc_nulls_first("block"), F.asc_nulls_first("in_source"))
+    dealt = both.repartition(tiles * parts, "tile", "part").sortWithinPartitions("tile", "part", F.asc_nulls_first("block"), F.asc_nulls_first("in_source"))
     found = dealt.mapInArrow(lambda it: _answers(it, k), "ask long, source string, id long, score double")
     best = Window.partitionBy("ask", "source").orderBy(F.desc(F.round("score", 9)), "id")
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -46,6 +46,8 @@ def _texts(spark, sf_dir):
     return turns.unionByName(notes)
 
 
+#: Queries up to which all tasks get their candidates' ids and their notes' words, so that whole texts and words of pairs are not shuffled.
+SENT_QUERIES = 10_000
 _BUILT: dict[tuple, TextIndex] = {}
 
 
@@ -174,8 +176,10 @@ def _candidates(spark, sf_dir):
     _search(spark, sf_dir, _queries(spark, sf_dir), 50).write.parquet(path := scratch(spark, "found"))
     found = spark.read.parquet(path)
     distinct = F.array_distinct(words_of(F.col("text")))
-    texts = _texts(spark, sf_dir).withColumnRenamed("source", "source_type").join(found.select("source_type", "id").distinct(), ["source_type", "id"], "left_semi")
-    own = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), distinct.alias("own"))
+    few = found.select("query").distinct().count() <= SENT_QUERIES
+    sent = F.broadcast if few else lambda df: df
+    texts = _texts(spark, sf_dir).withColumnRenamed("source", "source_type").join(sent(found.select("source_type", "id").distinct()), ["source_type", "id"], "left_semi")
+    own = sent(table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), distinct.alias("own")))
     joined = found.join(texts.select("source_type", "id", distinct.alias("words")), ["source_type", "id"]).join(own, "query")
     return joined.withColumn("score", jaccard(F.col("words"), F.col("own"))).drop("words", "own")
 

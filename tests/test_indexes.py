@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,35 @@ def test_vector_index_of_small_tables_and_many_tiles(spark, monkeypatch):
     assert index_knn(index, df.limit(0), 4).count() == 0
     with pytest.raises(ValueError):
         build_vector_index(df.limit(0), scratch(spark, "no"))
+
+
+def test_an_index_is_built_without_shuffling_its_postings(spark):
+    rows = spark.createDataFrame(texts(3000, 5), "id long, scope string, text string")
+    before = shuffled(spark)
+    index = build_text_index(rows, scratch(spark, "segments"))
+    assert shuffled(spark) == before and index.postings(spark).count() > 0
+
+
+def test_gaps_at_the_ends_and_odd_texts_leave_words_in_their_places(spark):
+    odd = [(1, "a", "  --one,two  ONE_"), (2, "a", ""), (3, "a", None), (4, "b", "...!"), (5, None, "zwei  Ünï-ÇÖDÉ \U00010400x ٣ one"), (6, "a", "two. one")]
+    index = build_text_index(spark.createDataFrame(odd, "id long, scope string, text string"), scratch(spark, "odd"))
+    placed = {}
+    for r in index.postings(spark).collect():
+        ids, _ = textindex.unpacked(pa.array([r["ids"]], pa.binary()))
+        sizes, _ = textindex.unpacked(pa.array([r["sizes"]], pa.binary()))
+        gaps, _ = textindex.unpacked(pa.array([r["places"]], pa.binary()))
+        for i, own in zip(np.cumsum(ids), np.split(gaps, np.cumsum(sizes)[:-1].astype(int)), strict=True):
+            placed.setdefault(int(i), {}).update({int(at): r["term"] for at in np.cumsum(own)})
+    want = {r["id"]: dict(enumerate(r["words"], 1)) for r in spark.createDataFrame(odd, "id long, scope string, text string").select("id", textindex.words_of(F.col("text")).alias("words")).collect() if r["words"]}
+    assert placed == want
+
+
+def test_thousands_of_queries_are_one_tile_of_the_postings(spark):
+    index = build_text_index(spark.createDataFrame(texts(300, 5), "id long, scope string, text string"), scratch(spark, "tile"))
+    cost = []
+    for n in (4000, 8000):  # distinct ones, in one tile both
+        asked = spark.createDataFrame([(i, f"apple pear -w{i}x") for i in range(n)], "query long, text string")
+        before = shuffled(spark)
+        lexical_top(index, asked, 1).count()
+        cost.append(shuffled(spark) - before)
+    assert textindex.TILE_ASKS > 8000 and cost[1] < 2.3 * cost[0]

@@ -1,10 +1,11 @@
-"""Text expressions; all run inside the JVM."""
+"""Text expressions; all but ``repeats`` run inside the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.multiset import has_repeats
 from lectern.functions.prefix import ahead, let, prefixed, sum_of
 
 # Concept kinds in order of precedence, each with the words that speak for it.
@@ -68,23 +69,8 @@ def keyword_density(text: Column, words: tuple[str, ...] = SYLLABUS_WORDS) -> Co
 
 
 def repeats(words: Column, sizes: tuple[int, ...] = (3, 4, 5), least: int = 3) -> Column:
-    """Whether some n-gram of the words stands at least ``least`` times.
-
-    ``words`` should be a column, not an expression: it is read once for each n-gram.
-    """
-
-    def longest_run(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        grams = F.array_sort(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
-
-        def step(acc: Column, gram: Column) -> Column:
-            run = F.when(acc["gram"] == gram, acc["run"] + 1).otherwise(1)
-            return F.struct(gram.alias("gram"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-        begin = F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-        return F.when(F.size(words) >= n, F.aggregate(grams, begin, step, lambda acc: acc["best"])).otherwise(0)
-
-    return F.greatest(*(longest_run(n) for n in sizes)) >= least
+    """Whether some n-gram of the words stands at least ``least`` times; where one of a larger size does, one of the smallest does too."""
+    return has_repeats(words, min(sizes), least)
 
 
 def slug(text: Column) -> Column:

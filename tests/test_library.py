@@ -609,3 +609,24 @@ def test_multisets_places_and_word_times_equal_plain_loops(spark):
         import re
 
         assert [tuple(p) for p in found] == [m.span() for m in re.finditer("a+b", t)]
+
+
+def test_repeats_and_overlaps_of_words_are_counted_batch_by_batch(spark):
+    import random
+    from collections import Counter
+
+    draw = random.Random(3)
+    lists = [None, [], ["a"], ["a", "b"], ["a"] * 5, ["a"] * 4, ["x", "y", "z"] * 3, ["x", "y", "z"] * 2 + ["x", "y"]]
+    lists += [[draw.choice("abcd"[: draw.randint(1, 4)]) for _ in range(draw.randint(0, 40))] for _ in range(300)]
+    rows = [(i, a, draw.choice(lists)) for i, a in enumerate(lists)]
+    df = spark.createDataFrame(rows, "id long, a array<string>, b array<string>").repartition(3)
+    found = df.select("a", "b", text.repeats(F.col("a")).alias("r"), study.token_f1(F.col("a"), F.col("b")).alias("f"))
+    for a, b, r, f in found.collect():
+        most = max((n for k in (3, 4, 5) for n in Counter(tuple(a[i : i + k]) for i in range(len(a) - k + 1)).values()), default=0) if a else 0
+        assert r == (most >= 3)
+        if a is None or b is None:
+            assert f is None
+        else:
+            assert f == (2.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if a or b else 1.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan  # no list is walked element by element

@@ -2,7 +2,7 @@
 
 A posting row holds, for one term and one block of documents of one scope, the ids, and each one's
 positions of the term, as differences in as many bytes as they need. Each task writes the rows of its own
-documents as a segment of the index, in files by a hash of the term, sorted: the build shuffles nothing, and a
+documents as a segment of the index, in files by a hash of the term, each block's in order: the build shuffles nothing, and a
 search of few terms reads their files alone. Queries that ask the same are asked once. The postings of the asked terms are dealt out by block once for all queries (of a tile of them), the queries go
 to every part of the blocks, and a part gives each query the best k of its documents.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from lectern.functions.stem import stem
 from lectern.session import scratch
 
-#: Documents and words of a block, at most (a longer document is a block of its own); queries and distinct terms up to which a search names its terms in its scan's filter.
-BLOCK_DOCS, BLOCK_WORDS, NAMED_QUERIES, NAMED_TERMS = 4096, 1 << 21, 1000, 1000
+#: Documents and bytes of a block, at most (a longer document is a block of its own); queries and distinct terms up to which a search names its terms in its scan's filter.
+BLOCK_DOCS, BLOCK_BYTES, NAMED_QUERIES, NAMED_TERMS = 4096, 1 << 24, 1000, 1000
 #: Distinct queries of a tile, parts of the blocks that each tile meets, and asked terms up to which all tasks get their list.
 TILE_ASKS, PARTS, SENT_TERMS = 32_768, 64, 100_000
 #: Rows that the parts may return of a query and source in all; a search of more rows each has fewer parts, but ``LEAST_PARTS`` at least.
@@ -42,7 +42,9 @@ NEAR = 1 / (1.005 + 0.05 * np.exp(np.arange(REACH + 1) / 1.5 - 2))
 #: Logarithm of what a pair of words at each distance leaves of 1 - rank.
 _LEFT = np.log1p(-WEIGHT * np.sqrt(NEAR))
 _POSTINGS = "term string, source string, scope string, block long, ids binary, sizes binary, places binary, bucket int"
-_WORD, _GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+_WORD = r"[\p{L}\p{N}]+"
+#: Which bytes of UTF-8 are in words; those of characters that ASCII lacks are looked at one by one.
+_IN_WORDS = np.array([chr(b).isalnum() for b in range(128)] + [True] * 128)
 
 
 def words_of(text: Column) -> Column:
@@ -103,52 +105,81 @@ def _summed(gaps: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return (total - np.repeat(total[begin] - gaps[begin], np.diff(runs))).view(np.int64)
 
 
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, which are in lower case and not null, and where each text's begin and end among them."""
+    text = text.cast(pa.string())
+    upto = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2], np.uint8)[upto[0] : upto[-1]] if upto[-1] > upto[0] else np.zeros(0, np.uint8)
+    upto = upto - upto[0]
+    inside = _IN_WORDS[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        char = np.zeros(len(lead), np.uint32)
+        for k in range(4):
+            own = size > k
+            char[own] = char[own] << np.uint32(8) | data[lead[own] + k]
+        distinct, which = np.unique(char, return_inverse=True)
+        chars = pa.array([int(c).to_bytes(4, "big").lstrip(b"\0").decode() for c in distinct], pa.string())
+        gap = ~np.asarray(pc.match_substring_regex(chars, f"^{_WORD}$"))[which]
+        for k in range(4):
+            inside[lead[gap & (size > k)] + k] = False
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    between = upto[(upto > 0) & (upto < len(data))]  # words end where their text does
+    first[between], last[between - 1] = inside[between], inside[between - 1]
+    start = np.flatnonzero(first)
+    stop = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - start)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(stop), pa.py_buffer(data[inside]))
+    return words, np.searchsorted(start, upto)
+
+
 def _post(batches: Iterator[pa.RecordBatch], language: str, stops: frozenset[str], block_docs: int) -> Iterator[pa.RecordBatch]:
-    """(id, source, scope, text in lower case) to posting rows; a block is what one batch holds of up to ``block_docs`` documents and ``BLOCK_WORDS`` words."""
+    """(id, source, scope, text in lower case) to posting rows; a block is what one batch holds of up to ``block_docs`` documents and ``BLOCK_BYTES`` bytes."""
     block = TaskContext.get().partitionId() << 32
     for whole in batches:
-        words = pc.split_pattern_regex(whole.column("text"), _GAP)  # what lies between the gaps; empty at an end that is a gap
-        upto = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths()).astype(np.int64))])
+        upto = np.append(0, np.cumsum(np.asarray(pc.binary_length(whole.column("text"))).astype(np.int64)))
         lo = 0
         while lo < whole.num_rows:
-            hi = min(lo + block_docs, whole.num_rows, max(lo + 1, int(np.searchsorted(upto, upto[lo] + BLOCK_WORDS, side="right")) - 1))
-            yield _posted(whole.slice(lo, hi - lo), words.slice(lo, hi - lo), block, language, stops)
+            hi = min(lo + block_docs, whole.num_rows, max(lo + 1, int(np.searchsorted(upto, upto[lo] + BLOCK_BYTES, side="right")) - 1))
+            yield _posted(whole.slice(lo, hi - lo), block, language, stops)
             block, lo = block + 1, hi
 
 
-def _posted(batch: pa.RecordBatch, words: pa.ListArray, block: int, language: str, stops: frozenset[str]) -> pa.RecordBatch:
-    order = pc.sort_indices(batch.column("id"))
-    batch, words = batch.select(["id", "source", "scope"]).take(order), words.take(order)
-    coded = words.flatten().dictionary_encode()
-    index = np.asarray(coded.indices).astype(np.int64)
-    doc = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths()).astype(np.int64))
-    real = index != pc.index(coded.dictionary, "").as_py()
-    index, doc = index[real], doc[real]
-    size = np.bincount(doc, minlength=len(words))
-    if language == "simple":
-        terms, code = coded.dictionary, index
-    else:
-        stems = pa.array([_term(w, language, stops) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
-        terms, code = stems.dictionary, np.asarray(stems.indices.fill_null(-1)).astype(np.int64)[index]
+def _posted(batch: pa.RecordBatch, block: int, language: str, stops: frozenset[str]) -> pa.RecordBatch:
+    batch = batch.take(pc.sort_indices(batch.column("id")))
+    words, upto = _words(batch.column("text"))
+    coded = words.dictionary_encode()
+    terms, code, size = coded.dictionary, np.asarray(coded.indices), np.diff(upto)
+    if language != "simple":
+        stems = pa.array([_term(w, language, stops) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+        terms, code = stems.dictionary, np.asarray(stems.indices.fill_null(-1))[code]
+    sorted_ = pc.sort_indices(terms)
+    order = np.full(len(terms) + 1, -1, np.int64)  # the last one is that of no term
+    order[np.asarray(sorted_)] = np.arange(len(terms))
+    terms, code = terms.take(sorted_), order[code]
     held_in = list(zip(batch.column("source").to_pylist(), batch.column("scope").to_pylist(), strict=True))
     groups = {p: k for k, p in enumerate(dict.fromkeys(held_in))}
     group = np.array([groups[p] for p in held_in], np.int64)
-    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size) + 1
-    own = np.flatnonzero(code >= 0)
-    key = code[own] * len(groups) + group[doc[own]]
-    own = own[np.argsort(key, kind="stable")]  # within a term of a scope, documents and places stay in order
-    key, doc, place = np.sort(key), doc[own], place[own]
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    own, bits = np.flatnonzero(code >= 0), len(code).bit_length()
+    key = (code[own] * len(groups) + group[doc[own]]) << bits | own  # within a term of a scope, documents and places stay in order
+    key.sort()
+    own = key & ((1 << bits) - 1)
+    key >>= bits
+    doc = doc[own]
+    place = own - upto[doc] + 1
     new_term = np.append(True, key[1:] != key[:-1]) if len(own) else np.zeros(0, bool)
     new_doc = new_term | np.append(True, doc[1:] != doc[:-1]) if len(own) else new_term
     term_at, doc_at = np.flatnonzero(new_term), np.flatnonzero(new_doc)
-    counts = np.diff(np.append(doc_at, len(own)))
     of_term = np.searchsorted(doc_at, np.append(term_at, len(own))).astype(np.int32)  # the first document of each term
     own_id = np.asarray(batch.column("id"))[doc[doc_at]]
-    ids, sizes = packed(_gaps(own_id, np.isin(doc_at, term_at, assume_unique=True)), of_term), packed(counts, of_term)
+    ids, sizes = packed(_gaps(own_id, new_term[doc_at]), of_term), packed(np.diff(np.append(doc_at, len(own))), of_term)
     places = packed(_gaps(place, new_doc), np.append(term_at, len(own)))
     term = terms.take(pa.array(key[term_at] // max(1, len(groups))))
-    named = list(groups)
-    source, scope = (pa.array([named[k][c] for k in key[term_at] % max(1, len(groups))], pa.string()) for c in range(2))
+    at = pa.array(key[term_at] % max(1, len(groups)))
+    source, scope = (pa.array([name[c] for name in groups], pa.string()).take(at) for c in range(2))
     return pa.record_batch([term, source, scope, pa.array(np.full(len(term_at), block, np.int64)), ids, sizes, places], ["term", "source", "scope", "block", "ids", "sizes", "places"])
 
 
@@ -169,7 +200,7 @@ def build_text_index(docs: DataFrame, path: str, language: str = "simple", bucke
 
     Positions count all words from 1. Ids are distinct in a source; a null text has no words, and then no posting. A scope (a
     subject) may be null. A block is a run of up to ``block_docs`` documents as they are read, so the rows of a very common term are
-    many, each of one block. Each task sorts and writes those of its own documents, by bucket and term, and nothing is shuffled.
+    many, each of one block. Each task writes those of its own documents by bucket, in a bucket by block and term, and nothing is shuffled.
     """
     if language not in ("simple", "english"):
         raise ValueError("language is simple or english")
@@ -178,7 +209,10 @@ def build_text_index(docs: DataFrame, path: str, language: str = "simple", bucke
     texts = docs.select(F.col("id").cast("long").alias("id"), source.alias("source"), F.col("scope").cast("string").alias("scope"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     lists = texts.mapInArrow(lambda it: _post(it, language, stops, block_docs), _POSTINGS.removesuffix(", bucket int"))
     rows = lists.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    # a block's rows come in the order of their terms, and a sort by one number, which is stable, compares no strings
+    # and these columns hardly repeat in a file, so that dictionaries of them cost time and are given up
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("term", "ids", "places")}
+    rows.sortWithinPartitions("bucket").write.partitionBy("bucket").options(compression="zstd", **plain).parquet(path)
     return TextIndex(path, language, buckets)
 
 

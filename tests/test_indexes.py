@@ -2,9 +2,12 @@
 
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +165,39 @@ def test_long_phrases_stay_inside_a_document(spark):
     assert [r["id"] for r in lexical_top(index, asked, 5).collect()] == [1]
 
 
+def test_words_of_the_index_are_runs_of_letters_and_digits_of_any_script():
+    rng = np.random.default_rng(2)
+    characters = ["a", "z", "0", " ", "-", "_", "é", "ß", "ж", "中", "😀", "𝒳", "١", "Ⅷ", "²", "\u0301", "\u00ad", "\u200b", "\ufffd", "\x00", "\u3000"]
+    rows = ["", "", *("".join(rng.choice(characters, int(n))) for n in rng.integers(0, 9, 2000)), "", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000), ""]
+    for text in (pa.array(rows), pa.array(rows).slice(7, 900), pa.array(rows[:2]), pa.array([], pa.string())):
+        words, at = textindex._words(text)
+        split = pa.compute.split_pattern_regex(text, r"[^\p{L}\p{N}]+").to_pylist()
+        assert [words[a:b].to_pylist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[w for w in own if w] for own in split]
+
+
+def test_the_index_tries_no_dictionaries_of_what_hardly_repeats_and_holds_terms_in_order(spark):
+    index = build_text_index(spark.createDataFrame(texts(300, 4), "id long, scope string, text string").coalesce(1), path := scratch(spark, "plain"))
+    files = list(Path(path.removeprefix("file:")).rglob("*.parquet"))
+    for file in files:
+        held = pq.ParquetFile(file)
+        group = held.metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        assert not any(columns[c].has_dictionary_page for c in ("term", "ids", "places"))
+        terms = held.read(["term"]).column("term").to_pylist()
+        assert terms == sorted(terms)
+    assert files and index.postings(spark).select("term").distinct().count() == len({w.lower() for w in VOCABULARY})
+
+
+def test_hybrid_search_asks_the_text_index_once_for_all_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, s, None, t) for s in ("a", "b") for i, _, t in texts(50, 6)], "id long, source string, scope string, text string")
+    index = build_text_index(docs, scratch(spark, "once"))
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, "apple", None)], "query long, text string, embedding array<double>")
+    found = search.hybrid_search(index, {"a": none, "b": none}, asked, 6)
+    assert index.path not in found._jdf.queryExecution().toString()  # its answers were written, and both sources read them
+    assert sorted(r["source_type"] for r in found.collect()) == ["a"] * 3 + ["b"] * 3
+
+
 def test_packed_numbers_come_back():
     values = np.array([0, 127, 128, 300, 2**14, 2**35, 2**64 - 1, 5], np.uint64)
     rows = np.array([0, 0, 3, 8, 8])

@@ -175,7 +175,7 @@ def hybrid_search(index: TextIndex, vectors: dict[str, DataFrame], queries: Data
     queries have a scope, vectors have one too, and only rows of the query's scope are found.
     """
     queries = kept(queries, "queries")  # what is asked of words and of both sources' vectors comes from it
-    lexical = lexical_top(index, queries, pool)
+    lexical = kept(lexical_top(index, queries, pool), "lexical")  # each source takes its part
     asked, found = queries.where("embedding IS NOT NULL"), None
     for name, rows in vectors.items():
         near = _near_in_scope(rows.where("embedding IS NOT NULL"), asked, pool, block)
